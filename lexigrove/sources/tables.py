@@ -88,17 +88,22 @@ def read_assignments(
     return out
 
 
+def _csv_by_name(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """CSV columns picked by header name, whatever their order, and cast to ``ddl``."""
+    fields = [f.rsplit(" ", 1) for f in ddl.split(", ")]
+    df = normalize_columns(spark.read.option("header", True).csv(path))
+    require_columns(df, [name for name, _ in fields], path)
+    keys = ["model"] if "model" in df.columns else []
+    return df.select(*keys, *[F.col(name).try_cast(kind).alias(name) for name, kind in fields])
+
+
 def write_metrics(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
 def read_metrics(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Metric table; a list of paths means fallback names."""
-
-    def read(p: str) -> DataFrame:
-        return spark.read.option("header", True).schema(METRICS_SCHEMA).csv(p)
-
-    return _read_first(spark, path, read)
+    return _read_first(spark, path, lambda p: _csv_by_name(spark, p, METRICS_SCHEMA))
 
 
 def write_coherence(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -106,7 +111,4 @@ def write_coherence(df: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 
 def read_coherence(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    def read(p: str) -> DataFrame:
-        return spark.read.option("header", True).schema(COHERENCE_SCHEMA).csv(p)
-
-    return _read_first(spark, path, read)
+    return _read_first(spark, path, lambda p: _csv_by_name(spark, p, COHERENCE_SCHEMA))
