@@ -171,7 +171,8 @@ def dendrogram(
         merges.append(merged)
         state = materialize(state, "clusters")
         count -= n_pairs
-    last = state.select("id", "n", "total").groupBy(F.lit(0)).applyInArrow(_finish, MERGES)
+    left_over = state.select("id", "n", "total", F.lit(0).alias("one"))
+    last = left_over.groupBy("one").applyInArrow(_finish, MERGES)
     out = last
     for m in merges:
         out = out.unionByName(m)

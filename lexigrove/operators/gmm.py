@@ -39,7 +39,7 @@ def _collect(partial: DataFrame, k: int, d: int) -> tuple[np.ndarray, float, flo
     """k rows of sums, and the log-likelihood and row count kept under component -1."""
     totals = np.zeros((k, 1 + 2 * d))
     likelihood = n_rows = 0.0
-    for row in sum_vectors(partial, ["component"], "s", combine=False).toLocalIterator():
+    for row in sum_vectors(partial, ["component"], "s", combine=False).collect():
         if row["component"] < 0:
             likelihood, n_rows = row["s"][0], row["s"][1]
         else:
@@ -83,7 +83,7 @@ def fit_labels(
     """Mixture parameters of a hard labeling, ``id, cluster``."""
     packed = F.concat(F.array(F.lit(1.0)), F.col("vec"), F.transform("vec", lambda v: v * v))
     partial = rows.join(labels, "id").select(F.col("cluster").alias("component"), packed.alias("s"))
-    found = sum_vectors(partial, ["component"], "s").toLocalIterator()
+    found = sum_vectors(partial, ["component"], "s").collect()
     totals: dict[int, list[float]] = {row["component"]: row["s"] for row in found}
     width = len(next(iter(totals.values())))
     return _parameters(np.array([totals.get(j, [0.0] * width) for j in range(k)]), n_rows)

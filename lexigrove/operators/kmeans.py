@@ -127,7 +127,7 @@ def center_sums(rows: DataFrame, centers: np.ndarray) -> np.ndarray:
         partial = assign(rows, centers).select("cluster", packed)
     out = np.zeros((len(centers), centers.shape[1] + 2))
     # k rows come back
-    for row in sum_vectors(partial, ["cluster"], "s", combine=False).toLocalIterator():
+    for row in sum_vectors(partial, ["cluster"], "s", combine=False).collect():
         out[row["cluster"]] = row["s"]
     return out
 
@@ -198,7 +198,7 @@ def kmeans(
             fits = [fit(0)]
         else:
             with ThreadPool(min(n_init, parallel_restarts)) as pool:
-                fits = pool.map(inheritable_thread_target(fit), range(n_init))
+                fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(n_init))
         cost, _, model = min(fits, key=lambda f: f[:2])
         centers = np.array(model.clusterCenters())
     finally:

@@ -266,7 +266,7 @@ def silhouette_samples(
     # one row per labeling; its first column number names it
     ranges = [
         (r["labeling"], r["clusters"])
-        for r in labelings.orderBy("labeling").toLocalIterator()
+        for r in labelings.orderBy("labeling").collect()
     ]
     if any(n < 2 for _, n in ranges):
         raise ValueError("silhouette needs at least two clusters in every labeling")
@@ -300,7 +300,7 @@ def silhouette_samples(
         sums = sum_vectors(sums, ["id"], "s")
         # at most ``width`` rows
         in_range = clusters.where((F.col("col") >= lo) & (F.col("col") < hi)).orderBy("col")
-        size = np.array([r["size"] for r in in_range.select("size").toLocalIterator()])
+        size = np.array([r["size"] for r in in_range.select("size").collect()])
         part = sums.join(points.select("id", "tags"), "id").mapInArrow(
             _own_and_nearest(lo, hi, size, ranges),
             "id long, labeling long, size long, a double, b double",

@@ -44,7 +44,7 @@ def update_centers(
 def batch_totals(batch: DataFrame, centers: np.ndarray) -> np.ndarray:
     """Count, cost and vector sum per centre over one batch, which has a bounded size."""
     out = np.zeros((len(centers), centers.shape[1] + 2))
-    for row in batch_sums(batch, centers).toLocalIterator():
+    for row in batch_sums(batch, centers).collect():
         out[row["cluster"]] += np.asarray(row["s"])
     return out
 
