@@ -139,10 +139,6 @@ def _require_ontology(synsets: DataFrame, allow_empty: bool) -> None:
         raise ValueError("the ontology has no synsets; pass allow_empty=True to go on")
 
 
-def _valid(clusters: DataFrame) -> DataFrame:
-    return clusters.where(F.col("cluster").isNotNull() & F.col("word").isNotNull())
-
-
 def cluster_coherence(
     clusters: DataFrame,
     synsets: DataFrame,
@@ -150,7 +146,7 @@ def cluster_coherence(
     use_path: bool = True,
     count_zero: bool = False,
     max_depth: int = 20,
-    block_rows: int = 2048,
+    block_rows: int = 1024,
     allow_empty: bool = False,
 ) -> DataFrame:
     """Mean similarity over the word pairs of each cluster.
@@ -162,7 +158,10 @@ def cluster_coherence(
     """
     _require_ontology(synsets, allow_empty)
     keys = list(CLUSTER_KEYS)
-    words = _valid(clusters).select(*keys, F.col("word").cast("string").alias("word"))
+    members = clusters.where(F.col("cluster").isNotNull()).select(
+        *keys, F.col("word").cast("string").alias("word")
+    )
+    words = members.where(F.col("word").isNotNull())
     senses = synsets.select("word", "synset_id").distinct()
     used = senses.join(words.select("word").distinct(), "word", "left_semi")
     up = ancestors(used, hypernyms, max_depth if use_path else 1)
@@ -177,11 +176,13 @@ def cluster_coherence(
         used.join(lineage, "synset_id")
         .groupBy("word")
         .agg(F.sort_array(F.collect_list(F.struct("synset_id", "lineage", "direct"))).alias("sense"))
-        .withColumn("signature", F.xxhash64("sense.synset_id"))
+        .withColumn("signature", F.col("sense.synset_id"))
     )
     profile = materialize(profile, "profiles")
     known = words.join(profile.select("word", "signature"), "word")
-    weighted = known.groupBy(*keys, "signature").agg(
+    found = known.groupBy(*keys).agg(F.count("*").alias("n_with_synsets"))
+    several = found.where(F.col("n_with_synsets") > 1).select(*keys)
+    weighted = known.join(several, keys).groupBy(*keys, "signature").agg(
         F.count("*").alias("copies"), F.first("word").alias("word")
     )
     rows = weighted.join(profile.select("word", "sense"), "word")
@@ -198,10 +199,9 @@ def cluster_coherence(
     pairs = F.coalesce(F.col("scored"), F.lit(0.0))
     if count_zero:
         pairs = pairs + F.coalesce(F.col("zero"), F.lit(0.0))
-    found = known.groupBy(*keys).agg(F.count("*").alias("n_with_synsets"))
     return (
-        words.groupBy(*keys)
-        .agg(F.count("*").alias("n_words"))
+        members.groupBy(*keys)
+        .agg(F.count("word").alias("n_words"))
         .join(found, keys, "left")
         .join(sums, keys, "left")
         .select(

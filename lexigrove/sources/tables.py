@@ -65,21 +65,17 @@ def read_assignments(
     reader = spark.read.option("ignoreCorruptFiles", skip_corrupt)
     if not path.endswith(".csv"):
         return normalize_columns(reader.parquet(path), lower=True)
-    files = (
-        spark.read.format("binaryFile").load(path).select("path").distinct().orderBy("path")
-    )
+    # a file, or a folder of part files, named <algorithm><suffix>.csv
+    root = F.regexp_extract("path", r"^(.*?/[^/]+\.csv)(/[^/]*)?$", 1)
+    files = spark.read.format("binaryFile").load(path).select(root.alias("root")).distinct()
     tables = []
-    # one short header read per assignment file, a handful per run
-    for row in files.toLocalIterator():
-        name = row["path"].rsplit("/", 1)[-1].removesuffix(".csv").replace(suffix, "")
-        df = normalize_columns(reader.option("header", True).csv(row["path"]), lower=True)
+    # one short header read per algorithm
+    for row in files.orderBy("root").collect():
+        name = row["root"].rsplit("/", 1)[-1].removesuffix(".csv").replace(suffix, "")
+        df = normalize_columns(reader.option("header", True).csv(row["root"]), lower=True)
         if {"word", "cluster"} <= set(df.columns):
-            tables.append(
-                df.select(
-                    F.lit(name).alias("algorithm"), "word", F.col("cluster").try_cast("int")
-                    .alias("cluster"),
-                )
-            )
+            cluster = F.col("cluster").try_cast("double").cast("int").alias("cluster")
+            tables.append(df.select(F.lit(name).alias("algorithm"), "word", cluster))
     if not tables:
         raise FileNotFoundError(f"no usable assignment files at {path}")
     out = tables[0]
