@@ -166,17 +166,17 @@ def hypernyms(spark, sf_dir) -> DataFrame:
 def word_clusters(spark, sf_dir) -> DataFrame:
     """``algorithm, cluster, word``: three labelings of the whole lexicon.
 
-    'hashed' spreads words over 500 clusters, 'shape' groups by first letter, last
-    letter and length, and 'single' gives every word its own cluster.
+    'hashed' spreads words over 2000 clusters, 'shape' groups by the first two letters,
+    the last one and the length, and 'single' gives every word its own cluster.
     """
     words = lexicon(spark, sf_dir).select("word")
     shape = F.concat(
-        F.left("word", F.lit(1)), F.right("word", F.lit(1)), F.length("word").cast("string")
+        F.left("word", F.lit(2)), F.right("word", F.lit(1)), F.length("word").cast("string")
     )
     tags = F.array(
         F.struct(
             F.lit("hashed").alias("algorithm"),
-            F.pmod(uniform_hash(F.col("word"), "cluster"), F.lit(500)).alias("cluster"),
+            F.pmod(uniform_hash(F.col("word"), "cluster"), F.lit(2000)).alias("cluster"),
         ),
         F.struct(F.lit("shape").alias("algorithm"), uniform_hash(shape, "shape").alias("cluster")),
         F.struct(

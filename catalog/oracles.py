@@ -34,12 +34,12 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "weights": (
         ("vocab",),
-        """SELECT idx, list_transform(embedding, x -> x * (1 + idx % 3)) AS features
+        """SELECT idx, list_transform(embedding, lambda x: x * (1 + idx % 3)) AS features
            FROM vocab JOIN embeddings ON vec_id = idx % (SELECT count(*) FROM embeddings)""",
     ),
     "points": (
         (),
-        "SELECT vec_id AS word_id, list_transform(embedding, x -> x::DOUBLE) AS x, label"
+        "SELECT vec_id AS word_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, label"
         " FROM embeddings",
     ),
     "asg": (
@@ -58,7 +58,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "centroids": (
         ("cents",),
-        "SELECT algorithm, k, cluster, n, s, q, list_transform(s, v -> v / n) AS c FROM cents",
+        "SELECT algorithm, k, cluster, n, s, q, list_transform(s, lambda v: v / n) AS c FROM cents",
     ),
     "within": (
         ("asg", "centroids"),
@@ -112,18 +112,18 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ("by_lang",),
         "SELECT word, word || '@' || lang AS synset_id FROM by_lang",
     ),
-    "hypernyms": (
+    "names": (
         ("by_lang",),
-        """SELECT DISTINCT unnest([
-             {'synset_id': word || '@' || lang, 'hypernym_id': p3},
-             {'synset_id': p3, 'hypernym_id': p1},
-             {'synset_id': p1, 'hypernym_id': 'lang:' || lang},
-             {'synset_id': word || '@' || lang, 'hypernym_id': s2},
-             {'synset_id': s2, 'hypernym_id': s1}], recursive := true)
-           FROM (SELECT word, lang, 'p3:' || left(word, 3) || '@' || lang AS p3,
+        """SELECT lang, word || '@' || lang AS sid, 'p3:' || left(word, 3) || '@' || lang AS p3,
              'p1:' || left(word, 1) || '@' || lang AS p1,
              's2:' || right(word, 2) || '@' || lang AS s2,
-             's1:' || right(word, 1) || '@' || lang AS s1 FROM by_lang)""",
+             's1:' || right(word, 1) || '@' || lang AS s1 FROM by_lang""",
+    ),
+    "hypernyms": (
+        ("names",),
+        """SELECT sid AS synset_id, p3 AS hypernym_id FROM names UNION SELECT p3, p1 FROM names
+           UNION SELECT p1, 'lang:' || lang FROM names UNION SELECT sid, s2 FROM names
+           UNION SELECT s2, s1 FROM names""",
     ),
     "sense_pairs": (
         ("pairs", "synsets"),
@@ -143,10 +143,10 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "clusters": (
         ("lexicon",),
         """SELECT 'hashed' AS algorithm,
-             ('0x' || substr(md5('cluster:' || word), 1, 15))::BIGINT % 500 AS cluster, word
+             ('0x' || substr(md5('cluster:' || word), 1, 15))::BIGINT % 2000 AS cluster, word
              FROM lexicon
            UNION ALL
-           SELECT 'shape', ('0x' || substr(md5('shape:' || left(word, 1) || right(word, 1)
+           SELECT 'shape', ('0x' || substr(md5('shape:' || left(word, 2) || right(word, 1)
              || length(word)), 1, 15))::BIGINT, word FROM lexicon
            UNION ALL
            SELECT 'single', ('0x' || substr(md5('single:' || word), 1, 15))::BIGINT, word
@@ -170,9 +170,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "jaccard_pairs": (
         ("members", "hypernyms"),
         """SELECT algorithm, cluster, w1, w2,
-             max(both::DOUBLE / (na.n + nb.n - both)) AS sim FROM (
+             max(n_both::DOUBLE / (na.n + nb.n - n_both)) AS sim FROM (
              SELECT a.algorithm, a.cluster, a.word AS w1, b.word AS w2,
-               a.synset_id AS s1, b.synset_id AS s2, count(*) AS both
+               a.synset_id AS s1, b.synset_id AS s2, count(*) AS n_both
              FROM members a JOIN hypernyms ha ON ha.synset_id = a.synset_id
              JOIN hypernyms hb ON hb.hypernym_id = ha.hypernym_id
              JOIN members b ON b.synset_id = hb.synset_id AND b.algorithm = a.algorithm
@@ -224,14 +224,15 @@ def _with(names: list[str], body: str, extra: list[tuple[str, str]] = (), rec: b
 
 
 def _micro(v: str) -> str:
-    return f"array_to_string(list_transform({v}, v -> round(v::DOUBLE * 1e6)::BIGINT), ',')"
+    return f"array_to_string(list_transform({v}, lambda v: round(v::DOUBLE * 1e6)::BIGINT), ',')"
 
 
 def _unit(v: str) -> str:
     """Unit-length float vector; the zero vector stays."""
+    v = f"CAST({v} AS DOUBLE[])"
     norm = f"sqrt(list_inner_product({v}, {v}))"
     return (
-        f"list_transform({v}, v -> (v / (CASE WHEN {norm} = 0 THEN 1 ELSE {norm} END))::FLOAT)"
+        f"list_transform({v}, lambda v: (v / (CASE WHEN {norm} = 0 THEN 1 ELSE {norm} END))::FLOAT)"
     )
 
 
@@ -246,7 +247,7 @@ _SELECT_ALL = (
 def _grams(word: str) -> str:
     m = f"('<' || {word} || '>')"
     sizes = ", ".join(
-        f"list_transform(generate_series(1, length({m}) - {n - 1}), i -> substring({m}, i, {n}))"
+        f"list_transform(generate_series(1, length({m}) - {n - 1}), lambda i: substring({m}, i, {n}))"
         for n in range(3, 7)
     )
     return f"list_distinct(list_concat(flatten([{sizes}]), [{m}]))"
@@ -258,7 +259,7 @@ def _subword(words: str) -> list[tuple[str, str]]:
         ("grams", f"SELECT word_id, word, unnest({_grams('word')}) AS ngram FROM {words}"),
         (
             "buckets",
-            """SELECT ngram, list_transform(embedding, x -> x::DOUBLE) AS x FROM (
+            """SELECT ngram, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM (
                  SELECT DISTINCT ngram FROM grams) JOIN embeddings ON vec_id =
                  ('0x' || substr(md5('bucket:' || ngram), 1, 15))::BIGINT
                  % (SELECT count(*) FROM embeddings)""",
@@ -386,7 +387,7 @@ def _minibatch(steps: int, batch_size: int) -> str:
                 f"c{t + 1}",
                 f"""SELECT o.cluster, o.seen + coalesce(m.n, 0) AS seen,
                       CASE WHEN m.n IS NULL THEN o.c ELSE list_transform(list_zip(o.c, m.s),
-                        z -> z[1] + (z[2] - m.n * z[1]) / (o.seen + m.n)) END AS c
+                        lambda z: z[1] + (z[2] - m.n * z[1]) / (o.seen + m.n)) END AS c
                     FROM c{t} o LEFT JOIN m{t} m USING (cluster)""",
             )
         )
@@ -403,8 +404,8 @@ def _gmm(steps: int) -> str:
         ss = ", ".join(f"sum({r} * x[{i}] * x[{i}])" for i in dims)
         return (
             f"SELECT j, mass / (SELECT count(*) FROM points) AS weight, "
-            f"list_transform(s, v -> v / mass) AS mu, "
-            f"list_transform(list_zip(s, ss), z -> greatest(z[2] / mass - (z[1] / mass) ** 2, 0)"
+            f"list_transform(s, lambda v: v / mass) AS mu, "
+            f"list_transform(list_zip(s, ss), lambda z: greatest(z[2] / mass - (z[1] / mass) ** 2, 0)"
             f" + 1e-6) AS var FROM (SELECT j, sum({r}) + {eps} AS mass, [{s}] AS s, [{ss}] AS ss "
             f"FROM {source} GROUP BY j)"
         )
@@ -412,7 +413,7 @@ def _gmm(steps: int) -> str:
     def joint(t: int) -> str:
         return (
             f"SELECT word_id, x, j, ln(weight) - 0.5 * list_sum(list_transform("
-            f"list_zip(x, mu, var), z -> ln(2 * pi() * z[3]) + (z[1] - z[2]) ** 2 / z[3])) AS lp "
+            f"list_zip(x, mu, var), lambda z: ln(2 * pi() * z[3]) + (z[1] - z[2]) ** 2 / z[3])) AS lp "
             f"FROM points CROSS JOIN p{t}"
         )
 
@@ -442,7 +443,7 @@ _TREE = [
         "tree",
         """
         SELECT 0 AS round, word_id AS id, 1::BIGINT AS n,
-          list_transform(x, v -> v / sqrt(list_inner_product(x, x))) AS s,
+          list_transform(x, lambda v: v / sqrt(list_inner_product(x, x))) AS s,
           NULL::BIGINT AS "right", NULL::DOUBLE AS height FROM points
         UNION ALL
         SELECT * FROM (
@@ -457,7 +458,7 @@ _TREE = [
           SELECT t.round + 1, t.id,
             CASE WHEN p.l IS NULL THEN t.n ELSE t.n + u.n END,
             CASE WHEN p.l IS NULL THEN t.s
-              ELSE list_transform(list_zip(t.s, u.s), z -> z[1] + z[2]) END,
+              ELSE list_transform(list_zip(t.s, u.s), lambda z: z[1] + z[2]) END,
             p.r, p.h
           FROM tree t LEFT JOIN pair p ON p.l = t.id LEFT JOIN tree u ON u.id = p.r
           WHERE t.id NOT IN (SELECT r FROM pair) AND (SELECT count(*) FROM tree) > 1)
@@ -481,17 +482,17 @@ def _cut(ks: list[int]) -> str:
         ),
         (
             "climb",
-            """SELECT k, word_id, word_id AS at FROM points CROSS JOIN ks
+            """SELECT k, word_id, word_id AS pos FROM points CROSS JOIN ks
                UNION ALL
-               SELECT c.k, c.word_id, l FROM climb c JOIN kept ON kept.k = c.k AND r = at""",
+               SELECT c.k, c.word_id, l FROM climb c JOIN kept ON kept.k = c.k AND r = pos""",
         ),
         (
             "roots",
-            """SELECT k, word_id, at FROM climb c WHERE NOT EXISTS (
-                 SELECT 1 FROM kept WHERE kept.k = c.k AND kept.r = c.at)""",
+            """SELECT k, word_id, pos FROM climb c WHERE NOT EXISTS (
+                 SELECT 1 FROM kept WHERE kept.k = c.k AND kept.r = c.pos)""",
         ),
     ]
-    body = """SELECT k, word_id, dense_rank() OVER (PARTITION BY k ORDER BY at) - 1 AS cluster
+    body = """SELECT k, word_id, dense_rank() OVER (PARTITION BY k ORDER BY pos) - 1 AS cluster
               FROM roots"""
     return _with(["points"], body, steps, rec=True)
 
@@ -546,7 +547,7 @@ _JACCARD = [
     ("distinct_pairs", "SELECT DISTINCT s1, s2 FROM sense_pairs"),
     (
         "shared",
-        """SELECT s1, s2, count(*) AS both FROM distinct_pairs
+        """SELECT s1, s2, count(*) AS n_both FROM distinct_pairs
            JOIN hypernyms a ON a.synset_id = s1
            JOIN hypernyms b ON b.synset_id = s2 AND b.hypernym_id = a.hypernym_id GROUP BY ALL""",
     ),
@@ -641,7 +642,7 @@ def oracle_sql() -> dict[str, str]:
             f"coalesce(sum(embedding[{i}]::DOUBLE) FILTER (role = 'user'), 0)"
             for i in range(1, DIM + 1)
         )
-        + "], v -> round(v / greatest(count(*) FILTER (role = 'user'), 1e-9) * 1e6)::BIGINT), ',')"
+        + "], lambda v: round(v / greatest(count(*) FILTER (role = 'user'), 1e-9) * 1e6)::BIGINT), ',')"
         " AS features FROM conversations JOIN embeddings ON vec_id ="
         " (conv_id * 31 + turn) % (SELECT count(*) FROM embeddings) WHERE turn < 4 GROUP BY conv_id",
         "contextual_embeddings": _with(
@@ -654,7 +655,7 @@ def oracle_sql() -> dict[str, str]:
                     """SELECT word_id, word, [avg(c), avg(c % 7), avg(c % 11)] AS f FROM (
                          SELECT word_id, word, unnest(list_transform(
                            generate_series(1, least(length(word), 16)),
-                           i -> unicode(substring(word, i, 1)))) AS c FROM ranked) GROUP BY ALL""",
+                           lambda i: unicode(substring(word, i, 1)))) AS c FROM ranked) GROUP BY ALL""",
                 ),
             ],
         ),
@@ -682,7 +683,7 @@ def oracle_sql() -> dict[str, str]:
         "inertia": _with(
             ["asg", "centroids"],
             """SELECT algorithm, k, round(sum(list_distance(x, list_transform(c,
-                 v -> round(v, 1))) ** 2), 6) AS inertia
+                 lambda v: round(v, 1))) ** 2), 6) AS inertia
                FROM asg JOIN centroids USING (algorithm, k, cluster) GROUP BY ALL""",
         ),
         "silhouette_exact": _silhouette("asg", []),
@@ -736,7 +737,7 @@ def oracle_sql() -> dict[str, str]:
         "synset_pairs": _with(["sense_pairs"], "SELECT * FROM sense_pairs"),
         "hypernym_jaccard": _with(
             ["sense_pairs", "hypernyms"],
-            """SELECT s1, s2, round(coalesce(both::DOUBLE / (a.n + b.n - both), 0), 6) AS jaccard
+            """SELECT s1, s2, round(coalesce(n_both::DOUBLE / (a.n + b.n - n_both), 0), 6) AS jaccard
                FROM distinct_pairs LEFT JOIN shared USING (s1, s2)
                LEFT JOIN hs a ON a.synset_id = s1 LEFT JOIN hs b ON b.synset_id = s2""",
             _JACCARD,
