@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import char_ngrams, unicode_trim
 from lexigrove.operators.ranking import with_rank
-from lexigrove.runtime import uniform_hash
+from lexigrove.runtime import materialize, uniform_hash
 
 LETTERS = r"(\p{L}+)"
 LABELINGS = (("label", 10), ("mod5", 5), ("mod20", 20))
@@ -70,7 +70,9 @@ def weights(spark, sf_dir, vocabulary: DataFrame) -> DataFrame:
     return (
         vocabulary.select("idx", (F.col("idx") % n).alias("vec_id"))
         .join(table(spark, sf_dir, "embeddings"), "vec_id")
-        .select("idx", F.transform("embedding", lambda x: x * scale).alias("features"))
+        .select(
+            "idx", F.transform("embedding", lambda x: (x * scale).cast("float")).alias("features")
+        )
     )
 
 
@@ -78,11 +80,12 @@ def ngram_table(spark, sf_dir, words: DataFrame) -> DataFrame:
     """``ngram, features``: every n-gram of the lexicon with the vector of its hash bucket."""
     n = n_vectors(spark, sf_dir)
     grams = words.select(F.explode(char_ngrams("word")).alias("ngram")).distinct()
-    return (
+    vectors = (
         grams.withColumn("vec_id", F.pmod(uniform_hash(F.col("ngram"), "bucket"), F.lit(n)))
         .join(table(spark, sf_dir, "embeddings"), "vec_id")
         .select("ngram", F.col("embedding").alias("features"))
     )
+    return materialize(vectors, "ngram-table")
 
 
 def token_states(spark, sf_dir) -> DataFrame:

@@ -157,15 +157,21 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT algorithm, cluster, word, synset_id FROM clusters JOIN synsets USING (word)
            WHERE algorithm <> 'single'""",
     ),
-    "path_pairs": (
-        ("members", "up"),
+    "member_pairs": (
+        ("members",),
         """SELECT a.algorithm, a.cluster, a.word AS w1, b.word AS w2,
-             1.0::DOUBLE / (1 + min(ua.u + ub.u)) AS sim
-           FROM members a JOIN up ua ON ua.synset_id = a.synset_id
-           JOIN up ub ON ub.ancestor = ua.ancestor
-           JOIN members b ON b.synset_id = ub.synset_id AND b.algorithm = a.algorithm
-             AND b.cluster = a.cluster AND a.word < b.word
-           GROUP BY ALL""",
+             a.synset_id AS s1, b.synset_id AS s2
+           FROM members a JOIN members b ON b.algorithm = a.algorithm
+             AND b.cluster = a.cluster AND a.word < b.word""",
+    ),
+    "path_pairs": (
+        ("member_pairs", "up"),
+        """SELECT algorithm, cluster, w1, w2, max(sim) AS sim FROM member_pairs JOIN (
+             SELECT s1, s2, 1.0::DOUBLE / (1 + min(a.u + b.u)) AS sim
+             FROM (SELECT DISTINCT s1, s2 FROM member_pairs)
+             JOIN up a ON a.synset_id = s1
+             JOIN up b ON b.synset_id = s2 AND b.ancestor = a.ancestor
+             GROUP BY ALL) USING (s1, s2) GROUP BY ALL""",
     ),
     "jaccard_pairs": (
         ("members", "hypernyms"),
@@ -219,7 +225,8 @@ def _with(names: list[str], body: str, extra: list[tuple[str, str]] = (), rec: b
     for name in names:
         visit(name)
     parts = [f'"{n}" AS MATERIALIZED ({_CTES[n][1]})' for n in order]
-    parts += [f"{n} AS {q}" if q.startswith("NOT") else f"{n} AS ({q})" for n, q in extra]
+    loops = ("tree", "climb")  # these refer to themselves
+    parts += [f"{n} AS {'' if n in loops else 'MATERIALIZED '}({q})" for n, q in extra]
     return f"WITH {'RECURSIVE ' if rec else ''}{', '.join(parts)} {body}"
 
 

@@ -232,33 +232,48 @@ def _unpack(table: pa.Table):
     return starts, len(flat), (up_row, ancestor, steps), (direct_row, direct)
 
 
-def _shared(a_row, a_names: pa.Array, b_row, b_names: pa.Array):
-    """For every name on both sides: positions in ``a`` and in ``b``."""
+# Matches between two blocks that are expanded at once.
+MATCHES = 4_000_000
+
+
+def _matches(a_names: pa.Array, b_names: pa.Array):
+    """Positions in ``a`` and in ``b`` of all entries with equal names, in slices."""
     names = pa.chunked_array([a_names, b_names]).combine_chunks().dictionary_encode()
     codes = names.indices.to_numpy(zero_copy_only=False)
     a, b = codes[: len(a_names)], codes[len(a_names) :]
-    order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    for code in np.intersect1d(a, b):
-        at_a = order_a[slice(*np.searchsorted(a[order_a], [code, code + 1]))]
-        at_b = order_b[slice(*np.searchsorted(b[order_b], [code, code + 1]))]
-        yield at_a, at_b
+    order = np.argsort(b, kind="stable")
+    first = np.searchsorted(b[order], a, "left")
+    n = np.searchsorted(b[order], a, "right") - first
+    ends = np.cumsum(n)
+    start = 0
+    while start < len(a):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + MATCHES, "right")))
+        count = n[start:stop]
+        at_a = np.repeat(np.arange(start, stop), count)
+        within = np.arange(len(at_a)) - np.repeat(np.cumsum(count) - count, count)
+        yield at_a, order[np.repeat(first[start:stop], count) + within]
+        start = stop
 
 
 def _word_similarity(a: pa.Table, b: pa.Table) -> np.ndarray:
     """Best synset similarity of every word of ``a`` with every word of ``b``."""
     starts_a, n_a, up_a, direct_a = _unpack(a)
     starts_b, n_b, up_b, direct_b = _unpack(b)
-    both = np.zeros((n_a, n_b))
-    for at_a, at_b in _shared(*direct_a, *direct_b):
-        both[np.ix_(direct_a[0][at_a], direct_b[0][at_b])] += 1.0
+    shared = np.zeros(n_a * n_b)
+    for at_a, at_b in _matches(direct_a[1], direct_b[1]):
+        cell = direct_a[0][at_a] * n_b + direct_b[0][at_b]
+        shared += np.bincount(cell, minlength=n_a * n_b)
+    shared = shared.reshape(n_a, n_b)
     size_a = np.bincount(direct_a[0], minlength=n_a)
     size_b = np.bincount(direct_b[0], minlength=n_b)
-    union = size_a[:, None] + size_b[None, :] - both
-    sim = np.divide(both, union, out=np.zeros_like(both), where=union > 0)
-    length = np.full((n_a, n_b), np.inf)
-    for at_a, at_b in _shared(up_a[0], up_a[1], up_b[0], up_b[1]):
-        at = np.ix_(up_a[0][at_a], up_b[0][at_b])
-        length[at] = np.minimum(length[at], up_a[2][at_a][:, None] + up_b[2][at_b][None, :])
+    union = size_a[:, None] + size_b[None, :] - shared
+    sim = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+    length = np.full(n_a * n_b, np.inf)
+    for at_a, at_b in _matches(up_a[1], up_b[1]):
+        cell = up_a[0][at_a] * n_b + up_b[0][at_b]
+        np.minimum.at(length, cell, (up_a[2][at_a] + up_b[2][at_b]).astype(np.float64))
+    length = length.reshape(n_a, n_b)
     reachable = np.isfinite(length)
     sim[reachable] = 1.0 / (1.0 + length[reachable])
     return np.maximum.reduceat(np.maximum.reduceat(sim, starts_a, axis=0), starts_b, axis=1)

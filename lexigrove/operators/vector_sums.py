@@ -98,11 +98,11 @@ def sum_vectors(df: DataFrame, keys: list[str], vec: str, combine: bool = True)
     Each task first adds up its own rows, so a hot key sends one row per task
     to the shuffle; the merge of these partial rows runs on the JVM.
     """
-    rows = df.select(*keys, F.col(vec).cast("array<double>").alias("vec"))
+    rows = df.select(*keys, F.col(vec).alias("vec"))
     if combine:
-        schema = T.StructType(
-            [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields]
+        doubles = T.StructField("vec", T.ArrayType(T.DoubleType()))
+        rows = rows.mapInArrow(
+            _combine(keys), T.StructType([*rows.select(*keys).schema.fields, doubles])
         )
-        rows = rows.mapInArrow(_combine(keys), schema)
     total = vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias(vec)
     return rows.groupBy(*keys).agg(total)

@@ -13,6 +13,9 @@ from ..functions import char_ngrams, l2_normalize
 from .lexicon import select_words
 from .vector_sums import list_column, sum_vectors
 
+# An n-gram table up to this size is sent to every executor.
+NGRAM_BROADCAST_BYTES = 32 * 1024 * 1024
+
 Encoder = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -49,12 +52,17 @@ def subword_vectors(
 
     A word without any known n-gram keeps a row with the zero vector.
     """
-    grams = word_ngrams(words.select("word_id", "word"), n_min, n_max)
-    hits = grams.join(ngram_table.select("ngram", "features"), "ngram")
-    sums = sum_vectors(hits, ["word_id"], "features")
-    known = ngram_table.select(F.size("features").alias("d")).first()
-    if known is None:
+    known = ngram_table.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
+    if not known["n"]:
         raise ValueError("the n-gram table is empty")
+    grams = word_ngrams(words.select("word_id", "word"), n_min, n_max)
+    table = ngram_table.select("ngram", "features")
+    if known["n"] * known["d"] * 4 <= NGRAM_BROADCAST_BYTES:
+        # the n-grams of a word stay together, so a task adds them up before the shuffle
+        hits = grams.join(F.broadcast(table), "ngram")
+    else:
+        hits = grams.join(table, "ngram").repartition("word_id")
+    sums = sum_vectors(hits.select("word_id", "features"), ["word_id"], "features")
     zeros = F.array_repeat(F.lit(0.0), known["d"])
     return (
         words.select("word_id", "word")
