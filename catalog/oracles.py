@@ -267,9 +267,9 @@ def _subword(words: str) -> list[tuple[str, str]]:
         (
             "buckets",
             """SELECT ngram, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM (
-                 SELECT DISTINCT ngram FROM grams) JOIN embeddings ON vec_id =
-                 ('0x' || substr(md5('bucket:' || ngram), 1, 15))::BIGINT
-                 % (SELECT count(*) FROM embeddings)""",
+                 SELECT ngram, ('0x' || substr(md5('bucket:' || ngram), 1, 15))::BIGINT % n AS b
+                 FROM (SELECT DISTINCT ngram FROM grams), (SELECT count(*) AS n FROM embeddings))
+               JOIN embeddings ON vec_id = b""",
         ),
         (
             "sums",

@@ -6,8 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,17 +90,43 @@ def _combine(keys: list[str]):
     return run
 
 
+def _merge(keys: list[str]):
+    """Sums over rows sorted by key; the last key of a batch waits for the next batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            doubles = list_column(matrix(table["vec"]))
+            table = table.set_column(table.column_names.index("vec"), "vec", doubles)
+            if carry is not None:
+                table = pa.concat_tables([carry, table])
+            codes, distinct = group_codes(table, keys)
+            sums = grouped_sum(codes, matrix(table["vec"]), distinct.num_rows)
+            out = distinct.append_column("vec", list_column(sums))
+            last = int(codes[-1])
+            carry = out.slice(last, 1)
+            if out.num_rows > 1:
+                done = pa.concat_tables([out.slice(0, last), out.slice(last + 1)])
+                yield from done.combine_chunks().to_batches()
+        if carry is not None:
+            yield from carry.combine_chunks().to_batches()
+
+    return run
+
+
 def sum_vectors(df: DataFrame, keys: list[str], vec: str, combine: bool = True) -> DataFrame:
     """``keys + vec`` with the element-wise sum of ``vec`` per key, in doubles.
 
     Each task first adds up its own rows, so a hot key sends one row per task
-    to the shuffle; the merge of these partial rows runs on the JVM.
+    to the shuffle; partial rows are then sorted by key and merged in a stream.
     """
     rows = df.select(*keys, F.col(vec).alias("vec"))
+    doubles = T.StructField("vec", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*rows.select(*keys).schema.fields, doubles])
     if combine:
-        doubles = T.StructField("vec", T.ArrayType(T.DoubleType()))
-        rows = rows.mapInArrow(
-            _combine(keys), T.StructType([*rows.select(*keys).schema.fields, doubles])
-        )
-    total = vector_to_array(Summarizer.sum(array_to_vector("vec"))).alias(vec)
-    return rows.groupBy(*keys).agg(total)
+        rows = rows.mapInArrow(_combine(keys), schema)
+    merged = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_merge(keys), schema)
+    return merged.withColumnRenamed("vec", vec)
