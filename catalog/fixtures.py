@@ -135,7 +135,7 @@ def word_pairs(spark, sf_dir) -> DataFrame:
 def synsets(spark, sf_dir) -> DataFrame:
     """``word, synset_id``: one sense per language a word occurs in."""
     sense = F.concat_ws("@", "word", "lang").alias("synset_id")
-    return word_counts(spark, sf_dir, "lang").select("word", sense)
+    return materialize(word_counts(spark, sf_dir, "lang").select("word", sense), "synsets")
 
 
 def hypernyms(spark, sf_dir) -> DataFrame:
@@ -163,7 +163,7 @@ def hypernyms(spark, sf_dir) -> DataFrame:
             for a, b in steps
         ]
     )
-    return w.select(F.explode(edges).alias("e")).select("e.*").distinct()
+    return materialize(w.select(F.explode(edges).alias("e")).select("e.*").distinct(), "hypernyms")
 
 
 def word_clusters(spark, sf_dir) -> DataFrame:
@@ -187,7 +187,8 @@ def word_clusters(spark, sf_dir) -> DataFrame:
             uniform_hash(F.col("word"), "single").alias("cluster"),
         ),
     )
-    return words.select(F.explode(tags).alias("t"), "word").select("t.*", "word")
+    tagged = words.select(F.explode(tags).alias("t"), "word").select("t.*", "word")
+    return materialize(tagged, "word-clusters")
 
 
 def metrics(spark, sf_dir) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vector_norm
 from ..runtime import materialize
 from .kmeans import as_points, require_k
-from .tiles import block_rows_for, directed_tiles, unordered_tiles, with_block
+from .tiles import block_rows_for, blocks_of, directed_tiles, unordered_tiles, with_block
 from .vector_sums import matrix
 
 # Heights are compared at this many decimals, so equal heights fall back to ids.
@@ -40,11 +40,12 @@ def _heights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.round(1.0 - x @ y.T, DIGITS)
 
 
-def _nearest_clusters(state: DataFrame, n_all: int, block_rows: int) -> DataFrame:
+def _nearest_clusters(
+    state: DataFrame, n_all: int, n_open: int, block_rows: int
+) -> DataFrame:
     """``id, height, nn`` for the clusters of ``state`` whose neighbour is not known."""
     mean = F.transform("total", lambda t: t / F.col("n")).alias("vec")
     everyone = state.select("id", mean)
-    n_open = state.where(F.col("nn").isNull()).count()
 
     def symmetric(a: pa.Table, b: pa.Table | None) -> pa.Table:
         ids_a, x = a["id"].to_numpy(), matrix(a["vec"])
@@ -73,6 +74,7 @@ def _nearest_clusters(state: DataFrame, n_all: int, block_rows: int) -> DataFram
         found = directed_tiles(
             with_block(wanted, "id", n_open, block_rows),
             with_block(everyone, "id", n_all, block_rows),
+            (blocks_of(n_open, block_rows), blocks_of(n_all, block_rows)),
             directed,
             FOUND,
         )
@@ -140,10 +142,11 @@ def dendrogram(
     if count == 0:
         raise ValueError("no points")
     d = state.select(F.size("total")).first()[0]
+    n_open = count
     merges = []
     while count > max(1, finish_at):
         size = block_rows or block_rows_for(state, count, 8 * d)
-        found = _nearest_clusters(state, count, size)
+        found = _nearest_clusters(state, count, n_open, size)
         state = materialize(
             state.join(found.select("id", F.struct("nn", "height").alias("new")), "id", "left")
             .select(
@@ -170,6 +173,7 @@ def dendrogram(
         merged, state = _merge(state, pairs, unknown)
         merges.append(merged)
         state = materialize(state, "clusters")
+        n_open = state.where(F.col("nn").isNull()).count()
         count -= n_pairs
     left_over = state.select("id", "n", "total", F.lit(0).alias("one"))
     last = left_over.groupBy("one").applyInArrow(_finish, MERGES)

@@ -42,24 +42,22 @@ def hypernym_jaccard(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
     Overlaps are counted by joins on the hypernym, never as collected sets.
     """
     edges = hypernyms.select("synset_id", "hypernym_id").distinct()
-    size = edges.groupBy("synset_id").agg(F.count("*").alias("n"))
-    wanted = pairs.select("s1", "s2").distinct()
-    shared = (
-        wanted.join(edges.select(F.col("synset_id").alias("s1"), "hypernym_id"), "s1")
-        .join(edges.select(F.col("synset_id").alias("s2"), "hypernym_id"), ["s2", "hypernym_id"])
+    size = edges.groupBy(F.col("synset_id").alias("s2")).agg(F.count("*").alias("n2"))
+    first = edges.select(F.col("synset_id").alias("s1"), "hypernym_id")
+    second = edges.select(F.col("synset_id").alias("s2"), "hypernym_id", F.lit(1).alias("hit"))
+    counts = (
+        pairs.select("s1", "s2")
+        .distinct()
+        .join(first, "s1", "left")
+        .join(second, ["s2", "hypernym_id"], "left")
         .groupBy("s1", "s2")
-        .agg(F.count("*").alias("both"))
+        .agg(F.count("hypernym_id").alias("n1"), F.count("hit").alias("shared"))
     )
-    return (
-        wanted.join(shared, ["s1", "s2"], "left")
-        .join(size.select(F.col("synset_id").alias("s1"), F.col("n").alias("n1")), "s1", "left")
-        .join(size.select(F.col("synset_id").alias("s2"), F.col("n").alias("n2")), "s2", "left")
-        .select(
-            "s1",
-            "s2",
-            F.coalesce(F.col("both") / (F.col("n1") + F.col("n2") - F.col("both")), F.lit(0.0))
-            .alias("jaccard"),
-        )
+    union = F.col("n1") + F.coalesce("n2", F.lit(0)) - F.col("shared")
+    return counts.join(size, "s2", "left").select(
+        "s1",
+        "s2",
+        F.when(F.col("shared") > 0, F.col("shared") / union).otherwise(F.lit(0.0)).alias("jaccard"),
     )
 
 
@@ -95,18 +93,16 @@ def path_similarity(
     """``s1, s2, path_sim``: 1 / (1 + shortest path over a common ancestor), null if none."""
     wanted = pairs.select("s1", "s2").distinct()
     if up is None:
+        wanted = materialize(wanted, "synset-pairs")
         both = wanted.select(F.explode(F.array("s1", "s2")).alias("synset_id"))
         up = ancestors(both, hypernyms, max_depth)
     first = up.select(F.col("synset_id").alias("s1"), "ancestor", F.col("up").alias("u1"))
     second = up.select(F.col("synset_id").alias("s2"), "ancestor", F.col("up").alias("u2"))
-    lengths = (
-        wanted.join(first, "s1")
-        .join(second, ["s2", "ancestor"])
+    return (
+        wanted.join(first, "s1", "left")
+        .join(second, ["s2", "ancestor"], "left")
         .groupBy("s1", "s2")
-        .agg(F.min(F.col("u1") + F.col("u2")).alias("length"))
-    )
-    return wanted.join(lengths, ["s1", "s2"], "left").select(
-        "s1", "s2", (F.lit(1.0) / (1 + F.col("length"))).alias("path_sim")
+        .agg((F.lit(1.0) / (1 + F.min(F.col("u1") + F.col("u2")))).alias("path_sim"))
     )
 
 

@@ -38,9 +38,13 @@ def _block(key: Column, n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), n_blocks.cast("long")).cast("int")
 
 
+def blocks_of(n_rows: int, block_rows: int) -> int:
+    return max(1, math.ceil(n_rows / block_rows))
+
+
 def with_block(df: DataFrame, key: str, n_rows: int, block_rows: int) -> DataFrame:
     """Add ``n_blocks`` and ``block`` for one ungrouped table of known size."""
-    n_blocks = max(1, math.ceil(n_rows / block_rows))
+    n_blocks = blocks_of(n_rows, block_rows)
     return df.withColumn("n_blocks", F.lit(n_blocks)).withColumn(
         "block", _block(F.col(key), F.col("n_blocks"))
     )
@@ -85,33 +89,30 @@ def unordered_tiles(
 def directed_tiles(
     rows: DataFrame,
     columns: DataFrame,
+    n_blocks: tuple[int, int],
     run: Callable[[pa.Table, pa.Table], pa.Table],
     schema: str,
 ) -> DataFrame:
     """Apply ``run(a, b)`` to every block of ``rows`` against every block of ``columns``.
 
-    Both sides carry ``block`` and ``n_blocks`` and share the same columns.
+    Both sides carry ``block`` and share the same columns.
     """
     cols = [c for c in rows.columns if c not in ("block", "n_blocks")]
-    n_row_blocks, n_col_blocks = "tile_rows", "tile_cols"
+    n_row_blocks, n_col_blocks = n_blocks
 
     def sent(side: DataFrame, is_row: bool, others: int) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
         return side.withColumn("other", other).select(
             *cols,
             F.lit(is_row).alias("is_row"),
-            F.col("block" if is_row else "other").alias(n_row_blocks),
-            F.col("other" if is_row else "block").alias(n_col_blocks),
+            F.col("block" if is_row else "other").alias("tile_rows"),
+            F.col("other" if is_row else "block").alias("tile_cols"),
         )
 
-    def count(side: DataFrame) -> int:
-        first = side.select("n_blocks").first()
-        return first["n_blocks"] if first else 1
-
-    both = sent(rows, True, count(columns)).unionByName(sent(columns, False, count(rows)))
+    both = sent(rows, True, n_col_blocks).unionByName(sent(columns, False, n_row_blocks))
 
     def tile(table: pa.Table) -> pa.Table:
         is_row = table["is_row"]
         return run(table.filter(is_row), table.filter(pc.invert(is_row)))
 
-    return both.groupBy(n_row_blocks, n_col_blocks).applyInArrow(tile, schema)
+    return both.groupBy("tile_rows", "tile_cols").applyInArrow(tile, schema)
