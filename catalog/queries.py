@@ -411,7 +411,7 @@ def run_suite(spark, sf_dir):
 
 @query
 def subword_kmeans_metrics(spark, sf_dir):
-    """Words to metrics: ranked words, subword vectors, k-means from fixed seeds, scores."""
+    """Words to metrics: ranked words, subword vectors, k-means at two k, scores."""
     words = lex.select_words(fx.lexicon(spark, sf_dir), TOP_BEFORE, when="before")
     vectors = vec.subword_embeddings(words, fx.ngram_table(spark, sf_dir, words))
     fits = suite.sweep(vectors, [50, 200], ["Voronoi_Partition"], n_init=1,
