@@ -67,10 +67,11 @@ def fit(
     counts: np.ndarray,
     labels: np.ndarray,
     min_df: int = 5,
-    epochs: int = 12,
+    clear_z: float = 5.0,
+    steps: int = 400,
     batch: int = 256,
     rate: float = 0.15,
-    l1: float = 2e-3,
+    l1: float = 5e-4,
     group: float = 2e-3,
     seed: int = 0,
 ) -> tuple[float, np.ndarray, np.ndarray]:
@@ -86,10 +87,19 @@ def fit(
     starts = ends - counts
     kept = np.flatnonzero(known)
     factors[kept] = rng.normal(0.0, 0.02, (len(kept), FACTORS))
+    # start from the log odds of terms whose share differs clearly between the labels
+    row = np.repeat(np.arange(len(counts)), counts)
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    d1 = np.bincount(terms, labels[row], BUCKETS)
+    p, p1, p0 = df / len(labels), d1 / n1, (df - d1) / n0
+    z = (p1 - p0) / np.sqrt(np.maximum(p * (1 - p) * (1 / n1 + 1 / n0), 1e-12))
+    odds = np.log((d1 + 0.5) / (n1 + 1)) - np.log((df - d1 + 0.5) / (n0 + 1))
+    clear = known & (np.abs(z) >= clear_z)
+    weights[clear] = np.clip(odds[clear], -4.0, 4.0)
     share = float(labels.mean())
     bias, g_bias = float(np.log(share / (1 - share))), 1e-8
     g_w, g_v = np.full(BUCKETS, 1e-8), np.full(BUCKETS, 1e-8)
-    for _ in range(epochs):
+    for _ in range(-(-steps * batch // len(labels))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
