@@ -12,6 +12,7 @@ follows reads them again when executors are lost.
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from lexigrove.runtime import scratch_path
 
-CHUNK_BYTES = 32 * 1024 * 1024  # of text; a longer text is a chunk of its own
+CHUNK_BYTES = 16 * 1024 * 1024  # of text; a longer text is a chunk of its own
+OUT_ROWS = 1024  # rows of a batch that goes back to Spark
 ROWS = "chunk long, part int, payload binary"
 BODY = -1
 _SCHEMA = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("payload", pa.binary())])
@@ -126,7 +128,7 @@ def build(
     name: str,
     chunk_bytes: int = CHUNK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """Write the chunk table of ``docs``; return its bodies and its blocks.
+    """Write the chunk table of ``docs``, bucketed by chunk; return its bodies and its blocks.
 
     ``make(table)`` gives the rows of a chunk: one (BODY, bytes) and any (part, bytes).
     Chunks number the rows of a partition in order.
@@ -146,15 +148,16 @@ def build(
                 schema=_SCHEMA,
             )
 
-    path = scratch_path(spark, name)
     rows = docs.mapInArrow(task, ROWS).withColumn("is_body", F.col("part") == BODY)
-    rows.write.partitionBy("is_body").parquet(path)
-    table = spark.read.schema(rows.schema).parquet(path)
+    path = scratch_path(spark, name)
+    table = f"chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.partitionBy("is_body").bucketBy(buckets, "chunk")
+    writer.option("path", path).saveAsTable(table)
+    stored = spark.table(table).select("chunk", "part", "payload", "is_body")
+    blocks = spark.read.schema(rows.schema).parquet(path)  # without the buckets: more, smaller scans
     columns = ["chunk", "part", "payload"]
-    return (
-        table.filter("is_body").select(*columns),
-        table.filter("not is_body").select(*columns),
-    )
+    return stored.filter("is_body").select(*columns), blocks.filter("not is_body").select(*columns)
 
 
 def exchange(
@@ -179,14 +182,19 @@ def meet(
     finish: Callable[[int, bytes, list[bytes]], pa.Table],
     schema: str,
 ) -> DataFrame:
-    """Bring each body together with the replies to its blocks, which come by part."""
+    """Bring each body together with the replies to its blocks, which come by part.
 
-    def task(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        payloads = table["payload"].to_pylist()
-        return finish(table["chunk"][0].as_py(), payloads[0], payloads[1:])
+    Bodies are stored by chunk, so only the replies are shuffled.
+    """
+
+    def task(body: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("part")["payload"].to_pylist()
+        out = finish(body["chunk"][0].as_py(), body["payload"][0].as_py(), answers)
+        return pa.Table.from_batches(out.to_batches(max_chunksize=OUT_ROWS), out.schema)
 
-    return bodies.unionByName(replies).groupBy("chunk").applyInArrow(task, schema)
+    return (
+        bodies.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(task, schema)
+    )
 
 
 # --- hashes that several chunks have ---------------------------------------------------------
