@@ -46,9 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to the text that was encoded."""
-    path = tokenizer_path()
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    """Token ids of each document, and the digest of the text that they decode to."""
+    return bpe.encode(docs, tokenizer_path(), decoded_col="decoded").select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import chunks
 from .words import hash_words, one_array, rank_words, split_words
 
-ENCODE_SLICE = 50_000  # words that the library encodes in one call
+ENCODE_SLICE = 5_000  # words that the library encodes in one call
+DECODE_ROWS = 512  # rows whose pieces are joined at once
 
 
 def read_tokenizer(path: str) -> str:
@@ -98,10 +99,14 @@ def encode_chunks(docs: DataFrame, path: str, finish, schema: str, id_col: str,
                 mine = distinct.take(pa.array(order[cuts[p] : cuts[p + 1]]))
                 yield p, chunks.dump_words(mine)
 
+    loaded = []  # once per task
+
     def reply(payloads: list[bytes]) -> list[bytes]:
+        if not loaded:
+            loaded.append(_library(tokenizer.value))
         blocks = [chunks.load_words(p) for p in payloads]
         coded = pa.concat_arrays(blocks).dictionary_encode()
-        ids, lengths = encode_words(_library(tokenizer.value), coded.dictionary)
+        ids, lengths = encode_words(loaded[0], coded.dictionary)
         small = np.uint16 if len(ids) == 0 or ids.max() < 2**16 else np.int32
         ids, starts = ids.astype(small), np.cumsum(lengths) - lengths
         codes, at, out = coded.indices.to_numpy(), 0, []
@@ -130,16 +135,44 @@ def encode_chunks(docs: DataFrame, path: str, finish, schema: str, id_col: str,
     return chunks.meet(bodies, chunks.exchange(blocks, reply), join, schema)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its id and ``ids``, the token ids of its whole text."""
+def encode(
+    docs: DataFrame,
+    path: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded_col: str | None = None,
+) -> DataFrame:
+    """One row per document: its id and ``ids``, the token ids of its whole text.
+
+    ``decoded_col`` adds what ``decode`` would, in the same tasks.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"`{id_col}` {kind}, ids array<int>"
+    pieces = None
+    if decoded_col:
+        schema += f", `{decoded_col}` string"
+        pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(path))  # as long as the vocabulary
 
     def rows(chunk, ids, counts, tokens):
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))
-        return pa.table({id_col: one_array(ids), "ids": lists})
+        columns = {id_col: one_array(ids), "ids": lists}
+        if pieces is not None:
+            columns[decoded_col] = _joined(lists, pa.array(pieces.value, pa.string()))
+        return pa.table(columns)
+
+    return encode_chunks(docs, path, rows, schema, id_col, text_col)
+
 
-    return encode_chunks(docs, path, rows, f"`{id_col}` {kind}, ids array<int>", id_col, text_col)
+def _joined(lists: pa.ListArray, pieces: pa.Array) -> pa.ChunkedArray:
+    """The pieces of each list of ids, joined by spaces; a null list has none."""
+    out = []
+    for at in range(0, len(lists), DECODE_ROWS):
+        part = lists.slice(at, DECODE_ROWS)
+        starts = part.offsets.to_numpy()
+        texts = pa.ListArray.from_arrays(pa.array(starts - starts[0]), pieces.take(part.flatten()))
+        out.append(pc.binary_join(texts, " "))
+    return pa.chunked_array(out, pa.string())
 
 
 def pieces_of(path: str) -> list[str]:
@@ -158,9 +191,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
     def task(batches):
         pieces = pa.array(table.value, pa.string())
         for batch in batches:
-            lists = batch.column(ids_col)  # a null list has no values
-            texts = pa.ListArray.from_arrays(lists.offsets, pieces.take(lists.values))
-            joined = pc.binary_join(texts, " ")
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*batch.schema.names, out_col])
+            table = pa.Table.from_batches([batch])
+            texts = _joined(batch.column(ids_col), pieces)
+            yield from table.append_column(out_col, texts).to_batches()
 
     return encoded.mapInArrow(task, schema)

@@ -167,6 +167,7 @@ def exchange(
 
     def task(table: pa.Table) -> pa.Table:
         answers = reply(table["payload"].to_pylist())
+        pa.default_memory_pool().release_unused()
         keep = pa.array([a is not None for a in answers], pa.bool_())
         out = pa.table(
             [table["chunk"], table["part"], pa.array(answers, pa.binary())], schema=_SCHEMA
@@ -190,6 +191,7 @@ def meet(
     def task(body: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")["payload"].to_pylist()
         out = finish(body["chunk"][0].as_py(), body["payload"][0].as_py(), answers)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(out.to_batches(max_chunksize=OUT_ROWS), out.schema)
 
     return (

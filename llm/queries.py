@@ -53,8 +53,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _digests(encoded: DataFrame, path: str) -> DataFrame:
-    return bpe.decode(encoded, path).select(
+def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode(docs, tokenizer_path(), decoded_col="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
@@ -62,11 +63,6 @@ def _digests(encoded: DataFrame, path: str) -> DataFrame:
     )
 
 
-def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    return _digests(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
-
-
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation against itself with its first assistant reply in place of the last."""
     rows = chat.conversations(_table(spark, sf_dir, "conversations"))
