@@ -8,10 +8,12 @@ sketch has more than ``D`` blocks, and at most ``D`` of them differ. Each set po
 similar set, and there it is posted as well: of the two posting thresholds take the stricter.
 
 Posted blocks that no other chunk of documents holds are dropped. Equal sets are one class.
-Classes that share a block are compared by pivots: the most central member of a large group
-with all others, every pair of a small one, and again with further pivots until each group is
-in one component or all its members were pivots. So no pairs of a group of copies are listed
-and no link between components is missed. All pairs are verified on the whole sets.
+Classes that share a block are compared by pivots first: the most central members of a large
+group with all others, every pair of a small one. What is linked so is one component, and its
+pairs say nothing new. Groups that still hold several components are compared in tiles of
+bounded size: only pairs of different components whose folded sketches are near enough leave a
+tile. So the pairs of a group of copies are not listed, and no link between components is
+missed. All pairs that are listed are verified on the whole sets.
 
 A-Z are lower-cased. Fewer words than ``n`` make one shingle. Texts without words, and rows
 with a null id, link with nothing. Rows that share an id are one document; its component is
@@ -39,7 +41,9 @@ BAND = 1.2  # largest over smallest size of a band
 BLOCKS_PER_BOUND = 1.6  # sketch blocks for each posted one
 BLOCK_BITS = 128
 SMALL_GROUP = 4  # members up to which every pair of a group is compared at once
-PIVOTS = 16  # per round in a larger group
+PIVOTS = 2  # of a larger group that the first one leaves in several components
+FOLD_BITS = 2048  # of the folded sketch that a tile compares
+TILE_ROWS = 1024
 
 
 def bands(size: int, percent: int) -> list[tuple[int, int]]:
@@ -106,6 +110,12 @@ def shingle_sets(
     return out
 
 
+def folded(shingles: np.ndarray) -> bytes:
+    """One sketch of fixed size: its Hamming distance is at most the symmetric difference."""
+    bit = (mix(shingles) & np.uint64(FOLD_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=FOLD_BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Per row: id, set size, set digest, the posted keys that others share, and then the set."""
     parts = chunks.n_parts(docs.sparkSession)
@@ -136,13 +146,14 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
         shared = chunks.gathered(replies)
         sets = shingle_sets(chunks.load_words(listed.tobytes()), codes, counts, n)
         sizes = np.array([len(s) for s in sets], np.int64)
-        digests, keys, kept = [], [], []
+        digests, keys, kept, folds = [], [], [], []
         for own in sets:
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             mine = posted_blocks(own, percent) if len(own) else own
             mine = mine[chunks.member(mine, shared)]
             keys.append(mine.view(np.int64))
             kept.append(own.view(np.int64) if len(mine) else None)
+            folds.append(folded(own) if len(mine) else None)
         longs = pa.list_(pa.int64())
         return pa.table(
             {
@@ -151,12 +162,14 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 "digest": pa.array(digests, pa.binary()),
                 "keys": pa.array(keys, longs),
                 "shingles": pa.array(kept, longs),
+                "fold": pa.array(folds, pa.binary()),
             }
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
-        f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, shingles array<long>"
+        f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, "
+        "shingles array<long>, fold binary"
     )
     bodies, blocks = chunks.build(docs.select(id_col, text_col), text_col, make, "ngram-chunks")
     rows = chunks.meet(bodies, chunks.exchange(blocks, reply), finish, schema)
@@ -185,7 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) that connect every component of similar classes.
 
-    ``posts`` has (key, node), ``sets`` (node, n, shingles).
+    ``posts`` has (key, node), ``sets`` (node, n, shingles, fold).
     """
     groups = posts.groupBy("key").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("who")
@@ -203,38 +216,83 @@ def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     each = small.select(F.col("nodes"), F.posexplode("nodes").alias("i", "a"))
     pairs = each.select("a", F.explode(F.expr("slice(nodes, i + 2, size(nodes))")).alias("b"))
-    named = large.withColumn("component", F.col("node"))
-    central = large.groupBy("key").agg(
-        F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")
-    ).withColumn("home", F.col("pivot"))
-    links, used = None, None
-    while True:
-        tried = named.join(central, "key").filter("component != home").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
+    pivot = F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")
+    first = large.groupBy("key").agg(pivot)
+    star = large.join(first, "key").filter("node != pivot")
+    links = materialize(_verified(pairs.unionByName(_ordered(star)).distinct(), sets, percent), "ngram-links")
+
+    named = materialize(_mixed(large, links), "ngram-mixed")
+    size = named.groupBy("key", "component").agg(F.count("*").alias("size"))
+    slots = named.join(size, ["key", "component"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
+    # members of the largest component first, as the others are most likely to link to it
+    order = F.struct("size", "weight", -F.col("node"))
+    more = slots.groupBy("key", "slot").agg(
+        F.max_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("home")), order).alias("best")
+    ).select("key", "best.*")
+    star = named.join(more, "key").filter("component != home")
+    links = links.unionByName(_verified(_ordered(star).distinct(), sets, percent))
+    links = materialize(links, "ngram-links")
+
+    near = _near(_mixed(large, links), sets, percent)
+    return links.unionByName(_verified(near, sets, percent))
+
+
+def _ordered(star: DataFrame) -> DataFrame:
+    return star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+
+
+def _mixed(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups that lie in several components, with the component of each member."""
+    label = components(links, "a", "b").withColumnRenamed("node", "n0")
+    named = groups.join(label, F.col("n0") == F.col("node"), "left")
+    named = named.withColumn("component", F.coalesce("component", "node")).drop("n0")
+    several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return named.join(several.filter("lo != hi").select("key"), "key")
+
+
+def _near(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a group in different components whose folded sketches allow a link."""
+    bins = 4 * int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = named.join(sets.select("node", "n", "fold"), "node")
+    blocks = F.ceil(F.col("members") / F.lit(TILE_ROWS)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("blocks")).cast("int")
+    )
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", "node", "component", "n", "fold", "block",
+        F.least("block", "other").alias("lo"),
+        F.greatest("block", "other").alias("hi"),
+        F.pmod(F.xxhash64("key"), F.lit(bins)).alias("bin"),
+    )
+
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, node, component, n, block = (
+            table[c].to_numpy() for c in ("key", "node", "component", "n", "block")
         )
-        found = _verified(pairs.unionByName(tried).distinct(), sets, percent)
-        links = materialize(found if links is None else links.unionByName(found), "ngram-links")
-        now = central.select("key", F.col("pivot").alias("node"))
-        used = materialize(now if used is None else used.unionByName(now), "ngram-pivots")
-        # groups that are still in several components, and their members that were no pivots
-        label = components(links, "a", "b").withColumnRenamed("node", "n0")
-        named = large.join(label, F.col("n0") == F.col("node"), "left")
-        named = named.withColumn("component", F.coalesce("component", "node")).drop("n0")
-        mixed = named.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi")
-        ).filter("lo != hi")
-        named = materialize(named.join(mixed.select("key"), "key"), "ngram-mixed")
-        size = named.groupBy("key", "component").agg(F.count("*").alias("size"))
-        left = named.join(used, ["key", "node"], "left_anti").join(size, ["key", "component"])
-        left = left.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)))
-        # members of small components first: a missing link is most likely theirs
-        order = F.struct(-F.col("size"), "weight", -F.col("node"))
-        best = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("home")), order)
-        central = left.groupBy("key", "slot").agg(best.alias("best")).select("key", "best.*")
-        central = materialize(central, "ngram-central")
-        if central.isEmpty():
-            return links
-        pairs = pairs.limit(0)
+        folds = np.frombuffer(b"".join(table["fold"].to_pylist()), np.uint64).reshape(len(key), -1)
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
+        found = []
+        for start, stop in zip(cuts, cuts[1:]):
+            rows = np.arange(start, stop)
+            left, right = (rows, rows) if lo == hi else (rows[block[rows] == lo], rows[block[rows] == hi])
+            strip = max(1, (1 << 19) // max(1, len(right) * folds.shape[1]))
+            for at in range(0, len(left), strip):
+                i = left[at : at + strip, None]
+                both = n[i] + n[right]
+                fits = (component[i] != component[right]) & (
+                    100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
+                )
+                apart = np.bitwise_count(folds[i] ^ folds[right]).sum(axis=2, dtype=np.int64)
+                fits &= (100 + percent) * apart <= (100 - percent) * both
+                x, y = np.nonzero(fits)
+                a, b = node[i[x, 0]], node[right[y]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found + [np.zeros((0, 2), np.int64)]), axis=0)
+        return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+
+    return tiles.groupBy("bin", "lo", "hi").applyInArrow(tile, "a long, b long").distinct()
 
 
 def similarity_components(
@@ -249,7 +307,7 @@ def similarity_components(
     # a class is its smallest id; its members link to it
     in_class = full.select("node", "digest").join(classes, "digest").filter("node != rep")
     same = in_class.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    reps = full.select("node", "digest", F.col("n_shingles").alias("n"), "keys", "shingles").join(
+    reps = full.select("node", "digest", F.col("n_shingles").alias("n"), "keys", "shingles", "fold").join(
         classes.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi"
     )
     # an id with several texts keeps them apart here, as their sets differ
@@ -257,7 +315,7 @@ def similarity_components(
         reps.filter(F.size("keys") > 0).dropDuplicates(["digest"]), "ngram-classes"
     )
     posts = reps.select("node", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    sets = reps.select("node", "n", "shingles")
+    sets = reps.select("node", "n", "shingles", "fold")
     links = _links(posts, sets, percent).unionByName(same)
     label = components(materialize(links, "ngram-edges"), "a", "b")
     return rows.select(F.col("node").alias(id_col), "n_shingles").join(
