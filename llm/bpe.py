@@ -185,11 +185,11 @@ def pieces_of(path: str) -> list[str]:
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Add the text of each list of ids: its pieces, joined by spaces (null list: empty text)."""
     spark = encoded.sparkSession
-    table = spark.sparkContext.broadcast(pieces_of(path))  # as long as the vocabulary
+    listed = spark.sparkContext.broadcast(pieces_of(path))  # as long as the vocabulary
     schema = encoded.select("*", F.lit("").alias(out_col)).schema
 
     def task(batches):
-        pieces = pa.array(table.value, pa.string())
+        pieces = pa.array(listed.value, pa.string())
         for batch in batches:
             table = pa.Table.from_batches([batch])
             texts = _joined(batch.column(ids_col), pieces)

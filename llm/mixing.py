@@ -115,12 +115,16 @@ def mix(
     source_col: str = "source",
     max_copies: int = 3,
     seed: int = 0,
+    draw_col: str | None = None,
 ) -> DataFrame:
-    """Per row: id, source, size, source_size, target, ``copies`` and ``taken`` (words)."""
+    """Per row: id, source, size, source_size, target, ``copies`` and ``taken`` (words).
+
+    ``draw_col``: the column whose hash draws the documents, by default the id.
+    """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = materialize(
         docs.select(
-            F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size")
+            F.col(id_col).alias("id"), F.col(draw_col or id_col).alias("drawn"), F.col(source_col).cast("string").alias("source"), size.alias("size")
         ),
         "mix-sizes",
     )
@@ -129,6 +133,7 @@ def mix(
 
     def plan(table: pa.Table) -> pa.Table:
         """Whole copies and further single ones for each length of a source."""
+        table = table.sort_by("size")
         lengths, n = table["size"].to_numpy(), table["n"].to_numpy()
         words, target = table["source_size"][0].as_py(), table["target"][0].as_py()
         whole = min(max_copies, int(target // words)) if words else 0
@@ -157,7 +162,7 @@ def mix(
     groups = plans.select(
         F.col("source").alias("s"), F.col("size").alias("z"), "n", "whole", "extra", "source_size", "target"
     )
-    lot = F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(1 << 40))
+    lot = F.pmod(F.xxhash64(F.lit(seed), "drawn", "size"), F.lit(1 << 40))
     drawn = rows.join(groups, F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size"))).drop("s", "z")
     drawn = drawn.withColumn("lot", lot).withColumn(
         "cell", F.floor(F.col("lot") * F.ceil(F.col("n") / DRAW_ROWS) / float(1 << 40))
@@ -172,7 +177,7 @@ def mix(
         F.col("cell").alias("c"),
         F.coalesce(before, F.lit(0)).alias("before"),
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("lot", "id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("lot", "drawn", "id"))
     ranked = drawn.withColumn("rank", rank).join(
         cells,
         F.col("s").eqNullSafe(F.col("source")) & (F.col("z") == F.col("size")) & (F.col("c") == F.col("cell")),
@@ -198,7 +203,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     while row in docs.columns:
         row += "_"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    plan = mix(numbered, row, text_col, source_col).filter("copies > 0").select(
+    plan = mix(numbered, row, text_col, source_col, draw_col=id_col).filter("copies > 0").select(
         F.col(row).alias("r"), F.col("copies").cast("int").alias("times")
     )
     joined = numbered.join(plan, F.col("r") == F.col(row))

@@ -325,8 +325,22 @@ def similarity_components(
     )
 
 
-def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; null ids stay."""
-    found = similarity_components(docs, n, percent, id_col, text_col)
-    copies = found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(copies, id_col, "left_anti")
+def keep_first(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row of each component: that of the smallest id, of repeated rows the largest.
+
+    Rows with a null id stay.
+    """
+    found = similarity_components(docs, n, percent, id_col, text_col).filter(F.col(id_col).isNotNull())
+    mark = "is_first"
+    while mark in docs.columns:
+        mark += "_"
+    # ids that do not simply stay
+    marked = found.groupBy(id_col).agg(
+        F.count("*").alias("n_rows"), (F.min("component_id") == F.col(id_col)).alias(mark)
+    ).filter(~F.col(mark) | (F.col("n_rows") > 1)).select(id_col, mark)
+    joined = docs.join(marked, id_col, "left").select(*[F.col(f"`{c}`") for c in docs.columns], mark)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = joined.filter(mark).groupBy(id_col).agg(F.max(row).alias("row")).select("row.*")
+    return joined.filter(F.col(mark).isNull()).drop(mark).unionByName(repeated)
