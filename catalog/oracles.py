@@ -137,7 +137,7 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
                SELECT DISTINCT synset_id, synset_id AS ancestor, 0 AS u FROM synsets
                UNION ALL
                SELECT r.synset_id, h.hypernym_id, u + 1 FROM r
-               JOIN hypernyms h ON h.synset_id = r.ancestor WHERE u < 20)
+               JOIN hypernyms h ON h.synset_id = r.ancestor)
              SELECT * FROM r) GROUP BY ALL""",
     ),
     "clusters": (
@@ -334,7 +334,7 @@ def _silhouette(base: str, extra: list[tuple[str, str]], per_point: bool = False
         body = """SELECT algorithm, k, word_id, cluster_size, round(a, 6) AS a, round(b, 6) AS b,
                     round(silhouette, 6) AS silhouette FROM sil"""
     else:
-        body = """SELECT algorithm, k, round(avg(silhouette), 6) AS silhouette
+        body = """SELECT algorithm, k, count(*) AS silhouette_points, round(avg(silhouette), 6) AS silhouette
                   FROM sil GROUP BY ALL"""
     return _with(["asg", "dist"], body, steps)
 
@@ -761,6 +761,17 @@ def oracle_sql() -> dict[str, str]:
                FROM (SELECT DISTINCT s1, s2 FROM sense_pairs) LEFT JOIN paths USING (s1, s2)""",
             _BEST_PAIR,
         ),
+        "path_similarity_deep": """WITH RECURSIVE h AS (
+             SELECT 'p' || p_partkey AS synset_id, CASE WHEN p_partkey % 40 = 39
+               THEN 'g' || (p_partkey // 80) ELSE 'p' || (p_partkey + 1) END AS hypernym_id FROM part),
+           q AS (SELECT 'p' || p_partkey AS s1, 'p' || (p_partkey + 40) AS s2 FROM part
+             WHERE p_partkey % 80 < 40),
+           r AS (SELECT x AS synset_id, x AS ancestor, 0 AS u
+               FROM (SELECT s1 AS x FROM q UNION SELECT s2 FROM q)
+             UNION ALL SELECT r.synset_id, h.hypernym_id, u + 1 FROM r JOIN h ON h.synset_id = r.ancestor)
+           SELECT s1, s2, round(1.0::DOUBLE / (1 + min(a.u + b.u)), 6) AS path_sim FROM q
+             LEFT JOIN r a ON a.synset_id = s1
+             LEFT JOIN r b ON b.synset_id = s2 AND b.ancestor = a.ancestor GROUP BY s1, s2""",
         "pair_similarity": _with(
             ["sense_pairs", "up"],
             """SELECT w1, w2, round(max(sim), 6) AS sim FROM pairs
@@ -815,7 +826,7 @@ def oracle_sql() -> dict[str, str]:
                   GROUP BY ALL) USING (model)""",
         ),
         "metrics_round_trip": _with(
-            ["metrics"], f"""SELECT k, "Algorithm", {_ROUNDED} FROM metrics WHERE model = 'F'"""
+            ["metrics"], f"""SELECT model, k, "Algorithm", {_ROUNDED} FROM metrics"""
         ),
         "read_write_assignments": _with(
             ["asg"], "SELECT algorithm, k, word_id, cluster FROM asg"

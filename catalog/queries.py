@@ -30,7 +30,7 @@ from lexigrove.operators import (
     vectors as vec,
 )
 from lexigrove.plans import report, suite
-from lexigrove.runtime import scratch_path
+from lexigrove.runtime import materialize, scratch_path
 from lexigrove.sources import (
     read_assignments,
     read_coherence,
@@ -288,8 +288,8 @@ def silhouette_samples(spark, sf_dir):
 
 @query
 def silhouette_sampled(spark, sf_dir):
-    """The sampled form: above 300 points, 300 of them by a seeded hash."""
-    s = met.silhouette(*_grid(spark, sf_dir), sample_size=300, threshold=300, seed=42)
+    """The sampled form: 300 points by a seeded hash."""
+    s = met.silhouette(*_grid(spark, sf_dir), sample_size=300, seed=42)
     return s.withColumn("silhouette", r6("silhouette"))
 
 
@@ -413,7 +413,7 @@ def run_suite(spark, sf_dir):
 def subword_kmeans_metrics(spark, sf_dir):
     """Words to metrics: ranked words, subword vectors, k-means at two k, scores."""
     words = lex.select_words(fx.lexicon(spark, sf_dir), TOP_BEFORE, when="before")
-    vectors = vec.subword_embeddings(words, fx.ngram_table(spark, sf_dir, words))
+    vectors = materialize(vec.subword_embeddings(words, fx.ngram_table(spark, sf_dir, words)), "subword-vectors")
     fits = suite.sweep(vectors, [50, 200], ["Voronoi_Partition"], n_init=1,
                        options={"Voronoi_Partition": {"max_iter": 20}})
     return suite.metric_table(fits, vectors, sample_size=10_000)
@@ -457,6 +457,19 @@ def path_similarity(spark, sf_dir):
     return out.withColumn("path_sim", r6("path_sim"))
 
 
+@query
+def path_similarity_deep(spark, sf_dir):
+    """Chains of 40 part keys, two of which meet above their ends."""
+    key = F.col("p_partkey")
+    part = fx.table(spark, sf_dir, "part").select(key.cast("long").alias("p_partkey"))
+    over = F.when(key % 40 == 39, F.concat(F.lit("g"), F.floor(key / 80))).otherwise(F.concat(F.lit("p"), key + 1))
+    hypernyms = part.select(F.concat(F.lit("p"), key).alias("synset_id"), over.alias("hypernym_id"))
+    pairs = part.where(key % 80 < 40).select(
+        F.concat(F.lit("p"), key).alias("s1"), F.concat(F.lit("p"), key + 40).alias("s2")
+    )
+    return ont.path_similarity(pairs, hypernyms).withColumn("path_sim", r6("path_sim"))
+
+
 @query
 def pair_similarity(spark, sf_dir):
     out = ont.pair_similarity(
@@ -539,9 +552,9 @@ def compare_models(spark, sf_dir):
 @query
 def metrics_round_trip(spark, sf_dir):
     path = scratch_path(spark, "metrics")
-    write_metrics(fx.metrics(spark, sf_dir).where(F.col("model") == "F").drop("model"), path)
+    write_metrics(fx.metrics(spark, sf_dir), path)
     back = read_metrics(spark, [f"{path}-absent", path])
-    return back.select("k", "Algorithm", *[r6(m).alias(m) for m in report.METRIC_DIRECTIONS])
+    return back.select("model", "k", "Algorithm", *[r6(m).alias(m) for m in report.METRIC_DIRECTIONS])
 
 
 @query

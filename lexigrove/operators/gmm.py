@@ -115,8 +115,8 @@ def gmm_diag(
         params = fit_labels(rows, init_labels, k, n_rows)
         d = params[1].shape[1]
         check_broadcast_size(2 * params[1].nbytes, "mixture parameters")
-        previous = None
-        for _ in range(max_iter):
+        previous, step, done = None, 0, False
+        for step in range(1, max_iter + 1):
             totals, likelihood, seen = _collect(_expectation(rows, params), k, d)
             params = _parameters(totals, seen)
             current = likelihood / seen
@@ -126,7 +126,8 @@ def gmm_diag(
                 break
     finally:
         rows.unpersist()
-    return Clustering(_most_likely(points, params, id_col, vec_col), params[1], previous)
+    labels = _most_likely(points, params, id_col, vec_col)
+    return Clustering(labels, params[1], previous, step, done)
 
 
 def _most_likely(points, params, id_col, vec_col) -> DataFrame:

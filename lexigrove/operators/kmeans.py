@@ -20,11 +20,13 @@ from .vector_sums import grouped_sum, list_column, matrix, sum_vectors
 
 @dataclass
 class Clustering:
-    """Labels of every point, the model's centres if it has any, and its cost."""
+    """Labels of every point, the model's centres if it has any, their cost, and how the fit ended."""
 
     labels: DataFrame
     centers: np.ndarray | None = None
     cost: float | None = None
+    iterations: int | None = None
+    converged: bool | None = None
 
 
 def as_points(points: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -144,18 +146,20 @@ def lloyd(
     rows = as_points(points, id_col, vec_col).persist()
     centers = np.array(centers, np.float64)
     try:
-        cost = None
-        for _ in range(max_iter):
+        step, converged = 0, False
+        for step in range(1, max_iter + 1):
             sums = center_sums(rows, centers)
-            cost = sums[:, 1].sum()
             filled = sums[:, 0] > 0
             moved = centers.copy()
             moved[filled] = sums[filled, 2:] / sums[filled, :1]
             shift = ((moved - centers) ** 2).sum(axis=1).max()
             centers = moved
             if shift <= tol * tol:
+                converged = True
                 break
-        return Clustering(label(points, centers, id_col, vec_col), centers, cost)
+        # of the centres returned, not of those before the last move
+        cost = float(center_sums(rows, centers)[:, 1].sum())
+        return Clustering(label(points, centers, id_col, vec_col), centers, cost, step, converged)
     finally:
         rows.unpersist()
 
@@ -201,6 +205,7 @@ def kmeans(
                 fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(n_init))
         cost, _, model = min(fits, key=lambda f: f[:2])
         centers = np.array(model.clusterCenters())
+        steps = model.summary.numIter
     finally:
         rows.unpersist()
-    return Clustering(label(points, centers, id_col, vec_col), centers, cost)
+    return Clustering(label(points, centers, id_col, vec_col), centers, cost, steps, steps < max_iter)

@@ -220,16 +220,12 @@ def davies_bouldin(
 def sample_points(
     embeddings: DataFrame,
     sample_size: int | None,
-    threshold: int | None = None,
     seed: int | str = 42,
     id_col: str = "word_id",
 ) -> DataFrame:
-    """``sample_size`` rows by a seeded hash of the id, if there are more than ``threshold``."""
+    """The first ``sample_size`` rows by a seeded hash of the id; all rows without a size."""
     if sample_size is None:
         return embeddings
-    limit = sample_size if threshold is None else threshold
-    if embeddings.count() <= limit:
-        return embeddings
     picked = (
         embeddings.select(id_col)
         .orderBy(uniform_hash(F.col(id_col), seed), id_col)
@@ -397,17 +393,18 @@ def silhouette(
     embeddings: DataFrame,
     keys: list[str] | tuple[str, ...] = KEYS,
     sample_size: int | None = None,
-    threshold: int | None = None,
     seed: int | str = 42,
     id_col: str = "word_id",
     vec_col: str = "features",
     **options,
 ) -> DataFrame:
-    """Mean silhouette per labeling; over a seeded sample if there are many points."""
+    """Mean silhouette per labeling and the points it is taken over: all, or a seeded sample."""
     keys = list(keys)
-    points = sample_points(embeddings, sample_size, threshold, seed, id_col)
+    points = sample_points(embeddings, sample_size, seed, id_col)
     values = silhouette_samples(assignments, points, keys, id_col, vec_col, **options)
-    return values.groupBy(*keys).agg(F.avg("silhouette").alias("silhouette"))
+    return values.groupBy(*keys).agg(
+        F.avg("silhouette").alias("silhouette"), F.count("*").alias("silhouette_points")
+    )
 
 
 def evaluate(
@@ -415,13 +412,12 @@ def evaluate(
     embeddings: DataFrame,
     keys: list[str] | tuple[str, ...] = KEYS,
     sample_size: int | None = None,
-    threshold: int | None = None,
     seed: int | str = 42,
     id_col: str = "word_id",
     vec_col: str = "features",
     **options,
 ) -> DataFrame:
-    """One row per labeling: points, clusters and the four metrics."""
+    """One row per labeling: points, clusters, the four metrics and the points of the silhouette."""
     keys = list(keys)
     stats = materialize(
         cluster_stats(assignments, embeddings, keys, id_col, vec_col), "cluster-stats"
@@ -433,7 +429,7 @@ def evaluate(
         counts.join(wcss_from(stats, keys), keys)
         .join(
             silhouette(
-                assignments, embeddings, keys, sample_size, threshold, seed, id_col, vec_col,
+                assignments, embeddings, keys, sample_size, seed, id_col, vec_col,
                 **options,
             ),
             keys,

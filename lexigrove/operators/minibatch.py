@@ -49,6 +49,22 @@ def batch_totals(batch: DataFrame, centers: np.ndarray) -> np.ndarray:
     return out
 
 
+def seed_centers(rows: DataFrame, k: int, seed: int, n_init: int) -> np.ndarray:
+    """``k`` starting centres from all rows, filled up with hashed points if seeding gives fewer.
+
+    With fewer than ``k`` different points some centres repeat, and all but the first of
+    them stay empty.
+    """
+    centers = kmeans(rows, k, seed, n_init, max_iter=1, id_col="id", vec_col="vec").centers
+    if len(centers) < k:
+        spare = rows.select("vec").distinct().orderBy(F.xxhash64(F.lit(seed), "vec"), "vec").limit(k)
+        known = {tuple(c) for c in centers.tolist()}
+        extra = [r["vec"] for r in spare.collect() if tuple(r["vec"]) not in known]
+        centers = np.array([*centers.tolist(), *extra])
+        centers = centers[np.arange(k) % len(centers)]
+    return centers
+
+
 def minibatch_kmeans(
     points: DataFrame,
     k: int,
@@ -61,23 +77,21 @@ def minibatch_kmeans(
     id_col: str = "word_id",
     vec_col: str = "features",
 ) -> Clustering:
-    """K-means on batches (Sculley, 2010); stops early when the smoothed cost stalls."""
+    """K-means on batches (Sculley, 2010); stops early when the smoothed cost stalls.
+
+    ``converged`` says whether it did, or ran through all steps.
+    """
     rows = as_points(points, id_col, vec_col)
     n_rows = rows.count()
     require_k(n_rows, k)
     batches = batch_table(rows, n_rows, max(batch_size, k), steps, seed)
     if init_centers is None:
-        # seeds from the first batches only
-        enough = math.ceil(3 * max(batch_size, k) / max(batch_size, k))
-        sample = batches.where(F.col("step") < enough).dropDuplicates(["id"])
-        init_centers = kmeans(
-            sample, min(k, sample.count()), seed, n_init, max_iter=1, id_col="id", vec_col="vec"
-        ).centers
+        init_centers = seed_centers(rows, k, seed, n_init)
     centers = np.array(init_centers, np.float64)
     check_broadcast_size(centers.nbytes, "mini-batch centres")
     seen = np.zeros(len(centers))
     smooth = best = None
-    stalled = 0
+    step, stalled, converged = -1, 0, False
     weight = min(1.0, 2.0 * max(batch_size, k) / (n_rows + 1))
     for step in range(steps):
         sums = batch_totals(batches.where(F.col("step") == step).select("id", "vec"), centers)
@@ -91,5 +105,7 @@ def minibatch_kmeans(
         else:
             stalled += 1
             if max_no_improvement is not None and stalled >= max_no_improvement:
+                converged = True
                 break
-    return Clustering(label(points, centers, id_col, vec_col), centers)
+    labels = label(points, centers, id_col, vec_col)
+    return Clustering(labels, centers, iterations=step + 1, converged=converged)

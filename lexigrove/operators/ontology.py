@@ -9,6 +9,8 @@ of 0 counts as no value.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,9 @@ from .tiles import unordered_tiles, with_group_block
 
 CLUSTER_KEYS = ("algorithm", "cluster")
 
+# rounds of ancestors whose tables are merged into one, to keep plans short
+ROUNDS_PER_TABLE = 8
+
 
 def canonical_pairs(pairs: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
     """Distinct word pairs with w1 <= w2, so a pair is scored once however often it occurs."""
@@ -61,10 +66,11 @@ def hypernym_jaccard(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(synsets: DataFrame, hypernyms: DataFrame, max_depth: int = 20) -> DataFrame:
+def ancestors(synsets: DataFrame, hypernyms: DataFrame, direct_only: bool = False) -> DataFrame:
     """``synset_id, ancestor, up``: every synset itself (0) and what lies above it.
 
-    The frontier moves up one hypernym edge per round, at most ``max_depth`` times.
+    The frontier moves up one hypernym edge per round until it finds nothing new, which
+    also ends cycles. ``direct_only`` stops at the direct hypernyms.
     """
     edges = hypernyms.select("synset_id", "hypernym_id").distinct()
     start = synsets.select("synset_id").distinct()
@@ -73,7 +79,7 @@ def ancestors(synsets: DataFrame, hypernyms: DataFrame, max_depth: int = 20) ->
         "ancestors",
     )
     above = edges.select(F.col("synset_id").alias("ancestor"), "hypernym_id")
-    for depth in range(1, max_depth + 1):
+    for depth in [1] if direct_only else itertools.count(1):
         step = (
             frontier.join(above, "ancestor")
             .select("synset_id", F.col("hypernym_id").alias("ancestor"), F.lit(depth).alias("up"))
@@ -84,18 +90,20 @@ def ancestors(synsets: DataFrame, hypernyms: DataFrame, max_depth: int = 20) ->
         if not frontier.limit(1).count():
             break
         reached = reached.unionByName(frontier)
+        if depth % ROUNDS_PER_TABLE == 0:
+            reached = materialize(reached, "ancestors")
     return reached
 
 
 def path_similarity(
-    pairs: DataFrame, hypernyms: DataFrame, max_depth: int = 20, up: DataFrame | None = None
+    pairs: DataFrame, hypernyms: DataFrame, up: DataFrame | None = None
 ) -> DataFrame:
     """``s1, s2, path_sim``: 1 / (1 + shortest path over a common ancestor), null if none."""
     wanted = pairs.select("s1", "s2").distinct()
     if up is None:
         wanted = materialize(wanted, "synset-pairs")
         both = wanted.select(F.explode(F.array("s1", "s2")).alias("synset_id"))
-        up = ancestors(both, hypernyms, max_depth)
+        up = ancestors(both, hypernyms)
     first = up.select(F.col("synset_id").alias("s1"), "ancestor", F.col("up").alias("u1"))
     second = up.select(F.col("synset_id").alias("s2"), "ancestor", F.col("up").alias("u2"))
     return (
@@ -111,19 +119,17 @@ def pair_similarity(
     synsets: DataFrame,
     hypernyms: DataFrame,
     use_path: bool = True,
-    max_depth: int = 20,
 ) -> DataFrame:
-    """``w1, w2, sim`` for given word pairs; null without synsets or with a best value of 0."""
+    """``w1, w2, sim`` for given word pairs; null without synsets or with a best value of 0.
+
+    Synsets that share a direct hypernym have a path, so paths need no second measure.
+    """
     words = materialize(canonical_pairs(pairs), "word-pairs")
     senses = materialize(synset_pairs(words, synsets), "synset-pairs")
-    sims = hypernym_jaccard(senses, hypernyms)
     if use_path:
-        paths = path_similarity(senses, hypernyms, max_depth)
-        sims = sims.join(paths, ["s1", "s2"]).select(
-            "s1", "s2", F.coalesce("path_sim", "jaccard").alias("sim")
-        )
+        sims = path_similarity(senses, hypernyms).withColumnRenamed("path_sim", "sim")
     else:
-        sims = sims.withColumnRenamed("jaccard", "sim")
+        sims = hypernym_jaccard(senses, hypernyms).withColumnRenamed("jaccard", "sim")
     best = senses.join(sims, ["s1", "s2"]).groupBy("w1", "w2").agg(F.max("sim").alias("sim"))
     return words.join(best, ["w1", "w2"], "left").select(
         "w1", "w2", F.when(F.col("sim") > 0, F.col("sim")).alias("sim")
@@ -141,7 +147,6 @@ def cluster_coherence(
     hypernyms: DataFrame,
     use_path: bool = True,
     count_zero: bool = False,
-    max_depth: int = 20,
     block_rows: int = 1024,
     allow_empty: bool = False,
 ) -> DataFrame:
@@ -160,7 +165,7 @@ def cluster_coherence(
     words = members.where(F.col("word").isNotNull())
     senses = synsets.select("word", "synset_id").distinct()
     used = senses.join(words.select("word").distinct(), "word", "left_semi")
-    up = ancestors(used, hypernyms, max_depth if use_path else 1)
+    up = ancestors(used, hypernyms, direct_only=not use_path)
     direct = F.col("up") == 1
     # per synset: its ancestors with distances, as long as the ontology is deep
     lineage = up.groupBy("synset_id").agg(
@@ -300,7 +305,7 @@ def _coherence_tile(keys: list[str]):
 def coherence_summary(
     clusters: DataFrame, synsets: DataFrame, hypernyms: DataFrame, **options
 ) -> DataFrame:
-    """One row per algorithm: mean and population deviation of the cluster values.
+    """One row per algorithm, in their order: mean and population deviation of the cluster values.
 
     Clusters of one word and clusters without a value count as skipped; an
     algorithm without any value keeps a row with nulls.
@@ -324,4 +329,4 @@ def coherence_summary(
         F.coalesce("Clusters_Skipped", F.lit(0)).alias("Clusters_Skipped"),
         F.coalesce("Words", F.lit(0)).alias("Words"),
         F.coalesce("Words_With_Synsets", F.lit(0)).alias("Words_With_Synsets"),
-    )
+    ).orderBy("Algorithm")

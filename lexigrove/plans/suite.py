@@ -39,6 +39,8 @@ def sweep(
 ) -> DataFrame:
     """``algorithm, k, id, cluster`` for every algorithm and k, written once.
 
+    A column ``word`` of the points stays with its id.
+
     One merge tree serves every k of the agglomeration, and one set of spectral
     coordinates, at the largest k, serves every k of the spectral labels.
     """
@@ -48,7 +50,8 @@ def sweep(
     options = options or {}
     ks = sorted(set(ks))
     cols = {"id_col": id_col, "vec_col": vec_col}
-    points = points.select(id_col, vec_col).persist()
+    named = [c for c in ("word",) if c in points.columns]
+    points = points.select(id_col, *named, vec_col).persist()
 
     def fit(name: str) -> DataFrame:
         extra = options.get(name, {})
@@ -76,7 +79,10 @@ def sweep(
             )
             for name in algorithms
         ]
-        return materialize(reduce(DataFrame.unionByName, parts), "assignments", ["algorithm"])
+        labels = reduce(DataFrame.unionByName, parts)
+        if named:
+            labels = labels.join(points.select(id_col, *named), id_col)
+        return materialize(labels, "assignments", ["algorithm"])
     finally:
         points.unpersist()
 

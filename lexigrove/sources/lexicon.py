@@ -66,7 +66,9 @@ def find_first_match(spark: SparkSession, roots: Sequence[str], patterns: Sequen
                     .agg(F.min("path").alias("path"))
                     .first()
                 )
-            except AnalysisException:
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e.getCondition()):
+                    raise
                 break  # no such root
             if hit and hit["path"]:
                 return hit["path"]

@@ -60,10 +60,12 @@ def test_lloyd_assigns_to_the_nearest_and_lowers_the_cost(data):
     x, _, e = data
     costs = [kmeans.lloyd(e, x[:4], max_iter=i, tol=0.0).cost for i in range(1, 6)]
     assert all(b <= a + 1e-9 for a, b in zip(costs, costs[1:]))
-    fit = kmeans.lloyd(e, x[:4], max_iter=50)
-    y = labels_of(fit.labels, len(x))
-    d2 = ((x[:, None] - fit.centers[None]) ** 2).sum(-1)
-    assert np.array_equal(y, d2.argmin(1))
+    for rounds in (2, 50):
+        fit = kmeans.lloyd(e, x[:4], max_iter=rounds)
+        y = labels_of(fit.labels, len(x))
+        d2 = ((x[:, None] - fit.centers[None]) ** 2).sum(-1)
+        assert np.array_equal(y, d2.argmin(1)) and np.isclose(fit.cost, d2.min(1).sum())
+        assert fit.iterations <= rounds and (fit.converged or fit.iterations == rounds)
 
 
 def test_centres_in_slices_give_the_same(data, monkeypatch):
@@ -101,6 +103,18 @@ def test_minibatch_seeds_itself(data):
     assert len(set(y)) == 4 and wcss_value(x, y) < 0.8 * ((x - x.mean(0)) ** 2).sum()
 
 
+def test_minibatch_always_has_k_centres(spark, data):
+    assert len(minibatch.minibatch_kmeans(data[2], 70, batch_size=70, steps=1, seed=0, n_init=1).centers) == 70
+    copies = points_df(spark, np.repeat(data[0][:3], 4, axis=0))
+    assert len(minibatch.minibatch_kmeans(copies, 5, batch_size=5, steps=1, n_init=1).centers) == 5
+
+
+def test_words_stay_with_their_labels(data):
+    named = data[2].withColumn("word", F.concat(F.lit("w"), "word_id"))
+    rows = sweep(named, [3], ["Voronoi_Partition"], n_init=1).collect()
+    assert len(rows) == len(data[0]) and all(r["word"] == f"w{r['word_id']}" for r in rows)
+
+
 def test_gmm_likelihood_never_falls(data):
     _, _, e = data
     init = kmeans.kmeans(e, 4, n_init=1).labels

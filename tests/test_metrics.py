@@ -73,15 +73,17 @@ def test_null_clusters_are_left_out(spark, data):
     assert np.isclose(r["silhouette"], silhouette_values(x[10:], labels[10:]).mean())
 
 
-def test_sampling_only_above_the_threshold(data):
+def test_sampling_only_where_asked(data):
     x, labels, _, e, a = data
     full = by_algorithm(met.silhouette(a, e), "silhouette")["a"]
-    same = by_algorithm(met.silhouette(a, e, sample_size=20, threshold=60), "silhouette")["a"]
+    same = by_algorithm(met.silhouette(a, e, sample_size=len(x)), "silhouette")["a"]
     assert np.isclose(full, same)
     ids = [{r[0] for r in met.sample_points(e.repartition(p), 20).select("word_id").collect()} for p in (1, 16)]
     assert ids[0] == ids[1] and len(ids[0]) == 20
     part = sorted(ids[0])
-    got = by_algorithm(met.silhouette(a, e, sample_size=20), "silhouette")["a"]
+    row = met.silhouette(a, e, sample_size=20)
+    got = by_algorithm(row, "silhouette")["a"]
+    assert row.first()["silhouette_points"] == 20
     assert np.isclose(got, silhouette_values(x[part], labels[part]).mean())
 
 

@@ -64,13 +64,21 @@ def test_jaccard_one_third_and_empty(spark, onto):
     assert np.isclose(got["a1", "b1"], 1 / 3) and got["a1", "e1"] == 0.0
 
 
-def test_path_depth_bound_and_cycles(spark):
+def test_paths_over_cycles(spark):
     pairs = spark.createDataFrame([("p", "q")], "s1 string, s2 string")
     chain = spark.createDataFrame(
         [("p", "m"), ("m", "n"), ("n", "p"), ("n", "o"), ("q", "o")], "synset_id string, hypernym_id string"
     )
-    assert ont.path_similarity(pairs, chain, 2).first()["path_sim"] is None
-    assert np.isclose(ont.path_similarity(pairs, chain, 20).first()["path_sim"], 1 / 5)
+    assert np.isclose(ont.path_similarity(pairs, chain).first()["path_sim"], 1 / 5)
+
+
+def test_paths_of_any_depth(spark):
+    """Two chains that meet 26 edges up."""
+    pairs = spark.createDataFrame([("p0", "q0"), ("p0", "x")], "s1 string, s2 string")
+    edges = [(f"{c}{i}", f"{c}{i + 1}" if i < 25 else "top") for c in "pq" for i in range(26)]
+    up = spark.createDataFrame(edges, "synset_id string, hypernym_id string")
+    got = {r["s2"]: r["path_sim"] for r in ont.path_similarity(pairs, up).collect()}
+    assert np.isclose(got["q0"], 1 / 53) and got["x"] is None
 
 
 CLUSTERS = {0: ["a", "b", "c", "none"], 1: ["a", "f", "f"], 2: ["d"], 3: ["e", "none"], 4: [None], 5: list("abcdef")}
