@@ -9,8 +9,6 @@ of 0 counts as no value.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +19,7 @@ from .tiles import unordered_tiles, with_group_block
 
 CLUSTER_KEYS = ("algorithm", "cluster")
 
-# rounds of ancestors whose tables are merged into one, to keep plans short
-ROUNDS_PER_TABLE = 8
+LIFTS = 3  # doublings of the edges that a round of ancestors moves up
 
 
 def canonical_pairs(pairs: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
@@ -69,30 +66,40 @@ def hypernym_jaccard(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
 def ancestors(synsets: DataFrame, hypernyms: DataFrame, direct_only: bool = False) -> DataFrame:
     """``synset_id, ancestor, up``: every synset itself (0) and what lies above it.
 
-    The frontier moves up one hypernym edge per round until it finds nothing new, which
-    also ends cycles. ``direct_only`` stops at the direct hypernyms.
+    Ways of up to 2 ** ``LIFTS`` edges are joined together once; a round moves the frontier
+    up by that many, until it finds nothing new, which also ends cycles. ``direct_only``
+    stops at the direct hypernyms.
     """
-    edges = hypernyms.select("synset_id", "hypernym_id").distinct()
     start = synsets.select("synset_id").distinct()
     reached = frontier = materialize(
         start.select("synset_id", F.col("synset_id").alias("ancestor"), F.lit(0).alias("up")),
         "ancestors",
     )
-    above = edges.select(F.col("synset_id").alias("ancestor"), "hypernym_id")
-    for depth in [1] if direct_only else itertools.count(1):
+    ways = hypernyms.select(
+        F.col("synset_id").alias("ancestor"), F.col("hypernym_id").alias("top"), F.lit(1).alias("more")
+    ).where("ancestor != top").distinct()
+    lifts = 0 if direct_only else LIFTS
+    for _ in range(lifts):
+        longer = ways.join(ways.toDF("top", "over", "further"), "top").select(
+            "ancestor", F.col("over").alias("top"), (F.col("more") + F.col("further")).alias("more")
+        )
+        both = ways.unionByName(longer.where("ancestor != top"))
+        ways = materialize(both.groupBy("ancestor", "top").agg(F.min("more").alias("more")), "ways")
+    depth = 0
+    while True:
+        depth += 2**lifts
         step = (
-            frontier.join(above, "ancestor")
-            .select("synset_id", F.col("hypernym_id").alias("ancestor"), F.lit(depth).alias("up"))
-            .distinct()
+            frontier.join(ways, "ancestor")
+            .groupBy("synset_id", F.col("top").alias("ancestor"))
+            .agg(F.min(F.col("up") + F.col("more")).alias("up"))
             .join(reached.select("synset_id", "ancestor"), ["synset_id", "ancestor"], "left_anti")
         )
-        frontier = materialize(step, "ancestors")
-        if not frontier.limit(1).count():
-            break
-        reached = reached.unionByName(frontier)
-        if depth % ROUNDS_PER_TABLE == 0:
-            reached = materialize(reached, "ancestors")
-    return reached
+        found = materialize(step, "ancestors")
+        reached = reached.unionByName(found)
+        # a shortest way further up passes one of the rows at exactly this depth
+        frontier = found.where(F.col("up") == depth)
+        if direct_only or not frontier.limit(1).count():
+            return reached
 
 
 def path_similarity(
