@@ -39,7 +39,7 @@ from .words import hash_words, mix, one_array, rank_words, split_words, window_h
 
 BAND = 1.2  # largest over smallest size of a band
 BLOCKS_PER_BOUND = 1.6  # sketch blocks for each posted one
-BLOCK_BITS = 128
+BLOCK_BITS = 4096  # few blocks of unlike sets are equal by chance, even with two bits set
 SMALL_GROUP = 4  # members up to which every pair of a group is compared at once
 PIVOTS = 2  # of a larger group that the first one leaves in several components
 FOLD_BITS = 2048  # of the folded sketch that a tile compares
@@ -81,15 +81,18 @@ def posted_blocks(shingles: np.ndarray, percent: int) -> np.ndarray:
         blocks = math.ceil((bound + 1) * BLOCKS_PER_BOUND)
         own = mix(shingles ^ np.uint64(band + 1))
         block = (own >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)
-        bit = own & np.uint64(BLOCK_BITS - 1)
-        parity = np.bincount(
-            (block * np.uint64(BLOCK_BITS) + bit).astype(np.int64), minlength=blocks * BLOCK_BITS
-        )
-        sketch = np.packbits((parity & 1).astype(np.uint8)).view(np.uint64).reshape(blocks, 2)
-        weight = np.bitwise_count(sketch).sum(axis=1)
-        chosen = np.argsort(-weight.astype(np.int64), kind="stable")[: bound + 1]
+        # the set bits of the sketch as places, as nearly all of its bits are 0
+        place, hits = np.unique(block * np.uint64(BLOCK_BITS) + (own & np.uint64(BLOCK_BITS - 1)), return_counts=True)
+        place = place[hits & 1 == 1]
+        block = (place // np.uint64(BLOCK_BITS)).astype(np.int64)
+        weight = np.bincount(block, minlength=blocks)
+        content = np.zeros(blocks, np.uint64)
+        if len(place):
+            starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            content[block[starts]] = np.add.reduceat(mix(place), starts)
+        chosen = np.argsort(-weight, kind="stable")[: bound + 1]
         seed = mix((chosen.astype(np.uint64) << np.uint64(16)) | np.uint64(band))
-        keys.append(mix(mix(seed ^ sketch[chosen, 0]) + sketch[chosen, 1]))
+        keys.append(mix(seed ^ content[chosen]))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
