@@ -181,7 +181,8 @@ def contextual_embeddings(spark, sf_dir):
     """Pooled letters of every word under a small encoder made from the letters themselves."""
 
     def encoder():
-        def encode(words):
+        def encode(words, max_length):
+            words = [w[:max_length] for w in words]
             longest = max(1, max(len(w) for w in words))
             codes = np.zeros((len(words), longest))
             for i, w in enumerate(words):

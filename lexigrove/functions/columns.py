@@ -71,8 +71,14 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     )
 
 
-def char_ngrams(c: Column | str, n_min: int = 3, n_max: int = 6) -> Column:
-    """Character n-grams of ``<word>`` and the marked word itself, each listed once."""
+def char_ngrams(
+    c: Column | str, n_min: int = 3, n_max: int = 6, distinct: bool = True
+) -> Column:
+    """Character n-grams of ``<word>`` and the marked word itself.
+
+    Each is listed once. With ``distinct=False`` each is listed as often as it occurs, the
+    marked word only if it is not one of the n-grams by its length.
+    """
     marked = F.concat(F.lit("<"), _col(c), F.lit(">"))
 
     def of_size(n: int) -> Column:
@@ -81,8 +87,11 @@ def char_ngrams(c: Column | str, n_min: int = 3, n_max: int = 6) -> Column:
         ).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.substring(marked, i, n))
 
-    grams = [of_size(n) for n in range(n_min, n_max + 1)]
-    return F.array_distinct(F.concat(*grams, F.array(marked)))
+    grams = F.concat(*[of_size(n) for n in range(n_min, n_max + 1)])
+    if distinct:
+        return F.array_distinct(F.concat(grams, F.array(marked)))
+    listed = F.length(marked).between(n_min, n_max)
+    return F.when(listed, grams).otherwise(F.concat(grams, F.array(marked)))
 
 
 def truncate_tokens(c: Column | str, max_length: int = 16) -> Column:

@@ -122,14 +122,15 @@ def batch_sums(rows: DataFrame, centers: np.ndarray) -> DataFrame:
 
 def center_sums(rows: DataFrame, centers: np.ndarray) -> np.ndarray:
     """k x (2 + d) totals: count, cost and vector sum of the points nearest each centre."""
-    if centers.nbytes <= BROADCAST_BYTES:
+    one_slice = centers.nbytes <= BROADCAST_BYTES
+    if one_slice:
         partial = batch_sums(rows, centers)
     else:
         packed = F.concat(F.array(F.lit(1.0), F.col("sq")), F.col("vec")).alias("s")
         partial = assign(rows, centers).select("cluster", packed)
     out = np.zeros((len(centers), centers.shape[1] + 2))
-    # k rows come back
-    for row in sum_vectors(partial, ["cluster"], "s", combine=False).collect():
+    # k rows come back; single points are added up inside their tasks first
+    for row in sum_vectors(partial, ["cluster"], "s", combine=not one_slice).collect():
         out[row["cluster"]] = row["s"]
     return out
 

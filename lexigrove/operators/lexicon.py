@@ -14,6 +14,11 @@ def _number(c: Column) -> Column:
     return F.when(F.isnan(c), None).otherwise(c)
 
 
+def _low() -> Column:
+    """Ascends from the most frequent word to those without a frequency."""
+    return -F.coalesce("frequency", F.lit(float("-inf")))
+
+
 def _clean(df: DataFrame) -> DataFrame:
     """Drop null words, cast to string and trim; blank words become ''."""
     raw = F.col("word").cast("string")
@@ -47,10 +52,10 @@ def select_words(
         order = [F.desc_nulls_last("frequency"), F.asc_nulls_last("word")]
         if top_n <= 0:
             raise ValueError("top_n must be positive")
-        rows = top_ranked(rows, order, top_n, "place").select("word", "frequency")
+        rows = top_ranked(rows, order, top_n, "place", _low()).select("word", "frequency")
 
     # the first occurrence of a word: highest frequency (null lowest), then smallest raw form
-    place = F.struct((-F.coalesce("frequency", F.lit(float("-inf")))).alias("low"), "raw")
+    place = F.struct(_low().alias("low"), "raw")
     words = (
         _clean(rows)
         .groupBy("word")
@@ -60,7 +65,7 @@ def select_words(
         words = filter_by_vocab(words, vocab)
     order = [F.col("place.low").asc(), F.col("place.raw").asc()]
     if top_n is not None:
-        ranked = top_ranked(words, order, top_n, "word_id")
+        ranked = top_ranked(words, order, top_n, "word_id", F.col("place.low"))
     else:
         ranked = with_rank(words, order, "word_id")
     return ranked.select("word_id", "word", "frequency")

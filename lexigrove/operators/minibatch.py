@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import check_broadcast_size, materialize, uniform_hash
-from .kmeans import Clustering, as_points, batch_sums, kmeans, label, require_k
+from ..runtime import BROADCAST_BYTES, materialize, uniform_hash
+from .kmeans import Clustering, as_points, batch_sums, center_sums, kmeans, label, require_k
 
 
 def batch_table(rows: DataFrame, n_rows: int, batch_size: int, steps: int, seed: int) -> DataFrame:
@@ -43,6 +43,8 @@ def update_centers(
 
 def batch_totals(batch: DataFrame, centers: np.ndarray) -> np.ndarray:
     """Count, cost and vector sum per centre over one batch, which has a bounded size."""
+    if centers.nbytes > BROADCAST_BYTES:
+        return center_sums(batch, centers)
     out = np.zeros((len(centers), centers.shape[1] + 2))
     for row in batch_sums(batch, centers).collect():
         out[row["cluster"]] += np.asarray(row["s"])
@@ -88,7 +90,6 @@ def minibatch_kmeans(
     if init_centers is None:
         init_centers = seed_centers(rows, k, seed, n_init)
     centers = np.array(init_centers, np.float64)
-    check_broadcast_size(centers.nbytes, "mini-batch centres")
     seen = np.zeros(len(centers))
     smooth = best = None
     step, stalled, converged = -1, 0, False
@@ -108,4 +109,5 @@ def minibatch_kmeans(
                 converged = True
                 break
     labels = label(points, centers, id_col, vec_col)
-    return Clustering(labels, centers, iterations=step + 1, converged=converged)
+    cost = float(center_sums(rows, centers)[:, 1].sum())
+    return Clustering(labels, centers, cost, step + 1, converged)

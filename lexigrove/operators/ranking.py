@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, parallelism
 
-# Up to this many rows may be numbered by one task (a top-k report).
-SMALL_TOP = 100_000
-# A counted table of at most this many rows is numbered by one task as well.
+# A counted table of at most this many rows is numbered by one task.
 SMALL_TABLE = 10_000
+# The cut-off of a top-n comes from a quantile sketch that is off by at most count / ACCURACY ranks.
+ACCURACY = 10_000
 
 
 def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -20,12 +20,16 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     numbered inside each partition; the only other data is one row count per
     partition. The written copy fixes the partition bounds, which are sampled.
     """
-    df = materialize(df, "unranked")
-    if df.count() <= SMALL_TABLE:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    parts = parallelism(df.sparkSession) * 2
+    stored = materialize(df, "unranked")
+    return _numbered(stored, stored.count(), order, name)
+
+
+def _numbered(stored: DataFrame, count: int, order: list[Column], name: str) -> DataFrame:
+    if count <= SMALL_TABLE:
+        return stored.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    parts = parallelism(stored.sparkSession) * 2
     ranged = materialize(
-        df.repartitionByRange(parts, *order)
+        stored.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .select(
             "*",
@@ -49,9 +53,20 @@ def with_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     )
 
 
-def top_ranked(df: DataFrame, order: list[Column], n: int, name: str) -> DataFrame:
-    """The first ``n`` rows in ``order`` with their 0-based position."""
-    if n <= SMALL_TOP:
-        top = df.orderBy(*order).limit(n)
-        return top.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
-    return with_rank(df, order, name).where(F.col(name) < n)
+def top_ranked(df: DataFrame, order: list[Column], n: int, name: str, first: Column) -> DataFrame:
+    """The first ``n`` rows in ``order`` with their 0-based position.
+
+    ``first`` is a double, never null, that ascends along ``order``. Rows whose ``first`` is
+    beyond the cut-off cannot be among the ``n`` and are left out of the sort; all rows that
+    tie with the cut-off take part in it.
+    """
+    stored = materialize(df, "unranked")
+    count = stored.count()
+    if count > max(n, SMALL_TABLE):
+        share = min(1.0, n / count + 2 / ACCURACY)
+        bound = stored.agg(F.percentile_approx(first, share, ACCURACY)).first()[0]
+        near = stored.where(first <= F.lit(bound))
+        n_near = near.count()
+        if n_near >= n:
+            stored, count = near, n_near
+    return _numbered(stored, count, order, name).where(F.col(name) < n)

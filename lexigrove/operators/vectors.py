@@ -16,7 +16,7 @@ from .vector_sums import list_column, sum_vectors
 # An n-gram table up to this size is sent to every executor.
 NGRAM_BROADCAST_BYTES = 32 * 1024 * 1024
 
-Encoder = Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]]
+Encoder = Callable[[Sequence[str], int], tuple[np.ndarray, np.ndarray]]
 
 
 def lookup_vectors(words: DataFrame, vocab: DataFrame, weights: DataFrame) -> DataFrame:
@@ -38,24 +38,31 @@ def whole_word_embeddings(
     )
 
 
-def word_ngrams(words: DataFrame, n_min: int = 3, n_max: int = 6) -> DataFrame:
-    """One row per word and distinct n-gram."""
+def word_ngrams(
+    words: DataFrame, n_min: int = 3, n_max: int = 6, distinct: bool = True
+) -> DataFrame:
+    """One row per word and distinct n-gram, or per occurrence with ``distinct=False``."""
     return words.select(
-        "word_id", "word", F.explode(char_ngrams("word", n_min, n_max)).alias("ngram")
+        "word_id", "word", F.explode(char_ngrams("word", n_min, n_max, distinct)).alias("ngram")
     )
 
 
 def subword_vectors(
-    words: DataFrame, ngram_table: DataFrame, n_min: int = 3, n_max: int = 6
+    words: DataFrame,
+    ngram_table: DataFrame,
+    n_min: int = 3,
+    n_max: int = 6,
+    distinct: bool = True,
 ) -> DataFrame:
     """Sum of n-gram vectors per word, ``array<double>``.
 
-    A word without any known n-gram keeps a row with the zero vector.
+    A word without any known n-gram keeps a row with the zero vector. A repeated
+    n-gram counts once, or each time with ``distinct=False``.
     """
     known = ngram_table.agg(F.count("*").alias("n"), F.max(F.size("features")).alias("d")).first()
     if not known["n"]:
         raise ValueError("the n-gram table is empty")
-    grams = word_ngrams(words.select("word_id", "word"), n_min, n_max)
+    grams = word_ngrams(words.select("word_id", "word"), n_min, n_max, distinct)
     table = ngram_table.select("ngram", "features")
     if known["n"] * known["d"] * 4 <= NGRAM_BROADCAST_BYTES:
         # the n-grams of a word stay together, so a task adds them up before the shuffle
@@ -72,10 +79,14 @@ def subword_vectors(
 
 
 def subword_embeddings(
-    words: DataFrame, ngram_table: DataFrame, n_min: int = 3, n_max: int = 6
+    words: DataFrame,
+    ngram_table: DataFrame,
+    n_min: int = 3,
+    n_max: int = 6,
+    distinct: bool = True,
 ) -> DataFrame:
     """Unit-length subword vectors; never drops a word."""
-    return subword_vectors(words, ngram_table, n_min, n_max).select(
+    return subword_vectors(words, ngram_table, n_min, n_max, distinct).select(
         "word_id", "word", l2_normalize("features").alias("features")
     )
 
@@ -110,9 +121,10 @@ def contextual_embeddings(
     """Pooled, unit-length vectors from an encoder that the caller supplies.
 
     ``encoder_factory`` runs once per task and returns a function that maps a
-    list of words to hidden states ``(n, tokens, width)`` and a mask
-    ``(n, tokens)``. Words go to it in batches and are pooled in place, so the
-    token states never reach a shuffle.
+    list of words and ``max_length`` to hidden states ``(n, tokens, width)`` and
+    a mask ``(n, tokens)``. It cuts the tokens at ``max_length`` before they
+    enter its model; more tokens are an error. Words go to it in batches and are
+    pooled in place, so the token states never reach a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +133,10 @@ def contextual_embeddings(
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
                 encode = encode or encoder_factory()
-                hidden, mask = encode(part.column("word").to_pylist())
-                hidden = np.asarray(hidden, np.float64)[:, :max_length]
-                mask = np.asarray(mask, np.float64)[:, :max_length]
+                hidden, mask = encode(part.column("word").to_pylist(), max_length)
+                hidden, mask = np.asarray(hidden, np.float64), np.asarray(mask, np.float64)
+                if hidden.shape[1] > max_length:
+                    raise ValueError(f"the encoder gave {hidden.shape[1]} tokens, not {max_length}")
                 pooled = (hidden * mask[:, :, None]).sum(1)
                 pooled /= np.maximum(mask.sum(1), 1e-9)[:, None]
                 yield pa.RecordBatch.from_arrays(

@@ -54,13 +54,14 @@ def write_assignments(
 
 
 def read_assignments(
-    spark: SparkSession, path: str, suffix: str = "_clusters", skip_corrupt: bool = False
+    spark: SparkSession, path: str, suffix: str = "_clusters", skip_corrupt: bool = True
 ) -> DataFrame:
     """``(algorithm, word, cluster)`` from a partitioned table or from CSV files.
 
     ``path`` is a folder written by :func:`write_assignments`, or a glob of
     ``<algorithm><suffix>.csv`` files. Headers are compared in lower case, and
-    files that lack ``word`` or ``cluster`` are skipped.
+    files that lack ``word`` or ``cluster`` are skipped, as are unreadable ones
+    unless ``skip_corrupt`` is false.
     """
     reader = spark.read.option("ignoreCorruptFiles", skip_corrupt)
     if not path.endswith(".csv"):

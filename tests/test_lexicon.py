@@ -59,10 +59,9 @@ def test_distributed_rank(spark, monkeypatch, partitions):
 
 
 def test_large_top_takes_the_distributed_way(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SMALL_TOP", 2)
     monkeypatch.setattr(ranking, "SMALL_TABLE", 0)
     df = spark.range(50).select(F.col("id").alias("v"))
-    got = ranking.top_ranked(df, [F.desc("v")], 5, "r").orderBy("r").collect()
+    got = ranking.top_ranked(df, [F.desc("v")], 5, "r", -F.col("v").cast("double")).orderBy("r").collect()
     assert [(r["v"], r["r"]) for r in got] == [(49, 0), (48, 1), (47, 2), (46, 3), (45, 4)]
 
 
@@ -71,3 +70,11 @@ def test_empty_lexicon(spark):
     assert select_words(empty).count() == 0
     with pytest.raises(ValueError):
         select_words(empty, 5, when="sometimes")
+
+
+def test_top_with_ties_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_TABLE", 0)
+    df = spark.range(600).select(F.col("id"), (F.col("id") % 3).cast("double").alias("low"))
+    got = ranking.top_ranked(df, [F.col("low"), F.col("id")], 250, "r", F.col("low")).orderBy("r").collect()
+    expected = sorted(((i % 3, i) for i in range(600)))[:250]
+    assert [(r["low"], r["id"]) for r in got] == expected and [r["r"] for r in got] == list(range(250))

@@ -47,7 +47,8 @@ def test_masked_mean_pool(spark):
 
 def test_contextual_batches(spark, words):
     def factory():
-        def encode(batch):
+        def encode(batch, max_length):
+            batch = [w[:max_length] for w in batch]
             assert len(batch) <= 2
             n = max(len(w) for w in batch)
             mask = np.array([[i < len(w) for i in range(n)] for w in batch], float)
@@ -84,3 +85,19 @@ def test_ragged_vectors_are_refused(spark):
     df = spark.createDataFrame([(1, [1.0]), (1, [1.0, 2.0])], "a int, v array<double>").coalesce(1)
     with pytest.raises(Exception, match="same length"):
         vector_sums.sum_vectors(df, ["a"], "v").collect()
+
+
+def test_repeated_ngrams_count_each_time(spark):
+    words = spark.createDataFrame([(0, "banana"), (1, "ab")], "word_id long, word string")
+    table = spark.createDataFrame([("ana", [1.0]), ("<ab>", [5.0])], "ngram string, features array<float>")
+    once = {r["word"]: r["features"] for r in vectors.subword_vectors(words, table).collect()}
+    each = {r["word"]: r["features"] for r in vectors.subword_vectors(words, table, distinct=False).collect()}
+    assert once == {"banana": [1.0], "ab": [5.0]} and each == {"banana": [2.0], "ab": [5.0]}
+
+
+def test_encoder_must_cut_its_tokens(spark, words):
+    def factory():
+        return lambda batch, max_length: (np.ones((len(batch), 3, 1)), np.ones((len(batch), 3)))
+
+    with pytest.raises(Exception, match="encoder gave 3 tokens"):
+        vectors.contextual_embeddings(words, factory, max_length=2).collect()
