@@ -37,9 +37,10 @@ def sweep(
     vec_col: str = "features",
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """``algorithm, k, id, cluster`` for every algorithm and k, written once.
+    """``algorithm, k, id, cluster, inertia`` for every algorithm and k, written once.
 
-    A column ``word`` of the points stays with its id.
+    A column ``word`` of the points stays with its id. ``inertia`` is the cost of the fit
+    about its own centres, the same in all its rows; null where the fit has no centres.
 
     One merge tree serves every k of the agglomeration, and one set of spectral
     coordinates, at the largest k, serves every k of the spectral labels.
@@ -68,17 +69,25 @@ def sweep(
             fits = {k: kmeans(points, k, seed, n_init, **cols, **extra) for k in ks}
         else:
             fits = {k: gmm_diag(points, k, seed, **cols, **extra) for k in ks}
-        tables = [f.labels.withColumn("k", F.lit(k)) for k, f in fits.items()]
+        # only these fits have centres among the points, so that their cost is an inertia
+        about = name in ("MiniBatchKMeans", "Voronoi_Partition")
+        tables = [
+            f.labels.select("*", F.lit(k).alias("k"), F.lit(f.cost if about else None).alias("inertia"))
+            for k, f in fits.items()
+        ]
         return reduce(DataFrame.unionByName, tables)
 
     try:
-        parts = [
-            fit(name).select(
-                F.lit(name).alias("algorithm"), F.col("k").cast("int"), id_col,
-                F.col("cluster").cast("int"),
+        parts = []
+        for name in algorithms:
+            labels = fit(name)
+            inertia = F.col("inertia") if "inertia" in labels.columns else F.lit(None)
+            parts.append(
+                labels.select(
+                    F.lit(name).alias("algorithm"), F.col("k").cast("int"), id_col,
+                    F.col("cluster").cast("int"), inertia.cast("double").alias("inertia"),
+                )
             )
-            for name in algorithms
-        ]
         labels = reduce(DataFrame.unionByName, parts)
         if named:
             labels = labels.join(points.select(id_col, *named), id_col)
@@ -93,12 +102,18 @@ def run_suite(points: DataFrame, k: int = 200, **kwargs) -> DataFrame:
 
 
 def metric_table(assignments: DataFrame, embeddings: DataFrame, **kwargs) -> DataFrame:
-    """``k, Algorithm, WCSS, Silhouette, Davies_Bouldin, Calinski_Harabasz`` of a sweep."""
-    return evaluate(assignments, embeddings, ["algorithm", "k"], **kwargs).select(
+    """``k, Algorithm, WCSS, Silhouette, Davies_Bouldin, Calinski_Harabasz, Inertia`` of a sweep.
+
+    ``WCSS`` is about the member means, ``Inertia`` about the centres of the fit.
+    """
+    keys = ["algorithm", "k"]
+    inertia = assignments.groupBy(*keys).agg(F.max("inertia").alias("inertia"))
+    return evaluate(assignments, embeddings, keys, **kwargs).join(inertia, keys).select(
         "k",
         F.col("algorithm").alias("Algorithm"),
         F.col("wcss").alias("WCSS"),
         F.col("silhouette").alias("Silhouette"),
         F.col("davies_bouldin").alias("Davies_Bouldin"),
         F.col("calinski_harabasz").alias("Calinski_Harabasz"),
+        F.col("inertia").alias("Inertia"),
     )
