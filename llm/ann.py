@@ -9,8 +9,10 @@ permutations and the best are reranked by the inner product of the original vect
 precision. The best of all files are the answer.
 
 The pivots grow with the square root of the table up to ``max_pivots``. Files are split into
-shards of bounded size by a hash, and a query reads all shards of a file. The footrule cut and
-the number of files read set the recall; nothing else is cut.
+shards of bounded size by a hash, and a query reads all shards of a file; the queries of a file
+are dealt to groups of bounded size. A query reads a share of all files and reranks a share of
+each shard, so that what it looks at grows with the table. These two shares set the recall;
+nothing else is cut.
 
 Vectors that are null, zero, hold a null or non-finite component or are not of the most
 frequent length take no part. Rows with the same id and vector are one.
@@ -31,6 +33,7 @@ from lexigrove.runtime import materialize
 from .words import one_array
 
 SHARD_ROWS = 4096
+READER_ROWS = 16384  # queries of a file in one group
 QUERY_ROWS = 512  # queries compared with a file at once
 
 
@@ -74,12 +77,15 @@ def search(
     max_pivots: int = 4096,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
+    file_share: float = 0.25,
+    rerank_share: float = 0.5,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``is_query`` over the column ``id`` its
     ``k`` nearest others, ties to the smaller id.
 
-    ``postings``: files a class is posted in. ``files``: files a query reads. ``prefix``: pivots
-    in a permutation. ``rerank``: classes of a file shard that are reranked for a query.
+    ``postings``: files a class is posted in. ``prefix``: pivots in a permutation.
+    ``file_share``: share of all files that a query reads, at least ``files`` of them.
+    ``rerank_share``: share of a file shard that is reranked for a query, at least ``rerank`` classes.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col), "ann-rows")
@@ -102,6 +108,7 @@ def search(
         return np.concatenate([x, rest], axis=1)
 
     pivots = lifted(np.array([r["vec"] for r in sample], float))
+    files = max(files, math.ceil(file_share * len(pivots)))
     prefix, postings, files = (min(x, len(pivots)) for x in (prefix, postings, files))
     shared = spark.sparkContext.broadcast(pivots)  # max_pivots vectors at most
 
@@ -121,8 +128,6 @@ def search(
     indexed = materialize(indexed, "ann-index")
     posted = indexed.select("*", F.explode(F.slice("perm", 1, postings)).alias("pivot"))
     lengths = posted.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
-    lengths = F.broadcast(materialize(lengths, "ann-files"))  # one row per pivot
-    posted = posted.join(lengths, "pivot").withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")))
     # a query by an angle alone: scaled to length 1 without the last component
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     asking = classes.join(asked.select("cls").distinct(), "cls").select("cls", "vec", norm.alias("norm"))
@@ -137,14 +142,24 @@ def search(
             )
 
     queries = asking.mapInArrow(permute_queries, "cls long, vec array<double>, perm array<int>")
+    queries = materialize(queries, "ann-asking")
+    read = F.explode(F.slice("perm", 1, files)).alias("pivot")
+    readers = queries.select(read).groupBy("pivot").agg(F.ceil(F.count("*") / READER_ROWS).cast("int").alias("parts"))
+    lengths = F.broadcast(materialize(lengths.join(readers, "pivot"), "ann-files"))  # one row per pivot
+    posted = (
+        posted.join(lengths, "pivot")
+        .withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    )
     reading = (
-        queries.select("*", F.explode(F.slice("perm", 1, files)).alias("pivot"))
+        queries.select("*", read)
         .join(lengths, "pivot")
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .select("pivot", F.col("shard").cast("long").alias("shard"), F.lit(True).alias("asks"), "cls", "vec", F.slice("perm", 1, prefix).alias("perm"), F.lit(None).cast("array<long>").alias("ids"))
+        .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "cls"), F.col("parts")))
+        .select("pivot", F.col("shard").cast("long").alias("shard"), F.col("part").cast("long").alias("part"), F.lit(True).alias("asks"), "cls", "vec", F.slice("perm", 1, prefix).alias("perm"), F.lit(None).cast("array<long>").alias("ids"))
     )
     both = reading.unionByName(
-        posted.select("pivot", F.col("shard").cast("long").alias("shard"), F.lit(False).alias("asks"), "cls", "vec", "perm", "ids")
+        posted.select("pivot", F.col("shard").cast("long").alias("shard"), F.col("part").cast("long").alias("part"), F.lit(False).alias("asks"), "cls", "vec", "perm", "ids")
     )
     best_n = k + 1
     schema = "query long, found array<struct<cls:long,score:double,ids:array<long>>>"
@@ -159,6 +174,7 @@ def search(
             order = np.argsort(member, kind="stable")
             member, ids = member[order], ids.take(pa.array(order))
             x, perm = _numbers(m["vec"])[order], _numbers(m["perm"])[order]
+            most = max(rerank, best_n, math.ceil(rerank_share * len(member)))
             place = np.full((len(member), n_pivots), prefix, np.int16)
             np.put_along_axis(place, perm, np.arange(prefix, dtype=np.int16)[None, :], axis=1)
             for at in range(0, q.num_rows, QUERY_ROWS):
@@ -169,8 +185,8 @@ def search(
                     footrule += np.abs(place[:, own[:, j]].T - np.int16(j))
                 for i, name in enumerate(part["cls"].to_pylist()):
                     near = np.arange(len(member))
-                    if len(near) > rerank:
-                        near = np.sort(np.argsort(footrule[i], kind="stable")[:rerank])
+                    if len(near) > most:
+                        near = np.sort(np.argsort(footrule[i], kind="stable")[:most])
                     score = (x[near] * y[i]).sum(axis=1)
                     top = np.lexsort((member[near], -score))[:best_n]
                     names.append(name)
@@ -182,7 +198,7 @@ def search(
                     )
         return pa.table({"query": pa.array(names, pa.int64()), "found": pa.array(out, found_type)})
 
-    lists = both.groupBy("pivot", "shard").applyInArrow(compare, schema)
+    lists = both.groupBy("pivot", "shard", "part").applyInArrow(compare, schema)
     merged = lists.groupBy("query").agg(
         F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")
     )

@@ -225,6 +225,22 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert ann.search(table.filter("vec_id >= 2000 and vec_id < 2080"), F.col("id") % 20 == 0).count() == 0
 
 
+def test_neighbours_where_files_and_footrule_prune(spark):
+    """20,000 vectors without clusters: 141 files of about 570 classes, half of each reranked."""
+    x = np.random.default_rng(12).normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(table, F.col("id") % 200 == 0, files=1, rerank=1).collect():
+        got[r["query_id"]].add(r["id"])
+    hits = 0
+    for q in range(0, 20_000, 200):
+        score = x @ x[q]
+        score[q] = -9
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (100 * 20) >= 0.9
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
