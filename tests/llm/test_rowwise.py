@@ -135,6 +135,33 @@ def test_knapsack_hits_the_budget():
         assert int((lengths * taken).sum()) <= max(0, budget)
 
 
+def test_knapsack_finds_the_best_reachable_sum(monkeypatch):
+    def best(lengths, counts, budget):
+        reach = 1
+        for n, c in zip(lengths.tolist(), counts.tolist()):
+            for _ in range(c):
+                reach |= reach << n
+        return (reach & ((1 << (budget + 1)) - 1)).bit_length() - 1
+
+    long = np.array([70_000, 80_000, 90_000])
+    assert mixing.fit_counts(long, np.ones(3, np.int64), 150_000).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(5)
+    for halves in (1 << 21, 0):  # by all sums of two halves, then by the long table
+        monkeypatch.setattr(mixing, "HALF_SUMS", halves)
+        for top, n in [(400, 12), (9_000, 8), (100_000, 3), (100_000, 6), (300_000, 9)] * 4:
+            lengths = np.unique(rng.integers(2, top, rng.integers(1, n + 1)))
+            lengths *= int(rng.choice([1, 6]))
+            counts = rng.integers(1, 5, len(lengths))
+            budget = int(rng.integers(0, (lengths * counts).sum() + 50))
+            taken = mixing.fit_counts(lengths, counts, budget, table=int(rng.choice([500, 1 << 16])))
+            assert (taken >= 0).all() and (taken <= counts).all()
+            assert (lengths * taken).sum() == best(lengths, counts, budget)
+    monkeypatch.setattr(mixing, "TABLE_BITS", 1 << 26)  # neither fits: many long documents
+    lengths = np.unique(rng.integers(50_000, 900_000, 300))
+    taken = mixing.fit_counts(lengths, np.ones(len(lengths), np.int64), int(lengths.sum()) // 3)
+    assert (lengths * taken).sum() == lengths.sum() // 3
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(7)
     rows = [(i, "w " * rng.randint(1, 90), rng.choice(["a", "b", "é", "z", None]), 0) for i in range(400)]
