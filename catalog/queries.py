@@ -387,27 +387,19 @@ def kmeans_best_of_n(spark, sf_dir):
 
 @query
 def spectral(spark, sf_dir):
-    return spc.spectral(fx.points(spark, sf_dir), 10, seed=42, n_init=3, rounds=3).labels
+    return spc.spectral(fx.points(spark, sf_dir), 10, seed=42).labels
 
 
 @query
 def sweep(spark, sf_dir):
     """All five algorithms at two k, scored: the metric table."""
     points = fx.points(spark, sf_dir)
-    fits = suite.sweep(
-        points, [5, 10], n_init=2,
-        options={"MiniBatchKMeans": {"steps": 5}, "Spectral": {"rounds": 2},
-                 "Gaussian_Mixture": {"max_iter": 5}},
-    )
-    return suite.metric_table(fits, points)
+    return suite.metric_table(suite.sweep(points, [5, 10]), points)
 
 
 @query
 def run_suite(spark, sf_dir):
-    return suite.run_suite(
-        fx.points(spark, sf_dir), 10,
-        algorithms=["Voronoi_Partition", "Agglomerative_Cosine"], n_init=2,
-    )
+    return suite.run_suite(fx.points(spark, sf_dir), 10)
 
 
 @query
@@ -415,8 +407,7 @@ def subword_kmeans_metrics(spark, sf_dir):
     """Words to metrics: ranked words, subword vectors, k-means at two k, scores."""
     words = lex.select_words(fx.lexicon(spark, sf_dir), TOP_BEFORE, when="before")
     vectors = materialize(vec.subword_embeddings(words, fx.ngram_table(spark, sf_dir, words)), "subword-vectors")
-    fits = suite.sweep(vectors, [50, 200], ["Voronoi_Partition"], n_init=1,
-                       options={"Voronoi_Partition": {"max_iter": 20}})
+    fits = suite.sweep(vectors, [50, 200], ["Voronoi_Partition"])
     return suite.metric_table(fits, vectors, sample_size=10_000)
 
 

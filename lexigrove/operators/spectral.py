@@ -8,6 +8,8 @@ k x k products reach the driver.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,16 @@ from .knn import knn_graph, normalized_affinity
 from .vector_sums import list_column, matrix, sum_vectors
 
 
+@dataclass
+class Embedding:
+    """``id, features`` of every point, the Laplacian's eigenvalues, and how the rounds ended."""
+
+    rows: DataFrame
+    values: np.ndarray
+    rounds: int
+    converged: bool
+
+
 def _start(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Values in [-0.5, 0.5) that depend on id, column and seed only (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -107,7 +119,13 @@ def _rotate(basis: DataFrame, rotation: np.ndarray) -> DataFrame:
     return basis.select("id", "v").mapInArrow(run, "id long, v array<double>")
 
 
-def spectral_embedding(
+def spectral_embedding(affinity: DataFrame, k: int, seed: int = 42, **options) -> tuple[DataFrame, np.ndarray]:
+    """``id, features`` (k columns, smoothest first) and the Laplacian's k eigenvalues."""
+    found = fit_embedding(affinity, k, seed, **options)
+    return found.rows, found.values
+
+
+def fit_embedding(
     affinity: DataFrame,
     k: int,
     seed: int = 42,
@@ -115,12 +133,13 @@ def spectral_embedding(
     degree: int = 6,
     oversample: int = 8,
     tol: float = 1e-3,
-) -> tuple[DataFrame, np.ndarray]:
-    """``id, features`` (k columns, smoothest first) and the Laplacian's k eigenvalues.
+) -> Embedding:
+    """The k smoothest eigenvectors, as rows of k columns.
 
     ``affinity`` is the output of ``normalized_affinity``. Rows are the
     eigenvectors divided by the square root of the degree. Rounds end when no
-    eigenvalue moves by more than ``tol``.
+    eigenvalue moves by more than ``tol``; ``converged`` says whether that was
+    met within ``rounds``.
     """
     degrees = affinity.groupBy(F.col("src").alias("id")).agg(
         F.max("src_degree").alias("degree")
@@ -133,9 +152,9 @@ def spectral_embedding(
     width = min(n_rows, k + oversample)
     check_broadcast_size(8 * width * width, "the k x k products")
     basis = materialize(_random_basis(degrees.select("id"), width, seed), "basis")
-    cut, previous = 0.0, None
+    cut, previous, done, converged = 0.0, None, 0, False
     try:
-        for _ in range(rounds):
+        for done in range(1, rounds + 1):
             grown = _filter(edges, basis, cut, degree)
             values, vectors = np.linalg.eigh(_gram(grown))
             values = np.maximum(values, values.max() * 1e-14)
@@ -148,13 +167,14 @@ def spectral_embedding(
             basis = materialize(_rotate(unit, vectors), "basis")
             moved = None if previous is None else np.abs(values[:k] - previous).max()
             if width == n_rows or (moved is not None and moved < tol):
+                converged = True
                 break
             cut, previous = float(np.clip(values[-1], -0.9, 0.99)), values[:k]
         features = basis.join(degrees, "id").select(
             "id",
             F.transform(F.slice("v", 1, k), lambda x: x / F.sqrt("degree")).alias("features"),
         )
-        return materialize(features, "spectral"), 1.0 - values[:k]
+        return Embedding(materialize(features, "spectral"), 1.0 - values[:k], done, converged)
     finally:
         edges.unpersist()
 
@@ -167,19 +187,24 @@ def spectral_rows(
     id_col: str = "word_id",
     vec_col: str = "features",
     **options,
-) -> DataFrame:
+) -> Embedding:
     """Spectral coordinates; ``n_neighbors`` counts the point itself, whose edge is left out."""
     graph = knn_graph(points, max(1, n_neighbors - 1), id_col, vec_col)
-    return spectral_embedding(normalized_affinity(graph), k, seed, **options)[0]
+    return fit_embedding(normalized_affinity(graph), k, seed, **options)
 
 
 def spectral_labels(
-    rows: DataFrame, k: int, seed: int = 42, n_init: int = 10, id_col: str = "word_id"
+    embedding: Embedding, k: int, seed: int = 42, n_init: int = 10, id_col: str = "word_id"
 ) -> Clustering:
-    """K-means on the first k spectral coordinates."""
-    first = rows.select("id", F.slice("features", 1, k).alias("features"))
+    """K-means on the first k spectral coordinates.
+
+    ``iterations`` are the eigenvalue rounds and the steps of k-means; ``converged`` if both did.
+    """
+    first = embedding.rows.select("id", F.slice("features", 1, k).alias("features"))
     fit = kmeans(first, k, seed, n_init, id_col="id")
     fit.labels = fit.labels.withColumnRenamed("id", id_col)
+    fit.iterations += embedding.rounds
+    fit.converged = bool(fit.converged and embedding.converged)
     return fit
 
 

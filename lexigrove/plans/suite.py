@@ -37,10 +37,11 @@ def sweep(
     vec_col: str = "features",
     options: dict[str, dict] | None = None,
 ) -> DataFrame:
-    """``algorithm, k, id, cluster, inertia`` for every algorithm and k, written once.
+    """``algorithm, k, id, cluster, inertia, iterations, converged`` for every algorithm and k, written once.
 
     A column ``word`` of the points stays with its id. ``inertia`` is the cost of the fit
     about its own centres, the same in all its rows; null where the fit has no centres.
+    ``iterations`` and ``converged`` tell how the fit ended; null for the agglomeration, which has none.
 
     One merge tree serves every k of the agglomeration, and one set of spectral
     coordinates, at the largest k, serves every k of the spectral labels.
@@ -72,7 +73,10 @@ def sweep(
         # only these fits have centres among the points, so that their cost is an inertia
         about = name in ("MiniBatchKMeans", "Voronoi_Partition")
         tables = [
-            f.labels.select("*", F.lit(k).alias("k"), F.lit(f.cost if about else None).alias("inertia"))
+            f.labels.select(
+                "*", F.lit(k).alias("k"), F.lit(f.cost if about else None).alias("inertia"),
+                F.lit(f.iterations).alias("iterations"), F.lit(f.converged).alias("converged"),
+            )
             for k, f in fits.items()
         ]
         return reduce(DataFrame.unionByName, tables)
@@ -81,11 +85,12 @@ def sweep(
         parts = []
         for name in algorithms:
             labels = fit(name)
-            inertia = F.col("inertia") if "inertia" in labels.columns else F.lit(None)
+            ends = {"inertia": "double", "iterations": "int", "converged": "boolean"}
+            ends = [(F.col(c) if c in labels.columns else F.lit(None)).cast(t).alias(c) for c, t in ends.items()]
             parts.append(
                 labels.select(
                     F.lit(name).alias("algorithm"), F.col("k").cast("int"), id_col,
-                    F.col("cluster").cast("int"), inertia.cast("double").alias("inertia"),
+                    F.col("cluster").cast("int"), *ends,
                 )
             )
         labels = reduce(DataFrame.unionByName, parts)
@@ -102,13 +107,15 @@ def run_suite(points: DataFrame, k: int = 200, **kwargs) -> DataFrame:
 
 
 def metric_table(assignments: DataFrame, embeddings: DataFrame, **kwargs) -> DataFrame:
-    """``k, Algorithm, WCSS, Silhouette, Davies_Bouldin, Calinski_Harabasz, Inertia`` of a sweep.
+    """``k, Algorithm, WCSS, Silhouette, Davies_Bouldin, Calinski_Harabasz, Inertia, Iterations, Converged`` of a sweep.
 
     ``WCSS`` is about the member means, ``Inertia`` about the centres of the fit.
     """
     keys = ["algorithm", "k"]
-    inertia = assignments.groupBy(*keys).agg(F.max("inertia").alias("inertia"))
-    return evaluate(assignments, embeddings, keys, **kwargs).join(inertia, keys).select(
+    fits = assignments.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("inertia", "iterations", "converged")]
+    )
+    return evaluate(assignments, embeddings, keys, **kwargs).join(fits, keys).select(
         "k",
         F.col("algorithm").alias("Algorithm"),
         F.col("wcss").alias("WCSS"),
@@ -116,4 +123,6 @@ def metric_table(assignments: DataFrame, embeddings: DataFrame, **kwargs) -> Dat
         F.col("davies_bouldin").alias("Davies_Bouldin"),
         F.col("calinski_harabasz").alias("Calinski_Harabasz"),
         F.col("inertia").alias("Inertia"),
+        F.col("iterations").alias("Iterations"),
+        F.col("converged").alias("Converged"),
     )

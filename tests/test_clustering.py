@@ -172,6 +172,27 @@ def test_spectral_eigenvalues(data):
     assert rows.count() == len(x)
 
 
+def test_spectral_tells_whether_its_rounds_met_the_tolerance(data):
+    e = data[2]
+    assert spectral.spectral(e, 5, n_init=1, rounds=1).converged is False
+    done = spectral.spectral(e, 5, n_init=1, rounds=30)
+    assert done.converged and 2 < done.iterations
+
+
+def test_registered_suite_runs_all_algorithms_with_defaults(monkeypatch):
+    from catalog import queries
+    from lexigrove.plans import suite
+
+    calls = []
+    monkeypatch.setattr(queries.fx, "points", lambda *a: None)
+    monkeypatch.setattr(queries.spc, "spectral", lambda points, k, **kw: calls.append(kw) or kmeans.Clustering(None))
+    monkeypatch.setattr(suite, "sweep", lambda points, ks, *a, **kw: calls.append((a, kw)))
+    monkeypatch.setattr(suite, "metric_table", lambda *a, **kw: None)
+    for name in ("sweep", "run_suite", "spectral"):
+        queries.QUERIES[name](None, "")
+    assert calls == [((), {}), ((), {}), {"seed": 42}]
+
+
 def test_suite_and_sweep(data):
     x, _, e = data
     got = run_suite(e, 4, n_init=2, options={"Spectral": {"rounds": 2}, "MiniBatchKMeans": {"steps": 3, "batch_size": 40}})
@@ -179,6 +200,8 @@ def test_suite_and_sweep(data):
         F.count("*").alias("n"), F.count_distinct("cluster").alias("c")).collect()}
     assert set(counts) == {"MiniBatchKMeans", "Agglomerative_Cosine", "Spectral", "Voronoi_Partition", "Gaussian_Mixture"}
     assert all(n == len(x) and 1 < c <= 4 for n, c in counts.values())
+    ends = {r["algorithm"]: (r["iterations"], r["converged"]) for r in got.select("algorithm", "iterations", "converged").distinct().collect()}
+    assert len(ends) == 5 and ends["MiniBatchKMeans"] == (3, False) and ends["Agglomerative_Cosine"] == (None, None)
     two = sweep(e, [2, 5], ["Agglomerative_Cosine"])
     assert two.groupBy("k").count().count() == 2
     with pytest.raises(ValueError, match="unknown"):
