@@ -84,8 +84,62 @@ SELECT conv_id, any_value(n_prompt) AS n_prompt,
 FROM o GROUP BY conv_id
 """
 
+
+def _fields(n_chars: str) -> str:
+    columns = ("doc_id", "source", "lang", n_chars, "text")
+    text = [f"({c})::VARCHAR" for c in columns]
+    return " || ".join(f"coalesce(octet_length(encode({t})) || ':' || {t}, '-')" for t in text)
+
+
+# crc32 of the decimal id, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+    lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"""
+
+_LEVEL = "sha256(string_agg(h, '' ORDER BY i))"
+OP13 = f"""
+WITH RECURSIVE l AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, {_CRC} % 7 = 0 AS hit,
+    sha256({_fields("n_chars")}) AS leaf, sha256({_fields("n_chars + 1")}) AS other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM documents
+), t AS (
+  SELECT k, 0 AS lv, i, n, leaf AS h FROM l
+  UNION ALL
+  SELECT k, lv + 1, i // 2, (n + 1) // 2, {_LEVEL} FROM t WHERE n > 1 GROUP BY k, lv, i // 2, (n + 1) // 2
+), sub AS MATERIALIZED (
+  SELECT k, h, lv AS depth, row_number() OVER (ORDER BY k) - 1 AS spot, count(*) OVER () AS m FROM t WHERE n = 1
+), u AS (
+  SELECT 0 AS lv, spot AS i, m AS n, h FROM sub
+  UNION ALL
+  SELECT lv + 1, i // 2, (n + 1) // 2, {_LEVEL} FROM u WHERE n > 1 GROUP BY lv, i // 2, (n + 1) // 2
+), r AS (SELECT h AS root, lv AS top FROM u WHERE n = 1), p AS MATERIALIZED (
+  SELECT l.doc_id, g.lv, (l.i >> g.lv) & 1 AS right_one, t.h AS sib
+  FROM l JOIN sub USING (k) CROSS JOIN unnest(range(63)) AS g(lv)
+    LEFT JOIN t ON t.k = l.k AND t.lv = g.lv AND t.i = xor(l.i >> g.lv, 1)
+  WHERE g.lv < sub.depth
+  UNION ALL
+  SELECT l.doc_id, sub.depth + g.lv, (sub.spot >> g.lv) & 1, u.h
+  FROM l JOIN sub USING (k) CROSS JOIN r CROSS JOIN unnest(range(63)) AS g(lv)
+    LEFT JOIN u ON u.lv = g.lv AND u.i = xor(sub.spot >> g.lv, 1)
+  WHERE g.lv < r.top
+), w AS (
+  SELECT doc_id, 0 AS lv, CASE WHEN hit THEN other ELSE leaf END AS h FROM l
+  UNION ALL
+  SELECT doc_id, lv + 1, sha256(CASE WHEN sib IS NULL THEN h WHEN right_one = 1 THEN sib || h ELSE h || sib END)
+  FROM w JOIN p USING (doc_id, lv)
+), o AS (
+  SELECT l.doc_id, leaf, sub.h AS subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded AS folded_root
+  FROM l JOIN sub USING (k) CROSS JOIN r
+    JOIN (SELECT doc_id, arg_max(h, lv) AS folded FROM w GROUP BY doc_id) USING (doc_id)
+    LEFT JOIN (SELECT doc_id, string_agg(sib, '' ORDER BY lv) AS proof FROM p GROUP BY doc_id) USING (doc_id)
+)
+SELECT *, folded_root = root AS verified FROM o
+"""
+
 ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op4_substring_dedup": OP4,
     "op6_preference_format": OP6,
+    "op13_merkle_manifest": OP13,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.runtime import scratch_path
 
-from . import ann, bpe, chat, langid, mixing, ngram_join, quality, repair, substring, toxicity
+from . import ann, bpe, chat, langid, merkle, mixing, ngram_join, quality, repair, substring, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -112,6 +112,20 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    more = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
+    docs = docs.withColumn("tampered", F.when(remainder("doc_id", 7) == 0, merkle.leaf_hash(*more)))
+    found = merkle.manifest(docs, keep=["tampered"])
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("siblings"), F.col("place"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root",
+        F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -129,5 +143,6 @@ QUERIES = {
     "op8_repair_shards": op8_repair_shards,
     "op9_permutation_index": op9_permutation_index,
     "op10_toxicity_fm": op10_toxicity_fm,
+    "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
