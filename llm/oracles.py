@@ -84,6 +84,30 @@ SELECT conv_id, any_value(n_prompt) AS n_prompt,
 FROM o GROUP BY conv_id
 """
 
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+OP11 = f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, {_TERMS} AS w FROM documents
+), c AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), p AS MATERIALIZED (
+  SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d) GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, n_docs
+), q AS (
+  SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), s AS (
+  SELECT item_id, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def _fields(n_chars: str) -> str:
     columns = ("doc_id", "source", "lang", n_chars, "text")
@@ -141,5 +165,6 @@ ORACLES = {
     "op1_ngram_jaccard_join": OP1,
     "op4_substring_dedup": OP4,
     "op6_preference_format": OP6,
+    "op11_lexical_search": OP11,
     "op13_merkle_manifest": OP13,
 }

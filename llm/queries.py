@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.runtime import scratch_path
 
-from . import ann, bpe, chat, langid, merkle, mixing, ngram_join, quality, repair, substring, toxicity
+from . import ann, bpe, chat, langid, lexical, merkle, mixing, ngram_join, quality, repair, substring, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -112,6 +112,10 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     more = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
@@ -143,6 +147,7 @@ QUERIES = {
     "op8_repair_shards": op8_repair_shards,
     "op9_permutation_index": op9_permutation_index,
     "op10_toxicity_fm": op10_toxicity_fm,
+    "op11_lexical_search": op11_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
