@@ -108,6 +108,33 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM s WHERE score > 0 QUALIFY rank <= 10
 """
 
+# bytes as pairs of hex digits
+OP12 = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS m
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)
+), f AS (
+  SELECT m, min(doc_id) AS earliest FROM w GROUP BY m HAVING min(doc_id) < max(doc_id)
+), g AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (m) WHERE doc_id > earliest
+), r AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), s AS (
+  SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM r GROUP BY doc_id, run
+), p AS (
+  SELECT doc_id, h, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS cut FROM s JOIN d USING (doc_id)
+), k AS (
+  SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed,
+    string_agg(substr(h, 2 * cut + 1, 2 * (lo - cut)), '' ORDER BY lo) || substr(h, 2 * max(hi) + 1) AS kept
+  FROM p GROUP BY doc_id, h
+)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 
 def _fields(n_chars: str) -> str:
     columns = ("doc_id", "source", "lang", n_chars, "text")
@@ -166,5 +193,6 @@ ORACLES = {
     "op4_substring_dedup": OP4,
     "op6_preference_format": OP6,
     "op11_lexical_search": OP11,
+    "op12_suffix_dedup": OP12,
     "op13_merkle_manifest": OP13,
 }

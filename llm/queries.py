@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.runtime import scratch_path
 
-from . import ann, bpe, chat, langid, lexical, merkle, mixing, ngram_join, quality, repair, substring, toxicity
+from . import ann, bpe, chat, langid, lexical, merkle, mixing, ngram_join, quality, repair, substring, suffix, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -116,6 +116,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeated_bytes(docs, length=50).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2(F.col("kept"), 256).alias("kept_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     more = [F.try_add("n_chars", F.lit(1)) if c == "n_chars" else F.col(c) for c in merkle.FIELDS]
@@ -148,6 +156,7 @@ QUERIES = {
     "op9_permutation_index": op9_permutation_index,
     "op10_toxicity_fm": op10_toxicity_fm,
     "op11_lexical_search": op11_lexical_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
     "pipeline": pipeline,
 }
