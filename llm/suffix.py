@@ -48,29 +48,39 @@ _MADE = ("n_bytes", "n_removed", "spans", "kept")
 _SYMBOL = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
-def _names(text: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
-    """Names of all strings of ``width`` bytes, from pairs at doubling offsets."""
-    return window_hash(_SYMBOL[lane][text], width, lane)
-
-
-def seeds_of(names: np.ndarray, span: int) -> np.ndarray:
-    """For each run of ``span`` names the place of the least, the leftmost of equal ones.
+def scan(text: np.ndarray, seed: int, length: int, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Names of all strings of ``seed`` bytes, from pairs at doubling offsets, and for each window the
+    place of the least name in it, the leftmost of equal ones.
 
     Names are compared by their upper 40 bits, so that the place fits below them.
     """
-    n = len(names) - span + 1
-    out = np.zeros(max(0, n), np.int64)
-    for lo in range(0, n, _STRIDE):
-        m = min(_STRIDE, n - lo)
-        key = names[lo : lo + m + span - 1] & ~_LOW | np.arange(m + span - 1, dtype=np.uint64)
+    span = length - seed + 1
+    names = np.zeros(max(0, len(text) - seed + 1), np.uint64)
+    places = np.zeros(max(0, len(names) - span + 1), np.int64)
+    for lo in range(0, len(names), _STRIDE):
+        own = window_hash(_SYMBOL[lane][text[lo : lo + _STRIDE + length - 1]], seed, lane)
+        names[lo : lo + _STRIDE] = own[:_STRIDE]
+        if len(own) < span:
+            continue
+        key = own & ~_LOW | np.arange(len(own), dtype=np.uint64)
         step = 1
         while 2 * step <= span:
             key = np.minimum(key[:-step], key[step:])
             step *= 2
         if step < span:
             key = np.minimum(key[: len(key) - (span - step)], key[span - step :])
-        out[lo : lo + m] = lo + (key & _LOW).astype(np.int64)
-    return out
+        key = key[: min(_STRIDE, len(places) - lo)]
+        places[lo : lo + len(key)] = lo + (key & _LOW).astype(np.int64)
+    return names, places
+
+
+def doubled(names: np.ndarray, at: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Names of the strings of ``length`` bytes at some places: those of ``width`` bytes, in pairs."""
+    if length <= width:
+        return names[at]
+    half = max(width, -(-length // 2))
+    pair = doubled(names, at, width, half), doubled(names, at + (length - half), width, half)
+    return mix(pair[0] * np.uint64(0x9FB21C651E98DF25) + pair[1])
 
 
 def _bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
@@ -86,34 +96,34 @@ class _Chunk:
     """Windows of a chunk and the stretches that they form."""
 
     def __init__(self, text: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int, seed: int):
-        self.text, self.sizes, self.ids, self.length = text, sizes, ids, length
+        self.text, self.sizes, self.length, self.width = text, sizes, length, seed
         self.ends = np.cumsum(sizes)
-        short = _names(text, seed)
-        at = seeds_of(short, length - seed + 1)
+        self.short, at = scan(text, seed, length)
         # windows inside one text
         ok = np.repeat(self.ends, sizes)[: len(at)] - np.arange(len(at)) >= length
-        new = ok.copy()
-        new[1:] &= (at[1:] != at[:-1]) | ~ok[:-1]
-        self.first = np.flatnonzero(new)
-        last = ok.copy()
-        last[:-1] &= (at[1:] != at[:-1]) | ~ok[1:]
-        self.last = np.flatnonzero(last)
-        self.seed = short[at[self.first]]
+        turn = at[1:] != at[:-1]
+        new, last = ok.copy(), ok.copy()
+        new[1:] &= turn | ~ok[:-1]
+        last[:-1] &= turn | ~ok[1:]
+        self.first, self.last = np.flatnonzero(new), np.flatnonzero(last)
+        self.seed = self.short[at[self.first]]
         self.doc = ids[np.searchsorted(self.ends, self.first, side="right")]
 
     def stretches(self) -> np.ndarray:
         """The name of each stretch: of its first and last window and its length."""
-        names = _names(self.text, self.length)
-        a, b = names[self.first], names[self.last]
+        a, b = (doubled(self.short, at, self.width, self.length) for at in (self.first, self.last))
         size = (self.last - self.first).astype(np.uint64)
         return mix(a * np.uint64(0x9FB21C651E98DF25) + mix(b) + size)
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Both names, the place and the document of every window of these stretches."""
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The name, the place and the document of every window of these stretches."""
         sizes = self.last[of] - self.first[of] + 1
         place = np.repeat(self.first[of] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        doc = np.repeat(self.doc[of], sizes)
-        return _names(self.text, self.length)[place], _names(self.text, self.length, 1)[place], place, doc
+        return doubled(self.short, place, self.width, self.length), place, np.repeat(self.doc[of], sizes)
+
+    def second(self, place: np.ndarray) -> np.ndarray:
+        """Other names of these windows."""
+        return doubled(scan(self.text, self.width, self.width, 1)[0], place, self.width, self.length)
 
 
 def _least(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -200,7 +210,7 @@ def _spans(removed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def remove_repeated_bytes(
     docs: DataFrame,
     length: int = 50,
-    seed: int = 24,
+    seed: int = 25,
     id_col: str = "doc_id",
     text_col: str = "text",
     chunk_bytes: int = CHUNK_BYTES,
@@ -213,7 +223,7 @@ def remove_repeated_bytes(
     if not 1 <= seed <= length:
         raise ValueError("the seed must be from 1 to the length")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    parts = max(1, -(-total // part_bytes))
+    parts = max(chunks.n_parts(docs.sparkSession), -(-total // part_bytes))
     rest = [c for c in docs.columns if c != text_col]
 
     def make(table: pa.Table):
@@ -258,15 +268,15 @@ def remove_repeated_bytes(
     def windows(chunk: int, body: bytes, replies: list[bytes]) -> pa.Table:
         """The windows of stretches that are not settled, once for each stretch."""
         _, c = read(body)
-        a, b, _, doc = c.windows(settle(c, replies)[1])
-        a, b, doc = _least(doc, a, b)
+        a, place, doc = c.windows(settle(c, replies)[1])
+        a, b, doc = _least(doc, a, c.second(place))
         return sent(chunk, list(chunks.hash_blocks(a, parts, b, doc)))
 
     def finish(chunk: int, body: bytes, replies: list[bytes]) -> pa.Table:
         rows, c = read(body)
         best, left, answers = settle(c, replies)
         gone = best < c.doc
-        a, _, place, doc = c.windows(left)
+        a, place, doc = c.windows(left)
         later = _smallest(a, doc, answers) < doc
         steps = np.zeros(len(c.text) + 1, np.int32)
         np.add.at(steps, np.concatenate([c.first[gone], place[later]]), 1)

@@ -61,11 +61,25 @@ def test_removal_equals_brute_force(spark, seed, length, short, chunk, letters):
 
 def test_seeds_are_the_leftmost_least(monkeypatch):
     monkeypatch.setattr(suffix, "_STRIDE", 7)
-    rng = np.random.default_rng(0)
-    names = rng.integers(0, 9, 200).astype(np.uint64) << np.uint64(40)
-    for span in (1, 2, 5, 8, 27):
-        want = [p + int(np.argmin(names[p : p + span])) for p in range(len(names) - span + 1)]
-        assert suffix.seeds_of(names, span).tolist() == want
+    text = np.frombuffer(bytes(random.Random(0).choices(b"abc", k=300)), np.uint8)
+    for seed, length in ((1, 1), (2, 3), (5, 12), (8, 34), (25, 50), (299, 300)):
+        names, places = suffix.scan(text, seed, length)
+        raw = text.tobytes()
+        by_name = {}
+        for p, name in enumerate(names.tolist()):
+            assert by_name.setdefault(name, raw[p : p + seed]) == raw[p : p + seed]
+        span = length - seed + 1
+        assert len(names) == len(raw) - seed + 1 and len(places) == len(raw) - length + 1
+        assert places.tolist() == [p + int(np.argmin(names[p : p + span] >> np.uint64(24))) for p in range(len(places))]
+
+
+def test_doubled_names_tell_strings_apart():
+    text = np.frombuffer(bytes(random.Random(1).choices(b"ab", k=900)), np.uint8)
+    raw = text.tobytes()
+    for seed, length in ((1, 9), (3, 7), (25, 50), (24, 50), (5, 5)):
+        at = np.arange(len(raw) - length + 1)
+        names = suffix.doubled(suffix.scan(text, seed, length)[0], at, seed, length)
+        assert len(set(names.tolist())) == len({raw[p : p + length] for p in at})
 
 
 def test_bytes_of_slices():
