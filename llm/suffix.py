@@ -16,7 +16,7 @@ from pairs at growing offsets, Spark sorts them at two lengths, and what is uniq
 - Past the threshold: for seeds with several stretches, one document of each stretch names all
   its windows, and the smallest id of each decides.
 
-Between chunks windows count by two names (128 bits), stretches by their own and that of their
+Between chunks windows count by two names (96 bits), stretches by their own and that of their
 seed, which is a part of them. Each chunk sends a name once, so frequent strings are merged
 before the shuffle, and the number of parts follows the bytes of the texts. A chunk holds whole
 texts, so a task needs about 60 bytes of memory for each byte of the longest one.
@@ -136,6 +136,11 @@ def _least(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
     return (*(k[new] for k in keys), doc[new])
 
 
+def _half(names: np.ndarray) -> np.ndarray:
+    """The upper 32 bits."""
+    return (names >> np.uint64(32)).astype(np.uint32)
+
+
 def _several(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The keys that come with more than one value, sorted."""
     order = np.lexsort((values, keys))
@@ -231,7 +236,6 @@ def remove_repeated_bytes(
         ids = pc.fill_null(one_array(table[id_col]).cast(pa.int64()), NULL_ID).to_numpy()
         rows = np.frombuffer(chunks.dump_table(table.select(rest)), np.uint8)
         yield chunks.BODY, chunks.dumps(rows, text, sizes, ids)
-        yield from chunks.hash_blocks(np.unique(_Chunk(text, sizes, ids, length, seed).seed), parts)
 
     def read(body: bytes) -> tuple[pa.Table, _Chunk]:
         rows, text, sizes, ids = chunks.loads(body)
@@ -242,6 +246,12 @@ def remove_repeated_bytes(
         columns = [[chunk] * len(rows), [p for p, _ in rows], [d for _, d in rows]]
         return pa.table({c: pa.array(v, k) for (c, k), v in zip(kinds.items(), columns)})
 
+    def seeds(batches):
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("payload")):
+                rows = list(chunks.hash_blocks(np.unique(read(body.as_py())[1].seed), parts))
+                yield from sent(chunk, rows).to_batches()
+
     def stretches(chunk: int, body: bytes, replies: list[bytes]) -> pa.Table:
         """The stretches whose seed another document has, and for each seed its one stretch."""
         _, c = read(body)
@@ -249,7 +259,7 @@ def remove_repeated_bytes(
         of = np.flatnonzero(chunks.member(c.seed, several))
         names, seeds = c.stretches()[of], c.seed[of]
         name, its_seed, doc = _least(c.doc[of], names, seeds)
-        rows = list(chunks.hash_blocks(name, parts, its_seed, doc))
+        rows = list(chunks.hash_blocks(name, parts, _half(its_seed), doc))
         one, first = np.unique(seeds, return_index=True)
         inside = names[first]
         inside[chunks.member(one, _several(seeds, names))] = 0
@@ -269,7 +279,7 @@ def remove_repeated_bytes(
         """The windows of stretches that are not settled, once for each stretch."""
         _, c = read(body)
         a, place, doc = c.windows(settle(c, replies)[1])
-        a, b, doc = _least(doc, a, c.second(place))
+        a, b, doc = _least(doc, a, _half(c.second(place)))
         return sent(chunk, list(chunks.hash_blocks(a, parts, b, doc)))
 
     def finish(chunk: int, body: bytes, replies: list[bytes]) -> pa.Table:
@@ -294,8 +304,8 @@ def remove_repeated_bytes(
         made = [pa.array(c.sizes), pa.array(n_removed, pa.int64()), spans, kept]
         return pa.table([*rows.columns, *made], names=[*rest, *_MADE])
 
-    bodies, blocks = chunks.build(docs, text_col, make, "suffix-chunks", chunk_bytes)
-    shared = chunks.exchange(blocks, chunks.shared_hashes)
+    bodies, _ = chunks.build(docs, text_col, make, "suffix-chunks", chunk_bytes)
+    shared = chunks.exchange(bodies.mapInArrow(seeds, chunks.ROWS), chunks.shared_hashes)
     named = chunks.meet(bodies, shared, stretches, chunks.ROWS)
     settled = materialize(chunks.exchange(named, _settled), "suffix-settled")  # read twice
     earlier = chunks.exchange(chunks.meet(bodies, settled, windows, chunks.ROWS), _earliest)
