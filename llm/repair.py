@@ -2,8 +2,8 @@
 
 Documents are sorted by id over the whole table and encoded; a shard holds the ids of
 consecutive documents. Per shard, frequent pairs of neighbouring symbols are replaced by
-nonterminals, many per round, until no pair is frequent enough, 16-bit symbols are used up or
-``rounds`` are done; that bounds the effort, not the content. A shard stores the rules, the
+nonterminals, many per round, until no pair is frequent enough or 16-bit symbols are used up;
+that bounds the grammar, not the content. A shard stores the rules, the
 number of ids each symbol expands to, and the symbols, so a document is found by summing
 expansion lengths and decoded without its neighbours.
 
@@ -13,7 +13,7 @@ length and its Zstandard data: document ids, nulls, token counts, rules (left, r
 expansion lengths of the rules, symbols.
 
 Null and empty texts have the end id alone. Null document ids come first; repeated ids are
-separate documents, in no fixed order among themselves. An empty table gives no shards.
+separate documents, in the order of their texts. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -34,42 +34,51 @@ SHARD = "shard long, n_docs long, n_tokens long, first_doc long, last_doc long,
 
 
 def compress(
-    ids: np.ndarray, n_symbols: int, rounds: int = 4, per_round: int = 4096, least: int = 16
+    ids: np.ndarray, n_symbols: int, rounds: int | None = None, per_round: int = 4096, least: int = 16
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(rules, symbols): rule r stands for symbol ``n_symbols + r`` and holds two symbols."""
-    seq = ids.astype(np.int64)
+    """(rules, symbols): rule r stands for symbol ``n_symbols + r`` and holds two symbols.
+
+    Goes on until no pair occurs ``least`` times or the symbols are used up, unless ``rounds`` ends it.
+    """
+    seq = ids.astype(np.uint32)
     rules = [np.zeros((0, 2), np.int64)]
-    top = n_symbols
-    for _ in range(rounds):
+    top, done = n_symbols, 0
+    while rounds is None or done < rounds:
+        done += 1
         room = min(per_round, (1 << 16) - top)
         if len(seq) < 2 or room <= 0:
             break
-        pairs = seq[:-1] << 16 | seq[1:]
+        pairs = seq[:-1] << np.uint32(16)
+        pairs |= seq[1:]
         ordered = np.sort(pairs)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         count = np.diff(np.append(edge, len(ordered)))
         frequent = count >= least
-        if not frequent.any():
-            break
         values, count = ordered[edge[frequent]], count[frequent]
+        del ordered, edge
+        if not len(values):
+            break
         if len(values) > room:
             best = np.argpartition(-count, room - 1)[:room]
             values, count = values[best], count[best]
         order = np.argsort(values)
         values, count = values[order], count[order]
-        rank = np.empty(len(values), np.int64)
+        rank = np.empty(len(values), np.int32)
         rank[np.lexsort((values, -count))] = np.arange(len(values))
         # of overlapping pairs the more frequent one goes first
         first = np.zeros(1 << 16, bool)
         first[values >> 16] = True
         maybe = np.flatnonzero(first[seq[:-1]])
-        at = np.searchsorted(values, pairs[maybe])
+        wanted = pairs[maybe]
+        del pairs
+        at = np.searchsorted(values, wanted)
         at[at == len(values)] = 0
-        hit = values[at] == pairs[maybe]
-        place = np.full(len(seq) + 1, len(values), np.int64)
+        hit = values[at] == wanted
+        place = np.full(len(seq) + 2, len(values), np.int32)
         place[maybe[hit] + 1] = rank[at[hit]]
-        own, left, right = place[1:], place[:-1], np.append(place[2:], len(values))
-        chosen = np.flatnonzero((own < len(values)) & (own < left) & (own <= right))
+        del maybe, wanted, at, hit
+        own = place[1:-1]
+        chosen = np.flatnonzero((own < len(values)) & (own < place[:-2]) & (own <= place[2:]))
         used, which = np.unique(own[chosen], return_inverse=True)
         by_rank = np.empty(len(values), np.int64)
         by_rank[rank] = values
@@ -93,10 +102,10 @@ def expansion_lengths(rules: np.ndarray, n_symbols: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, n_symbols: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    seq = symbols.astype(np.int64)
+    seq = symbols.astype(np.uint32)
     while len(seq) and (big := seq >= n_symbols).any():
-        at = np.cumsum(1 + big) - (1 + big)
-        out = np.empty(len(seq) + int(big.sum()), np.int64)
+        at = np.arange(len(seq)) + np.cumsum(big) - big
+        out = np.empty(len(seq) + int(big.sum()), np.uint32)
         pair = rules[seq[big] - n_symbols]
         out[at[~big]] = seq[~big]
         out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
@@ -165,7 +174,7 @@ def write(
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = kept.repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id")
+    kept = kept.repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
 
     def shard(chunk, ids, counts, tokens):
         ids = one_array(ids)

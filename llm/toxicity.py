@@ -9,7 +9,8 @@ a hash of their id: at most about ``max_per_label`` of each label. Terms in fewe
 sampled documents have no weight; the L1 penalty takes the weight from terms that say little,
 the group penalty their factors. Scoring covers every document and its whole text.
 
-Null and empty texts, and all texts when no label is known, get the score of no terms.
+Null and empty texts, and all texts when no label is known, get the score of no terms; an empty
+table gives no rows. Repeated rows are scored each. A column named like the score is refused.
 Several labels of one document count as toxic if one is. Null labels are ignored.
 """
 
@@ -21,10 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import _slices
 from .words import hash_words, one_array, rank_words, split_words
 
 BUCKETS = 1 << 18
 FACTORS = 8
+SLICE_BYTES = 4 * 1024 * 1024  # of text whose terms are held at a time; a longer text is held alone
 EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 
 
@@ -163,13 +166,11 @@ def train(
     chosen = texts.join(F.broadcast(sample), "label_id")  # about 2 * max_per_label rows
 
     def terms(batches):
-        for batch in batches:
-            found, counts = term_sets(batch.column("body"))
+        for table in _slices(batches, "body", SLICE_BYTES):
+            found, counts = term_sets(table["body"])
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label_id"), batch.column("label"), lists], names=["label_id", "label", "terms"]
-            )
+            yield from table.select(["label_id", "label"]).append_column("terms", lists).to_batches()
 
     kind = docs.schema[id_col].dataType.simpleString()
     bagged = chosen.mapInArrow(terms, f"label_id {kind}, label int, terms array<long>")
@@ -209,19 +210,20 @@ def train(
 
 def score(docs: DataFrame, machine, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """Add the score of every whole text."""
+    if out_col in docs.columns:
+        raise ValueError(f"column {out_col} is made here; rename it or choose another name")
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS x (FACTORS + 1) floats
     schema = docs.select("*", F.lit(0.0).alias(out_col)).schema
 
     def task(batches):
-        for batch in batches:
-            bias, weights, factors = model.value
-            terms, counts = term_sets(batch.column(text_col))
-            active = (weights[terms] != 0) | factors[terms].any(axis=1)
-            row = np.repeat(np.arange(len(counts)), counts)[active]
+        bias, weights, factors = model.value
+        active = (weights != 0) | factors.any(axis=1)
+        for table in _slices(batches, text_col, SLICE_BYTES):
+            terms, counts = term_sets(table[text_col])
+            known = active[terms]
+            row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[known]
             counts = np.bincount(row, minlength=len(counts))
-            scores = sigmoid(margins(terms[active], counts, bias, weights, factors))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores)], names=[*batch.schema.names, out_col]
-            )
+            scores = sigmoid(margins(terms[known], counts, bias, weights, factors))
+            yield from table.append_column(out_col, pa.array(scores)).to_batches()
 
     return docs.mapInArrow(task, schema)

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -294,3 +295,19 @@ def test_pipeline_stages(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "ngram_jaccard_join", "substring_dedup", "source_mixing", "bpe_codec",
     ]
+
+
+def test_toxicity_of_odd_tables(spark):
+    schema = "doc_id long, text string"
+    machine = (0.5, np.zeros(toxicity.BUCKETS, np.float32), np.zeros((toxicity.BUCKETS, toxicity.FACTORS), np.float32))
+    terms, _ = toxicity.term_sets(pa.array(["bad group other"]))
+    bad, group, _ = (int(toxicity.term_sets(pa.array([w]))[0][0]) for w in ("bad", "group", "other"))
+    machine[1][bad], machine[2][bad, 0], machine[2][group, 0] = 1.0, 2.0, 1.5
+    assert len(terms) == 3
+    assert toxicity.score(spark.createDataFrame([], schema), machine).count() == 0
+    rows = [(1, None), (2, ""), (3, "bad"), (4, "group"), (5, "Bad, group!"), (5, "Bad, group!"), (6, "other " * 900_000 + "bad")]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, schema), machine).collect()}
+    want = {1: 0.5, 2: 0.5, 3: 1.5, 4: 0.5, 5: 4.5, 6: 1.5}  # 5: the pair gives 2.0 * 1.5
+    assert got == {i: pytest.approx(1 / (1 + np.exp(-m))) for i, m in want.items()}
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(spark.createDataFrame(rows, schema).selectExpr("*", "1 AS score"), machine)
