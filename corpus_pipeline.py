@@ -3,6 +3,10 @@
 Toxic documents go, one document of each group of near copies stays, repeated passages go, sources
 are mixed to their weights, and what is left is encoded. All stages but the last return the
 columns of documents. Each is written as Parquet in the shared folder and read again.
+
+Columns besides those of documents are kept by all stages but the last, whatever their names. Null
+texts count as empty and stay. An empty table gives an empty one. Rows that share an id are single
+documents to the stages that score, mix and encode; how the others see them is said in their modules.
 """
 
 from __future__ import annotations
@@ -17,12 +21,19 @@ from llm import bpe, mixing, ngram_join, substring, toxicity
 from llm.queries import remainder, tokenizer_path
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it while a column has it."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; trained without the labels of held-out documents."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.train(docs, labels, remainder("doc_id", 5) == 0)
-    scored = toxicity.score(docs, machine, out_col="toxicity_score")
-    return scored.filter("toxicity_score < 0.5").drop("toxicity_score")
+    name = _free("toxicity_score", docs.columns)
+    return toxicity.score(docs, machine, out_col=name).filter(F.col(name) < 0.5).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +46,11 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Texts that had no word before stay as they are, null ones as empty texts.
     """
-    found = substring.remove_repeats(docs, window=20).filter("n_words = 0 or n_words > n_removed")
+    inner = {c: _free(f"_{c}", docs.columns) if c in ("n_words", "n_removed", "kept") else c for c in docs.columns}
+    found = substring.remove_repeats(docs.withColumnsRenamed(inner), window=20)
+    found = found.filter("n_words = 0 or n_words > n_removed")
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return found.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return found.select(*[new.get(c, F.col(n)).alias(c) for c, n in inner.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
