@@ -329,6 +329,16 @@ def knn_graph(spark, sf_dir):
     return g.withColumn("distance", r6("distance"))
 
 
+@query
+def knn_approximate(spark, sf_dir):
+    """Neighbours in the eight nearest cells, and whether the exact graph has them."""
+    points = fx.points(spark, sf_dir)
+    near = knn.knn_graph(points, 10, method="approximate", probe=8, block_rows=64)
+    exact = knn.knn_graph(points, 10).select("src", "dst", F.lit(True).alias("exact"))
+    found = near.join(exact, ["src", "dst"], "left").fillna(False, ["exact"])
+    return found.withColumn("distance", r6("distance"))
+
+
 @query
 def normalized_affinity(spark, sf_dir):
     a = knn.normalized_affinity(knn.knn_graph(fx.points(spark, sf_dir), 10))

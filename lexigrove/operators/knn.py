@@ -1,41 +1,12 @@
-"""Exact k nearest neighbours and the affinity graph built on them."""
+"""k nearest neighbours and the affinity graph built on them."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
-from .distances import sq_distances
-from .tiles import block_rows_for, unordered_tiles, with_block
-from .vector_sums import matrix
-
-_SCHEMA = "src long, dst long, sq double"
-
-
-def _nearest(d2: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the ``k`` smallest finite entries, ties by column id."""
-    by_id = np.argsort(ids, kind="stable")
-    d2, ids = d2[:, by_id], ids[by_id]
-    if d2.shape[1] > 4 * k:
-        # keep everything up to the k-th value, so ties at the border stay in
-        kth = np.partition(d2, k - 1, axis=1)[:, k - 1 : k]
-        row, col = np.nonzero(d2 <= kth)
-    else:
-        row, col = np.nonzero(np.isfinite(d2))
-    value = d2[row, col]
-    order = np.lexsort((col, value, row))
-    row, col, value = row[order], col[order], value[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    keep = (place < k) & np.isfinite(value)
-    return row[keep], ids[col[keep]], value[keep]
-
-
-def _table(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    src, dst, sq = (np.concatenate(x) for x in zip(*parts))
-    return pa.table({"src": src, "dst": dst, "sq": sq})
+from .pruned import BLOCK_ROWS, cell_neighbours
 
 
 def knn_graph(
@@ -43,40 +14,20 @@ def knn_graph(
     k: int = 10,
     id_col: str = "word_id",
     vec_col: str = "features",
-    block_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS,
+    method: str = "exact",
+    **options,
 ) -> DataFrame:
     """``(src, dst, rank, distance)``: the k nearest other points by Euclidean distance.
 
-    Exact; ties go to the smaller id and a point is never its own neighbour.
+    ``method`` is ``exact``, which leaves out cells that cannot hold a neighbour, or ``approximate``,
+    which looks into the ``probe`` nearest cells alone (``pruned.recall`` measures it). Ties go to the
+    smaller id and a point is never its own neighbour.
     """
-    rows = points.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
-    block_rows = block_rows or block_rows_for(rows, size["n"], 8 * (size["d"] or 1))
-
-    def tile(a: pa.Table, b: pa.Table | None) -> pa.Table:
-        ids_a, x = a["id"].to_numpy(), matrix(a["vec"])
-        if b is None:
-            d2 = sq_distances(x, x)
-            np.fill_diagonal(d2, np.inf)
-            row, dst, sq = _nearest(d2, ids_a, k)
-            return _table([(ids_a[row], dst, sq)])
-        if b.num_rows == 0 or a.num_rows == 0:
-            empty = np.zeros(0, np.int64)
-            return _table([(empty, empty, np.zeros(0))])
-        ids_b, y = b["id"].to_numpy(), matrix(b["vec"])
-        d2 = sq_distances(x, y)
-        row_a, dst_a, sq_a = _nearest(d2, ids_b, k)
-        row_b, dst_b, sq_b = _nearest(d2.T, ids_a, k)
-        return _table([(ids_a[row_a], dst_a, sq_a), (ids_b[row_b], dst_b, sq_b)])
-
-    blocked = with_block(rows, "id", size["n"], block_rows)
-    candidates = unordered_tiles(blocked, [], tile, _SCHEMA)
-    nearest = Window.partitionBy("src").orderBy("sq", "dst")
-    return (
-        candidates.withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-        .select("src", "dst", "rank", F.sqrt("sq").alias("distance"))
-    )
+    if method not in ("exact", "approximate"):
+        raise ValueError(f"no method {method}")
+    options = {"probe": 8} | options if method == "approximate" else options
+    return cell_neighbours(points, k, id_col, vec_col, method == "exact", block_rows=block_rows, **options).rows
 
 
 def normalized_affinity(knn: DataFrame) -> DataFrame:
