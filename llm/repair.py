@@ -30,6 +30,7 @@ from .bpe import encode_chunks
 from .words import one_array
 
 MAGIC = b"RPR1"
+_SPREAD = np.uint32(0x9E3779B1)
 SHARD = "shard long, n_docs long, n_tokens long, first_doc long, last_doc long, payload binary"
 
 
@@ -66,9 +67,9 @@ def compress(
         rank = np.empty(len(values), np.int32)
         rank[np.lexsort((values, -count))] = np.arange(len(values))
         # of overlapping pairs the more frequent one goes first
-        first = np.zeros(1 << 16, bool)
-        first[values >> 16] = True
-        maybe = np.flatnonzero(first[seq[:-1]])
+        lot = np.zeros(1 << 22, bool)  # by a hash of the pair: most others are left out before the search
+        lot[values * _SPREAD >> np.uint32(10)] = True
+        maybe = np.flatnonzero(lot[pairs * _SPREAD >> np.uint32(10)])
         wanted = pairs[maybe]
         del pairs
         at = np.searchsorted(values, wanted)
@@ -101,16 +102,21 @@ def expansion_lengths(rules: np.ndarray, n_symbols: int) -> np.ndarray:
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, n_symbols: int) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.uint32)
-    while len(seq) and (big := seq >= n_symbols).any():
-        at = np.arange(len(seq)) + np.cumsum(big) - big
-        out = np.empty(len(seq) + int(big.sum()), np.uint32)
-        pair = rules[seq[big] - n_symbols]
-        out[at[~big]] = seq[~big]
-        out[at[big]], out[at[big] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
-    return seq
+    """The ids that symbols stand for: each rule is written out once, then gathered."""
+    sizes = np.append(np.ones(n_symbols, np.int64), expansion_lengths(rules, n_symbols))
+    starts = np.cumsum(sizes) - sizes
+    ids = np.empty(int(sizes.sum()), np.uint32)
+    ids[:n_symbols] = np.arange(n_symbols)
+    ends = (starts + sizes).tolist()
+    begins = starts.tolist()
+    for r, (a, b) in enumerate(rules.tolist(), n_symbols):
+        middle = begins[r] + ends[a] - begins[a]
+        ids[begins[r] : middle] = ids[begins[a] : ends[a]]
+        ids[middle : ends[r]] = ids[begins[b] : ends[b]]
+    symbols = symbols.astype(np.int64)
+    long = sizes[symbols]
+    shift = starts[symbols] - (np.cumsum(long) - long)
+    return ids[np.repeat(shift, long) + np.arange(int(long.sum()))]
 
 
 class Shard:
