@@ -371,7 +371,7 @@ def _kmeans(steps: int) -> str:
     return _with(["points", "centroids"], "SELECT word_id, cluster FROM last", parts)
 
 
-def _minibatch(steps: int, batch_size: int) -> str:
+def _minibatch(steps: int, batch_size: int, shown: str = "SELECT word_id, cluster FROM last") -> str:
     size = f"ceil((SELECT count(*) FROM points) / {batch_size}.0)::BIGINT"
     parts = [
         _LABEL_MEANS,
@@ -399,7 +399,7 @@ def _minibatch(steps: int, batch_size: int) -> str:
             )
         )
     parts.append(("last", _nearest("points", f"c{steps}")))
-    return _with(["points", "centroids"], "SELECT word_id, cluster FROM last", parts)
+    return _with(["points", "centroids"], shown, parts)
 
 
 def _gmm(steps: int) -> str:
@@ -733,6 +733,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "kmeans_fixed_init": _kmeans(5),
         "minibatch_kmeans": _minibatch(8, 100),
+        # one file is one batch
+        "minibatch_stream": _minibatch(
+            1, 10**9,
+            f"""SELECT cluster, seen::BIGINT AS seen, place, round(c[place], 6) AS value
+                FROM c1, unnest(range(1, {DIM + 1})) AS p(place)""",
+        ),
         "gmm_diag": _gmm(3),
         "dendrogram": _with(
             ["points"],

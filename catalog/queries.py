@@ -44,6 +44,7 @@ from lexigrove.sources import (
     write_embeddings,
     write_metrics,
 )
+from lexigrove.streaming import load_centers, stream_minibatch
 
 from . import fixtures as fx
 
@@ -368,6 +369,19 @@ def minibatch_kmeans(spark, sf_dir):
     ).labels
 
 
+@query
+def minibatch_stream(spark, sf_dir):
+    """Centres and counts after the vectors came as a stream of files, from the label means."""
+    files = spark.readStream.schema("vec_id long, embedding array<float>").parquet(f"{sf_dir}/embeddings.parquet*")
+    points = files.withColumnsRenamed({"vec_id": "word_id", "embedding": "features"})
+    state = scratch_path(spark, "stream")
+    stream_minibatch(points, label_means(spark, sf_dir), state).awaitTermination()
+    centers, seen, _ = load_centers(spark, state)
+    rows = [(i, int(n), j, float(v)) for i, (c, n) in enumerate(zip(centers, seen)) for j, v in enumerate(c, 1)]
+    moved = spark.createDataFrame(rows, "cluster int, seen long, place int, value double")  # k x d numbers
+    return moved.withColumn("value", r6("value"))
+
+
 @query
 def gmm_diag(spark, sf_dir):
     """Three EM iterations from the given labels."""
