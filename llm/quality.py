@@ -6,7 +6,9 @@ most 3^rules rows. Expectation-maximisation over that table estimates the share
 good and bad texts apart, how often each rule votes each way when it does not abstain. The posterior probability of good then decides; no rule has to pass.
 
 Words are runs of characters other than space and U+0009 to U+000D. Null and empty texts have
-zero counts and fail the base rule.
+zero counts and fail the base rule. Repeated rows are judged each, and weigh each in the estimate; an empty
+table gives an empty one. Columns of the input that are named like one made here get underscores
+behind their names. Windows are equal if 64-bit hashes of their words' 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -18,18 +20,19 @@ from pyspark.sql import functions as F
 
 from lexigrove.runtime import materialize
 
+from .names import set_aside
+
 SPACE = "[ \\t-\\r]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE_COUNTS = ("n_lines", "n_upper", "n_digits", "n_marks")
+_INNER = ("_words", "_lines", "_h", "_bits", "_s", "_near", "_p")
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the base counts and those of the rules; ``docs`` may not have columns of their names."""
-    taken = {*COUNTS, *MORE_COUNTS} & set(docs.columns)
-    if taken:
-        raise ValueError(f"columns {sorted(taken)} are made here; rename them first")
+    """Add the base counts and those of the rules."""
+    docs = set_aside(docs, (*COUNTS, *MORE_COUNTS, *_INNER))
     rest = [F.col(f"`{c}`") for c in docs.columns]
     text = F.coalesce(F.col(text_col), F.lit(""))
     split = docs.select(
@@ -49,7 +52,8 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
     ).drop("_words", "_lines")
-    # a window as one number: hash above, place below, so that sorting brings equal windows together
+    # a window as one number: hash above, place below, so that sorting brings equal windows together;
+    # the hash loses the bits of the place, so its repeats are compared again by whole hashes
     placed = hashed.select(
         "*", F.ceil(F.log2(F.col("n_words") + 1)).cast("int").alias("_bits")
     ).select(
@@ -61,15 +65,29 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             )
         ).alias("_s"),
     )
-    twice = placed.select(
+    near = placed.select(
         "*",
-        F.sort_array(F.expr("""
-            transform(
+        F.expr("""
+            sort_array(transform(
               filter(_s, (x, k) ->
                 coalesce(shiftrightunsigned(get(_s, k - 1), _bits) = shiftrightunsigned(x, _bits), false)
                 or coalesce(shiftrightunsigned(get(_s, k + 1), _bits) = shiftrightunsigned(x, _bits), false)),
-              x -> x & (shiftleft(1L, _bits) - 1L))
-        """)).alias("_p"),
+              x -> named_struct(
+                'key', xxhash64(
+                  get(_h, cast(x & (shiftleft(1L, _bits) - 1L) as int)),
+                  get(_h, cast(x & (shiftleft(1L, _bits) - 1L) as int) + 1),
+                  get(_h, cast(x & (shiftleft(1L, _bits) - 1L) as int) + 2)),
+                'place', x & (shiftleft(1L, _bits) - 1L))))
+        """).alias("_near"),
+    ).drop("_s")
+    twice = near.select(
+        "*",
+        F.expr("""
+            sort_array(transform(
+              filter(_near, (x, k) ->
+                coalesce(get(_near, k - 1).key = x.key, false) or coalesce(get(_near, k + 1).key = x.key, false)),
+              x -> x.place))
+        """).alias("_p"),
     )
     covered = F.expr(
         "aggregate(transform(_p, (x, k) -> least(3L, coalesce(get(_p, k + 1) - x, 3L))), 0L, (a, x) -> a + x)"
@@ -153,16 +171,22 @@ def estimate(
 
 
 def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` but the text, the counts, votes, ``base_failed``, ``posterior`` and ``kept``."""
-    counted = materialize(with_counts(docs, text_col).drop(text_col), "quality-counts")
+    """All columns of ``docs`` but the text, the counts, votes, ``base_failed``, ``posterior`` and ``kept``.
+
+    ``em_iterations`` and ``em_moved`` tell in each row how the estimate ended.
+    """
     named = rules()
     names = [f"rule_{x}" for x in named]
+    docs = set_aside(docs, (*names, "base_failed", "posterior", "kept", "em_iterations", "em_moved"))
+    counted = materialize(with_counts(docs, text_col).drop(text_col), "quality-counts")
     voted = counted.withColumns(dict(zip(names, named.values())))
-    votes = voted.groupBy(*names).agg(F.count("*").alias("n")).collect()  # 3 ** rules at most
-    state = estimate([(tuple(r)[:-1], r["n"]) for r in votes], names)
+    votes = voted.groupBy(*names).agg(F.count("*").alias("n_texts")).collect()  # 3 ** rules at most
+    state = estimate([(tuple(r)[:-1], r["n_texts"]) for r in votes], names)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         voted.withColumn("base_failed", failed)
         .withColumn("posterior", _posterior(names, state))
         .withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+        .withColumn("em_iterations", F.lit(state["iterations"]))
+        .withColumn("em_moved", F.lit(float(state["moved"])))
     )

@@ -1,5 +1,6 @@
 """Language ID, toxicity, quality, mixing, chat, neighbours and the pipeline."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -106,6 +107,56 @@ def test_quality_counts_and_votes(spark):
         if i // 100 == 1:
             assert got[i]["kept"]
     assert quality.judge(docs.limit(0)).count() == 0
+    assert {r["em_iterations"] for r in got.values()} != {500} and all(r["em_moved"] <= 1e-9 for r in got.values())
+
+
+def test_quality_of_a_very_long_text_and_clashing_columns(spark):
+    """Distinct words give no repeats, however many; columns named like counts keep their values."""
+    many = " ".join(map(str, range(3_000_000)))
+    rows = [(1, many, 7, True, 0.5), (2, many[:4000] + " 1 2 3", 8, False, None), (2, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, Kept boolean, _h double")
+    got = quality.judge(docs).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_repeat_words"]) for r in got) == [
+        (1, 3_000_000, 0), (2, 0, 0), (2, len(many[:4000].split()) + 3, 6),
+    ]
+    kept = {(r["n_words_"], r["Kept_"], r["_h_"]) for r in got}
+    assert kept == {(7, True, 0.5), (8, False, None), (None, None, None)}
+
+
+def em_by_force(patterns, names):
+    """Posterior of good for each vote pattern, with plain probabilities instead of log odds."""
+    good, says = 0.9, {x: (math.exp(0.5), 1 / 9) for x in names}  # ratios of good to bad
+    for _ in range(500):
+        share, seen = [1.0, 1.0], {x: np.ones((2, 2)) for x in names}
+        for cast, n in patterns:
+            odds = good / (1 - good) * math.prod(says[x][v < 0] for x, v in zip(names, cast) if v)
+            p = odds / (1 + odds)
+            share = [share[0] + n * p, share[1] + n * (1 - p)]
+            for x, v in zip(names, cast):
+                if v:
+                    seen[x][int(v < 0)] += n * p, n * (1 - p)
+        good = share[0] / sum(share)
+        rates = {x: t / t.sum(axis=0) for x, t in seen.items()}
+        says = {x: (r[0, 0] / r[0, 1], r[1, 0] / r[1, 1]) for x, r in rates.items()}
+    out = {}
+    for cast, _ in patterns:
+        odds = good / (1 - good) * math.prod(says[x][v < 0] for x, v in zip(names, cast) if v)
+        out[cast] = odds / (1 + odds)
+    return out
+
+
+def test_quality_posterior_equals_expectation_maximisation_by_hand(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(rng.randint(5, 120))]
+        if i % 4 == 0:
+            words = [w.upper() + "!?%"[i % 3] for w in words]
+        rows.append((i, " ".join(words)))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names = [f"rule_{x}" for x in quality.rules()]
+    want = em_by_force(sorted(Counter(tuple(r[x] for x in names) for r in got).items()), names)
+    assert all(abs(r["posterior"] - want[tuple(r[x] for x in names)]) < 1e-6 for r in got)
 
 
 def test_expectation_maximisation_finds_the_hidden_share():
