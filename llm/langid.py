@@ -7,11 +7,12 @@ add up, and the best language and its posterior probability are returned.
 
 Words are the letters of each run without white space, lower-cased. Frequencies are counted on a
 bounded sample of labelled documents, taken by a hash of their id: at most about ``max_docs`` of
-each language, and at most ``max_entries`` words and n-grams of each length, the most
-frequent. Prediction covers every document and its whole text.
+each language. All words and n-grams of the sample are kept; tasks hold them as sorted 64-bit hashes with
+one 32-bit score per language. Prediction covers every document and its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts when nothing
-was learned.
+was learned. Equal scores go to the language whose name comes first. Repeated rows are counted and predicted each; an
+empty table gives an empty one. Columns named like a result get underscores behind their names.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import one_array, rank_words, split_words
+from .chunks import _slices
+from .names import set_aside
+from .words import hash_words, one_array, rank_words, split_words
 
 MAX_GRAM = 4
 SMOOTHING = 0.5
+SLICE_BYTES = 4 * 1024 * 1024  # of text whose words are held at a time; a longer text is held alone
+FLUSH_WORDS = 100_000  # counted words of a task, after which it hands on what it has
 
 
 def letters(word: str) -> str:
@@ -44,31 +48,48 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Tables of words (kind 0) and n-grams (kind n): entry -> row of log frequencies."""
+    """Words (kind 0) and n-grams (kind n) as sorted hashes, with their log frequencies by language.
+
+    ``tables`` holds the entries of each kind in the order of the rows of ``scores``.
+    """
 
     def __init__(self, langs, log_share, tables, scores, floors):
-        self.langs, self.log_share = langs, log_share
-        self.tables, self.scores, self.floors = tables, scores, floors
+        self.langs, self.log_share, self.floors = langs, log_share, floors
+        self.keys, self.scores = [], []
+        for table, score in zip(tables, scores):
+            entries = table if isinstance(table, pa.Array) else pa.array(list(table), pa.string())
+            keys = hash_words(entries)
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
+            self.scores.append(np.asarray(score, np.float32)[order])
+
+    def find(self, kind: int, entries: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each entry its row of ``scores[kind]``, and whether it is known."""
+        keys, wanted = self.keys[kind], hash_words(pa.array(entries, pa.string()))
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return at, keys[at] == wanted
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log scores of words by language; words without letters are 0."""
         out = np.zeros((len(words), len(self.langs)))
-        known = self.tables[0]
-        for i, word in enumerate(words):
-            if not word:
-                continue
-            row = known.get(word)
-            if row is not None:
-                out[i] = self.scores[0][row]
-                continue
-            for n in range(MAX_GRAM, 0, -1):
-                table = self.tables[n]
-                rows = [r for r in map(table.get, grams(word, n)) if r is not None]
-                if rows:
-                    out[i] = self.scores[n][rows].mean(axis=0)
-                    break
-            else:
-                out[i] = self.floors
+        at, known = self.find(0, words)
+        has = np.array([bool(w) for w in words], bool)
+        known &= has
+        out[known] = self.scores[0][at[known]]
+        left = np.flatnonzero(has & ~known)
+        for n in range(MAX_GRAM, 0, -1):
+            listed = [grams(words[i], n) for i in left.tolist()]
+            word = np.repeat(np.arange(len(left)), [len(x) for x in listed])
+            at, known = self.find(n, [g for x in listed for g in x])
+            hits = np.bincount(word[known], minlength=len(left))
+            sums = np.zeros((len(left), len(self.langs)))
+            np.add.at(sums, word[known], self.scores[n][at[known]])
+            seen = hits > 0
+            out[left[seen]] = sums[seen] / hits[seen, None]
+            left = left[~seen]
+        out[left] = self.floors
         return out
 
 
@@ -76,7 +97,6 @@ def train(
     docs: DataFrame,
     held_out: Column | None = None,
     max_docs: int = 5_000,
-    max_entries: int = 50_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
@@ -93,20 +113,7 @@ def train(
     lot = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(lot < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("body"))
 
-    def count(batches):
-        found = Counter()
-        for batch in batches:
-            words, counts = split_words(batch.column("body"))
-            distinct, codes = rank_words(words)
-            texts = [letters(w) for w in distinct.to_pylist()]
-            row_lang = one_array(batch.column("lang")).dictionary_encode()
-            lang = np.repeat(row_lang.indices.to_numpy().astype(np.int64), counts)
-            seen, times = np.unique(lang * max(1, len(texts)) + codes, return_counts=True)
-            names = row_lang.dictionary.to_pylist()
-            for key, n in zip(seen.tolist(), times.tolist()):
-                which, code = divmod(key, max(1, len(texts)))
-                if texts[code]:
-                    found[names[which], texts[code]] += n
+    def entries_of(found):
         rows = Counter()
         for (lang, word), n in found.items():
             rows[lang, 0, word] += n
@@ -126,6 +133,25 @@ def train(
                 names=["lang", "kind", "entry", "n"],
             )
 
+    def count(batches):
+        found = Counter()
+        for table in _slices(batches, "body", SLICE_BYTES):
+            words, counts = split_words(table["body"])
+            distinct, codes = rank_words(words)
+            texts = [letters(w) for w in distinct.to_pylist()]
+            row_lang = one_array(table["lang"]).dictionary_encode()
+            lang = np.repeat(row_lang.indices.to_numpy().astype(np.int64), counts)
+            seen, times = np.unique(lang * max(1, len(texts)) + codes, return_counts=True)
+            names = row_lang.dictionary.to_pylist()
+            for key, n in zip(seen.tolist(), times.tolist()):
+                which, code = divmod(key, max(1, len(texts)))
+                if texts[code]:
+                    found[names[which], texts[code]] += n
+            if len(found) >= FLUSH_WORDS:
+                yield from entries_of(found)
+                found = Counter()
+        yield from entries_of(found)
+
     counted = sample.mapInArrow(count, "lang string, kind int, entry string, n long")
     # one row per entry with its counts by language
     by_lang = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
@@ -141,11 +167,11 @@ def train(
         for r in entries.groupBy("kind").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(langs))]).collect()
     }
     for kind in range(MAX_GRAM + 1):
-        top = entries.filter(F.col("kind") == kind).orderBy(F.desc("n"), "entry").limit(max_entries)
-        rows = top.toArrow()
+        # every entry of the sample, which max_docs bounds
+        rows = entries.filter(F.col("kind") == kind).drop("n").toArrow()
         counts = np.array([rows[f"n{i}"].to_numpy() for i in range(len(langs))], float).T.reshape(-1, len(langs))
         total = totals.get(kind, np.zeros(len(langs)))
-        tables.append({e: i for i, e in enumerate(rows["entry"].to_pylist())})
+        tables.append(one_array(rows["entry"]))
         scores.append(np.log((counts + SMOOTHING) / (total + SMOOTHING * (len(counts) + 1))))
     share = np.array([sizes[x] for x in langs], float)
     floors = np.zeros(len(langs))
@@ -156,13 +182,15 @@ def predict(
     docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score"
 ) -> DataFrame:
     """Add the language of every whole text and its posterior probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # entries of at most max_docs texts a language
+    docs = set_aside(docs, (lang_col, score_col))
     schema = docs.select("*", F.lit("").alias(lang_col), F.lit(0.0).alias(score_col)).schema
 
     def task(batches):
-        for batch in batches:
-            m = shared.value
-            words, counts = split_words(batch.column(text_col))
+        m = shared.value
+        names = pa.array([*m.langs, "und"], pa.string())
+        for table in _slices(batches, text_col, SLICE_BYTES):
+            words, counts = split_words(table[text_col])
             distinct, codes = rank_words(words)
             texts = [letters(w) for w in distinct.to_pylist()]
             has = np.array([bool(t) for t in texts], bool)
@@ -179,11 +207,8 @@ def predict(
                 posterior = 1.0 / odds.sum(axis=1)
             else:
                 best, posterior, found = np.zeros(len(counts), int), np.zeros(len(counts)), found & False
-            names = pa.array([*m.langs, "und"], pa.string())
             pred = names.take(pa.array(np.where(found, best, len(m.langs))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pred, pa.array(np.where(found, posterior, 0.0))],
-                names=[*batch.schema.names, lang_col, score_col],
-            )
+            table = table.append_column(lang_col, pred)
+            yield from table.append_column(score_col, pa.array(np.where(found, posterior, 0.0))).to_batches()
 
     return docs.mapInArrow(task, schema)

@@ -34,6 +34,70 @@ def test_language_id_of_held_out_and_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_id_equals_scores_counted_by_hand(spark):
+    """All words and n-grams of the sample count, also the rare ones; predictions equal a plain version."""
+    rng = random.Random(11)
+    parts = {"aa": ["ka", "lo", "mi", "sch"], "bb": ["sch", "tz", "ung", "mi"], "cc": ["eau", "oi", "que", "ka"]}
+    rows = []
+    for i in range(90):
+        lang = rng.choice(sorted(parts))
+        words = ["".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(rng.randint(1, 12))]
+        rows.append((i, " ".join(words) + rng.choice(["", " 7", " Zx-y", "\n"]), lang))
+    rows += [(200, " ".join(["kasch", "xxq"] * 50_000), None), (200, "mi", None), (201, None, "bb")]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    learned = [(t, x) for i, t, x in rows if i % 3 != 1 and x and t is not None]
+    counts = defaultdict(Counter)  # (kind, lang) -> entries
+
+    def cleaned(text):
+        return ["".join(c for c in w if c.isalpha()).lower() for w in WORD.findall(text or "")]
+
+    def gram_list(word, n):
+        text = word if n == 1 else f"<{word}>"
+        return [text[i : i + n] for i in range(len(text) - n + 1)]
+
+    for text, lang in learned:
+        for word in filter(None, cleaned(text)):
+            counts[0, lang][word] += 1
+            for n in range(1, 5):
+                counts[n, lang].update(gram_list(word, n))
+    langs = sorted({x for _, x in learned})
+
+    def log_rate(kind, entry, lang):
+        entries = {e for x in langs for e in counts[kind, x]}
+        if entry not in entries:
+            return None
+        return math.log((counts[kind, lang][entry] + 0.5) / (sum(counts[kind, lang].values()) + 0.5 * (len(entries) + 1)))
+
+    known = {}
+
+    def score(word, lang):
+        if (word, lang) not in known:
+            found = [log_rate(0, word, lang)]
+            for n in range(4, 0, -1):
+                if not any(x is not None for x in found):
+                    found = [log_rate(n, g, lang) for g in gram_list(word, n)]
+            found = [x for x in found if x is not None]
+            known[word, lang] = sum(found) / len(found) if found else 0.0
+        return known[word, lang]
+
+    want = set()
+    for i, text, _ in rows:
+        words = Counter(filter(None, cleaned(text)))
+        share = Counter(x for _, x in learned)
+        sums = [math.log(share[x] / len(learned)) + sum(n * score(w, x) for w, n in words.items()) for x in langs]
+        best = max(sums)
+        posterior = 1 / sum(math.exp(s - best) for s in sums)
+        want.add((i, langs[sums.index(best)], round(posterior, 3)) if words else (i, "und", 0.0))
+    model = langid.train(docs, F.col("doc_id") % 3 == 1)
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["lang_pred"], round(r["score"], 3)) for r in got} == want
+    assert langid.predict(docs.limit(0), model).count() == 0
+    clash = docs.select("doc_id", "text", F.lit(3).alias("Score"), F.lit("q").alias("lang_pred"))
+    assert set(langid.predict(clash, model).columns) == {"doc_id", "text", "Score_", "lang_pred_", "lang_pred", "score"}
+
+
 def test_unseen_word_backs_off_to_the_longest_known_gram():
     table = [{"known": 0}, {"k": 0}, {"<k": 0}, {}, {"kno>": 0}]
     scores = [np.array([[1.0, 0.0]])] + [np.array([[10.0 * n, 0.0]]) for n in range(1, 5)]
