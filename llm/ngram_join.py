@@ -13,7 +13,8 @@ group with all others, every pair of a small one. What is linked so is one compo
 pairs say nothing new. Groups that still hold several components are compared in tiles of
 bounded size: only pairs of different components whose folded sketches are near enough leave a
 tile. So the pairs of a group of copies are not listed, and no link between components is
-missed. All pairs that are listed are verified on the whole sets.
+missed. All pairs that are listed are verified on the whole sets, once sizes and folded sketches
+allow a link. Sets are stored in buckets of their node, so that pairs go to them.
 
 A-Z are lower-cased. Fewer words than ``n`` make one shingle. Texts without words, and rows
 with a null id, link with nothing. Rows that share an id are one document; its component is
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.runtime import materialize
+from lexigrove.runtime import materialize, scratch_path
 
 from . import chunks
 from .components import components
@@ -120,7 +122,8 @@ def folded(shingles: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, set size, set digest, the posted keys that others share, and then the set."""
+    """Per row: id, set size, set digest, the posted keys that others share, then the set, and the row's
+    place in its chunk."""
     parts = chunks.n_parts(docs.sparkSession)
 
     def make(table: pa.Table):
@@ -156,7 +159,7 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
             mine = mine[chunks.member(mine, shared)]
             keys.append(mine.view(np.int64))
             kept.append(own.view(np.int64) if len(mine) else None)
-            folds.append(folded(own) if len(mine) else None)
+            folds.append(np.frombuffer(folded(own), np.int64) if len(mine) else None)
         longs = pa.list_(pa.int64())
         return pa.table(
             {
@@ -165,37 +168,58 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 "digest": pa.array(digests, pa.binary()),
                 "keys": pa.array(keys, longs),
                 "shingles": pa.array(kept, longs),
-                "fold": pa.array(folds, pa.binary()),
+                "fold": pa.array(folds, longs),
+                "chunk": np.full(len(sets), chunk, np.int64),
+                "place": np.arange(len(sets), dtype=np.int64),
             }
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, "
-        "shingles array<long>, fold binary"
+        "shingles array<long>, fold array<long>, chunk long, place long"
     )
     bodies, blocks = chunks.build(docs.select(id_col, text_col), text_col, make, "ngram-chunks")
     rows = chunks.meet(bodies, chunks.exchange(blocks, reply), finish, schema)
     return materialize(rows, "ngram-sketches")
 
 
+def _in_buckets(sets: DataFrame, name: str) -> DataFrame:
+    """Write the sets in buckets of ``node`` and read them back: joins on it move the other side alone."""
+    spark = sets.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"sets_{uuid.uuid4().hex}"
+    writer = sets.repartition(buckets, "node").write.bucketBy(buckets, "node")
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    stored = spark.table(table)  # resolved here: the files stay when the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return stored
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    side = {
-        s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"s_{s}"))
-        for s in "ab"
-    }
-    sized = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        .select("a", "b")
+    """The pairs whose sets are similar enough.
+
+    Sizes and folded sketches rule most others out; only the sets of what is left are moved.
+    """
+
+    def joined(rows, table, *columns):
+        for s in "ab":
+            side = table.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+            rows = rows.join(side, s)
+        return rows
+
+    n = F.col("n_a") + F.col("n_b")
+    sized = joined(pairs, sets, "n").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    differing = F.zip_with("fold_a", "fold_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
+    near = joined(sized, sets, "fold").filter((100 + percent) * apart <= (100 - percent) * n)
+    near = materialize(near.select("a", "b").distinct(), "ngram-near")
+    wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    moved = materialize(
+        sets.select("node", "n", "shingles").join(wanted, "node", "left_semi"), "ngram-moved"
     )
-    both = sized.join(side["a"], "a").join(side["b"], "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
-    return both.filter(
-        100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)
-    ).select("a", "b")
+    common = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return joined(near, moved, "n", "shingles").filter(100 * common >= percent * (n - common)).select("a", "b")
 
 
 def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,7 +297,7 @@ def _near(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         key, node, component, n, block = (
             table[c].to_numpy() for c in ("key", "node", "component", "n", "block")
         )
-        folds = np.frombuffer(b"".join(table["fold"].to_pylist()), np.uint64).reshape(len(key), -1)
+        folds = one_array(table["fold"]).flatten().to_numpy().view(np.uint64).reshape(len(key), -1)
         lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])).tolist() + [len(key)]
         found = []
@@ -306,16 +330,19 @@ def similarity_components(
     rows = _sketches(docs, n, percent, id_col, text_col).withColumnRenamed(id_col, "node")
     known = rows.filter("node is not null")
     full = known.filter("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("node").alias("rep"))
-    # a class is its smallest id; its members link to it
+    # a class is its smallest id, and of that the first row; its members link to it
+    row = F.struct("node", "chunk", "place")
+    classes = full.groupBy("digest").agg(F.min(row).alias("rep")).select("digest", "rep.*")
+    classes = classes.withColumnRenamed("node", "rep")
     in_class = full.select("node", "digest").join(classes, "digest").filter("node != rep")
     same = in_class.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    reps = full.select("node", "digest", F.col("n_shingles").alias("n"), "keys", "shingles", "fold").join(
-        classes.select("digest", F.col("rep").alias("node")), ["digest", "node"], "left_semi"
-    )
     # an id with several texts keeps them apart here, as their sets differ
-    reps = materialize(
-        reps.filter(F.size("keys") > 0).dropDuplicates(["digest"]), "ngram-classes"
+    posting = full.filter(F.size("keys") > 0).select(
+        "node", F.col("n_shingles").alias("n"), "keys", "shingles", "fold", "chunk", "place"
+    )
+    reps = _in_buckets(
+        posting.join(classes.select("chunk", "place"), ["chunk", "place"], "left_semi").drop("chunk", "place"),
+        "ngram-classes",
     )
     posts = reps.select("node", F.explode(F.array_distinct("keys")).alias("key")).distinct()
     sets = reps.select("node", "n", "shingles", "fold")
