@@ -14,7 +14,7 @@ pairs say nothing new. Groups that still hold several components are compared in
 bounded size: only pairs of different components whose folded sketches are near enough leave a
 tile. So the pairs of a group of copies are not listed, and no link between components is
 missed. All pairs that are listed are verified on the whole sets, once sizes and folded sketches
-allow a link. Sets are stored in buckets of their node, so that pairs go to them.
+allow a link. Sets are not stored: those of such pairs are made again from the chunks.
 
 A-Z are lower-cased. Fewer words than ``n`` make one shingle. Texts without words, and rows
 with a null id, link with nothing. Rows that share an id are one document; its component is
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.runtime import materialize, scratch_path
+from lexigrove.runtime import materialize
 
 from . import chunks
 from .components import components
@@ -121,9 +120,11 @@ def folded(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount(bit, minlength=FOLD_BITS) & 1).astype(np.uint8)).tobytes()
 
 
-def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, set size, set digest, the posted keys that others share, then the set, and the row's
-    place in its chunk."""
+def _sketches(
+    docs: DataFrame, n: int, percent: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """Per row: id, set size, set digest, the posted keys that others share, the folded sketch, and the
+    row's place in its chunk; and the bodies of the chunks."""
     parts = chunks.n_parts(docs.sparkSession)
 
     def make(table: pa.Table):
@@ -152,13 +153,12 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
         shared = chunks.gathered(replies)
         sets = shingle_sets(chunks.load_words(listed.tobytes()), codes, counts, n)
         sizes = np.array([len(s) for s in sets], np.int64)
-        digests, keys, kept, folds = [], [], [], []
+        digests, keys, folds = [], [], []
         for own in sets:
             digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             mine = posted_blocks(own, percent) if len(own) else own
             mine = mine[chunks.member(mine, shared)]
             keys.append(mine.view(np.int64))
-            kept.append(own.view(np.int64) if len(mine) else None)
             folds.append(np.frombuffer(folded(own), np.int64) if len(mine) else None)
         longs = pa.list_(pa.int64())
         return pa.table(
@@ -167,7 +167,6 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
                 "n_shingles": sizes,
                 "digest": pa.array(digests, pa.binary()),
                 "keys": pa.array(keys, longs),
-                "shingles": pa.array(kept, longs),
                 "fold": pa.array(folds, longs),
                 "chunk": np.full(len(sets), chunk, np.int64),
                 "place": np.arange(len(sets), dtype=np.int64),
@@ -177,29 +176,45 @@ def _sketches(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = (
         f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, "
-        "shingles array<long>, fold array<long>, chunk long, place long"
+        "fold array<long>, chunk long, place long"
     )
     bodies, blocks = chunks.build(docs.select(id_col, text_col), text_col, make, "ngram-chunks")
     rows = chunks.meet(bodies, chunks.exchange(blocks, reply), finish, schema)
-    return materialize(rows, "ngram-sketches")
+    return materialize(rows, "ngram-sketches"), bodies
 
 
-def _in_buckets(sets: DataFrame, name: str) -> DataFrame:
-    """Write the sets in buckets of ``node`` and read them back: joins on it move the other side alone."""
-    spark = sets.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"sets_{uuid.uuid4().hex}"
-    writer = sets.repartition(buckets, "node").write.bucketBy(buckets, "node")
-    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
-    stored = spark.table(table)  # resolved here: the files stay when the name goes
-    spark.sql(f"DROP TABLE {table}")
-    return stored
+def _sets(bodies: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, n, shingles) of the wanted (node, chunk, place), made again from the bodies of their chunks.
 
+    Bodies are stored by chunk, so only the wanted places are shuffled.
+    """
+
+    def task(body: pa.Table, rows: pa.Table) -> pa.Table:
+        nodes, sets = rows["node"], []
+        if len(nodes):
+            _, listed, codes, counts = chunks.loads(body["payload"][0].as_py())
+            distinct = chunks.load_words(listed.tobytes())
+            ends, place = np.cumsum(counts), rows["place"].to_numpy()
+            mine = [codes[ends[i] - counts[i] : ends[i]] for i in place]
+            sets = shingle_sets(distinct, np.concatenate(mine), counts[place], n)
+        return pa.table(
+            {
+                "node": nodes,
+                "n": pa.array([len(x) for x in sets], pa.int64()),
+                "shingles": pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+            }
+        )
+
+    kind = wanted.schema["node"].dataType.simpleString()
+    return bodies.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(
+        task, f"node {kind}, n long, shingles array<long>"
+    )
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, remake) -> DataFrame:
     """The pairs whose sets are similar enough.
 
-    Sizes and folded sketches rule most others out; only the sets of what is left are moved.
+    Sizes and folded sketches rule most others out; ``remake`` gives the sets of what is left.
     """
 
     def joined(rows, table, *columns):
@@ -215,17 +230,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     near = joined(sized, sets, "fold").filter((100 + percent) * apart <= (100 - percent) * n)
     near = materialize(near.select("a", "b").distinct(), "ngram-near")
     wanted = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    moved = materialize(
-        sets.select("node", "n", "shingles").join(wanted, "node", "left_semi"), "ngram-moved"
-    )
+    wanted = sets.select("node", "chunk", "place").join(wanted, "node", "left_semi")
+    moved = materialize(remake(wanted), "ngram-moved")
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return joined(near, moved, "n", "shingles").filter(100 * common >= percent * (n - common)).select("a", "b")
 
 
-def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(posts: DataFrame, sets: DataFrame, percent: int, remake) -> DataFrame:
     """Verified links (a, b) that connect every component of similar classes.
 
-    ``posts`` has (key, node), ``sets`` (node, n, shingles, fold).
+    ``posts`` has (key, node), ``sets`` (node, n, fold, chunk, place).
     """
     groups = posts.groupBy("key").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("who")
@@ -246,7 +260,7 @@ def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pivot = F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot")
     first = large.groupBy("key").agg(pivot)
     star = large.join(first, "key").filter("node != pivot")
-    links = materialize(_verified(pairs.unionByName(_ordered(star)).distinct(), sets, percent), "ngram-links")
+    links = materialize(_verified(pairs.unionByName(_ordered(star)).distinct(), sets, percent, remake), "ngram-links")
 
     named = materialize(_mixed(large, links), "ngram-mixed")
     size = named.groupBy("key", "component").agg(F.count("*").alias("size"))
@@ -257,11 +271,11 @@ def _links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.max_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("home")), order).alias("best")
     ).select("key", "best.*")
     star = named.join(more, "key").filter("component != home")
-    links = links.unionByName(_verified(_ordered(star).distinct(), sets, percent))
+    links = links.unionByName(_verified(_ordered(star).distinct(), sets, percent, remake))
     links = materialize(links, "ngram-links")
 
     near = _near(_mixed(large, links), sets, percent)
-    return links.unionByName(_verified(near, sets, percent))
+    return links.unionByName(_verified(near, sets, percent, remake))
 
 
 def _ordered(star: DataFrame) -> DataFrame:
@@ -327,7 +341,8 @@ def similarity_components(
 ) -> DataFrame:
     """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by
     links of at least ``percent`` % Jaccard similarity (null for a null id)."""
-    rows = _sketches(docs, n, percent, id_col, text_col).withColumnRenamed(id_col, "node")
+    rows, bodies = _sketches(docs, n, percent, id_col, text_col)
+    rows = rows.withColumnRenamed(id_col, "node")
     known = rows.filter("node is not null")
     full = known.filter("n_shingles > 0")
     # a class is its smallest id, and of that the first row; its members link to it
@@ -338,15 +353,13 @@ def similarity_components(
     same = in_class.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     # an id with several texts keeps them apart here, as their sets differ
     posting = full.filter(F.size("keys") > 0).select(
-        "node", F.col("n_shingles").alias("n"), "keys", "shingles", "fold", "chunk", "place"
+        "node", F.col("n_shingles").alias("n"), "keys", "fold", "chunk", "place"
     )
-    reps = _in_buckets(
-        posting.join(classes.select("chunk", "place"), ["chunk", "place"], "left_semi").drop("chunk", "place"),
-        "ngram-classes",
+    reps = materialize(
+        posting.join(classes.select("chunk", "place"), ["chunk", "place"], "left_semi"), "ngram-classes"
     )
     posts = reps.select("node", F.explode(F.array_distinct("keys")).alias("key")).distinct()
-    sets = reps.select("node", "n", "shingles", "fold")
-    links = _links(posts, sets, percent).unionByName(same)
+    links = _links(posts, reps.drop("keys"), percent, lambda wanted: _sets(bodies, wanted, n)).unionByName(same)
     label = components(materialize(links, "ngram-edges"), "a", "b")
     return rows.select(F.col("node").alias(id_col), "n_shingles").join(
         label.select(F.col("node").alias(id_col), "component"), id_col, "left"
