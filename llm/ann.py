@@ -1,21 +1,20 @@
 """Nearest neighbours by largest inner product over a permutation index.
 
-Equal vectors are one class with its smallest ids. A bounded sample of classes are the pivots.
+Equal vectors are one class, named by its smallest id. A bounded sample of classes are the pivots.
 Vectors are scaled by the largest norm and get one more component that fills them up to length
-1, so that the largest inner product is the smallest angle. Every class is represented by its
-nearest pivots in order and posted in the inverted files of the first few. A query reads the
-files of its own nearest pivots; in each, classes are ranked by the footrule distance of the two
-permutations and the best are reranked by the inner product of the original vectors, in double
-precision. The best of all files are the answer.
-
-The pivots grow with the square root of the table up to ``max_pivots``. Files are split into
-shards of bounded size by a hash, and a query reads all shards of a file; the queries of a file
-are dealt to groups of bounded size. A query reads a share of all files and reranks a share of
-each shard, so that what it looks at grows with the table. These two shares set the recall;
-nothing else is cut.
+1, so that the largest inner product is the smallest angle. A vector is represented by its
+``prefix`` nearest pivots in order. Classes are dealt to shards by a hash, and each shard posts its
+classes, with the place of the pivot, in one inverted file per pivot. A query reads the files of its
+own pivots in every shard and adds up, class by class, what they spare of the footrule distance of
+the two permutations (a pivot that a permutation lacks counts as behind its end). The classes of
+least distance are reranked by the inner product of the original vectors, in double precision.
+
+Pivots and reranked classes grow with the square root of the classes, so a query looks at a share of the
+table that falls as it grows: see ``reranked``. Shards and blocks of queries are of bounded bytes.
 
 Vectors that are null, zero, hold a null or non-finite component or are not of the most
-frequent length take no part. Rows with the same id and vector are one.
+frequent length take no part. Rows with the same id and vector are one. An empty table, or one
+without a usable vector, gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +24,27 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.runtime import materialize
 
 from .words import one_array
 
-SHARD_ROWS = 4096
-READER_ROWS = 16384  # queries of a file in one group
-QUERY_ROWS = 512  # queries compared with a file at once
+SHARD_BYTES = 32 * 1024 * 1024  # of the vectors of a shard
+LEAST_SHARD = 8192  # classes below which a table is not cut further for more tasks
+BLOCK_BYTES = 4 * 1024 * 1024  # of the vectors of a block of queries
+STEP_ROWS = 1024  # vectors compared with the pivots at once
+
+
+def n_pivots(n: int, most: int = 4096) -> int:
+    """Pivots of an index over n classes."""
+    return min(n, most, max(8, round(8 * math.sqrt(n))))
+
+
+def reranked(n: int, k: int, factor: float = 12.0) -> int:
+    """Classes of n that a query compares by their vectors."""
+    return min(n, max(k + 1, math.ceil(factor * math.sqrt(n))))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -56,50 +66,59 @@ def _numbers(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _classes(rows: DataFrame, wanted: int) -> DataFrame:
-    """(cls, vec, ids, norm): equal vectors, their smallest id and their ``wanted`` smallest ids."""
-    smallest = F.slice(F.sort_array(F.array_distinct(F.collect_list("id"))), 1, wanted)
-    some = rows.groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(smallest.alias("ids"))
-    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, wanted)
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    found = some.groupBy("vec").agg(ids.alias("ids"))
-    return found.select(F.get("ids", F.lit(0)).alias("cls"), "vec", "ids", norm.alias("norm"))
+def _members(rows: DataFrame, wanted: int) -> DataFrame:
+    """(cls, id, vec, place): the ``wanted`` smallest ids of equal vectors, and the first of them."""
+    order = Window.partitionBy("vec").orderBy("id")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.distinct().select(
+        F.first("id").over(so_far).alias("cls"), "id", "vec", F.row_number().over(order).alias("place")
+    )
+    return ranked.filter(F.col("place") <= wanted)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row of a matrix as its bytes."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int64) * rows.itemsize * rows.shape[1]
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(rows)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), buffers).cast(pa.binary())
+
+
+def _matrix(column, dtype, width: int) -> np.ndarray:
+    """The matrix whose rows are these bytes."""
+    return np.frombuffer(b"".join(one_array(column).to_pylist()), dtype).reshape(-1, width)
 
 
 def search(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    files: int = 24,
-    postings: int = 4,
-    prefix: int = 32,
-    rerank: int = 1024,
+    prefix: int = 96,
+    rerank_factor: float = 12.0,
     max_pivots: int = 4096,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
-    file_share: float = 0.25,
-    rerank_share: float = 0.5,
 ) -> DataFrame:
     """(query_id, rank, id, score): for each row where ``is_query`` over the column ``id`` its
     ``k`` nearest others, ties to the smaller id.
 
-    ``postings``: files a class is posted in. ``prefix``: pivots in a permutation.
-    ``file_share``: share of all files that a query reads, at least ``files`` of them.
-    ``rerank_share``: share of a file shard that is reranked for a query, at least ``rerank`` classes.
+    ``prefix``: pivots in a permutation. ``rerank_factor``: see ``reranked``. These two set the
+    recall; nothing else is cut.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col), "ann-rows")
-    classes = materialize(_classes(rows, k + 1), "ann-classes")
+    members = materialize(_members(rows, k + 1), "ann-members")
+    classes = members.filter("place = 1").select("cls", "vec")
     asked = rows.filter(is_query).select(F.col("id").alias("query_id"), "vec").distinct()
-    asked = asked.join(classes.select("vec", "cls"), "vec").select("query_id", "cls")
-    asked = materialize(asked, "ann-queries")
-
-    size = classes.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).first()
-    result = "query_id long, rank int, id long, score double"
-    if not size["n"]:
-        return spark.createDataFrame([], result)
-    n_pivots = max(8, min(max_pivots, round(math.sqrt(size["n"]))))
-    sample = classes.orderBy(F.xxhash64(F.lit("pivot"), "cls"), "cls").limit(n_pivots).select("vec").collect()
+    asked = materialize(asked.join(classes, "vec").select("query_id", "cls"), "ann-queries")
+
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    size = classes.agg(F.count("*").alias("n"), F.max(norm).alias("norm"), F.max(F.size("vec")).alias("d")).first()
+    n, width = size["n"], size["d"]
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, id long, score double")
+    wanted = n_pivots(n, max_pivots)
+    sample = classes.orderBy(F.xxhash64(F.lit("pivot"), "cls"), "cls").limit(wanted).select("vec").collect()
     scale = float(size["norm"])
 
     def lifted(x: np.ndarray) -> np.ndarray:
@@ -107,116 +126,91 @@ def search(
         rest = np.sqrt(np.maximum(0.0, 1.0 - (x**2).sum(axis=1, keepdims=True)))
         return np.concatenate([x, rest], axis=1)
 
-    pivots = lifted(np.array([r["vec"] for r in sample], float))
-    files = max(files, math.ceil(file_share * len(pivots)))
-    prefix, postings, files = (min(x, len(pivots)) for x in (prefix, postings, files))
-    shared = spark.sparkContext.broadcast(pivots)  # max_pivots vectors at most
+    def angle(x: np.ndarray) -> np.ndarray:
+        """A query: its direction alone, without the last component."""
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return np.pad(x / np.sqrt((x**2).sum(axis=1, keepdims=True)), ((0, 0), (0, 1)))
+
+    shared = spark.sparkContext.broadcast(lifted(np.array([r["vec"] for r in sample], float)))  # max_pivots vectors at most
+    prefix = min(prefix, wanted)
 
-    def nearest(x: np.ndarray, n: int) -> np.ndarray:
+    def nearest(x: np.ndarray) -> np.ndarray:
         near = -(x @ shared.value.T)
-        return np.argsort(near, axis=1, kind="stable")[:, :n].astype(np.int32)
+        some = np.sort(np.argpartition(near, prefix - 1, axis=1)[:, :prefix], axis=1)
+        order = np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(some, order, axis=1).astype(np.int16)
+
+    def permuted(placed):
+        def task(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, STEP_ROWS):
+                    part = batch.slice(at, STEP_ROWS)
+                    x = _numbers(part.column("vec")).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("cls"), _binary(x), _binary(nearest(placed(x)))], names=["cls", "vec", "perm"]
+                    )
 
-    def permute(batches):
-        for batch in batches:
-            found = nearest(lifted(_numbers(batch.column("vec"))), prefix)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), prefix).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "perm"])
+        return task
 
-    indexed = classes.select("cls", "vec", "ids").mapInArrow(
-        permute, "cls long, vec array<double>, ids array<long>, perm array<int>"
-    )
-    indexed = materialize(indexed, "ann-index")
-    posted = indexed.select("*", F.explode(F.slice("perm", 1, postings)).alias("pivot"))
-    lengths = posted.groupBy("pivot").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("shards"))
-    # a query by an angle alone: scaled to length 1 without the last component
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    asking = classes.join(asked.select("cls").distinct(), "cls").select("cls", "vec", norm.alias("norm"))
-
-    def permute_queries(batches):
-        for batch in batches:
-            x = _numbers(batch.column("vec")) / batch.column("norm").to_numpy()[:, None]
-            found = nearest(np.concatenate([x, np.zeros((len(x), 1))], axis=1), max(prefix, files))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("vec"), lists.cast(pa.list_(pa.int32()))], names=["cls", "vec", "perm"]
-            )
-
-    queries = asking.mapInArrow(permute_queries, "cls long, vec array<double>, perm array<int>")
-    queries = materialize(queries, "ann-asking")
-    read = F.explode(F.slice("perm", 1, files)).alias("pivot")
-    readers = queries.select(read).groupBy("pivot").agg(F.ceil(F.count("*") / READER_ROWS).cast("int").alias("parts"))
-    lengths = F.broadcast(materialize(lengths.join(readers, "pivot"), "ann-files"))  # one row per pivot
-    posted = (
-        posted.join(lengths, "pivot")
-        .withColumn("shard", F.pmod(F.xxhash64("cls"), F.col("shards")))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    )
-    reading = (
-        queries.select("*", read)
-        .join(lengths, "pivot")
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-        .withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "cls"), F.col("parts")))
-        .select("pivot", F.col("shard").cast("long").alias("shard"), F.col("part").cast("long").alias("part"), F.lit(True).alias("asks"), "cls", "vec", F.slice("perm", 1, prefix).alias("perm"), F.lit(None).cast("array<long>").alias("ids"))
-    )
-    both = reading.unionByName(
-        posted.select("pivot", F.col("shard").cast("long").alias("shard"), F.col("part").cast("long").alias("part"), F.lit(False).alias("asks"), "cls", "vec", "perm", "ids")
-    )
-    best_n = k + 1
-    schema = "query long, found array<struct<cls:long,score:double,ids:array<long>>>"
-    found_type = pa.list_(pa.struct([("cls", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))]))
+    kind = "cls long, vec binary, perm binary"
+    indexed = materialize(classes.mapInArrow(permuted(lifted), kind), "ann-index")
+    asking = classes.join(asked.select("cls").distinct(), "cls").select("cls", "vec")
+    queries = materialize(asking.mapInArrow(permuted(angle), kind), "ann-asking")
+
+    per_task = -(-n // int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = -(-n // max(1, min(SHARD_BYTES // (8 * width), max(LEAST_SHARD, per_task))))
+    blocks = max(1, -(-queries.count() // max(1, BLOCK_BYTES // (8 * width))))
+
+    def dealt(table: DataFrame, asks: bool) -> DataFrame:
+        own, other = F.pmod(F.xxhash64(F.lit(asks), "cls"), F.lit(blocks if asks else shards)), shards if asks else blocks
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
+        names = ("block", "shard") if asks else ("shard", "block")
+        tiles = table.select("*", own.alias(names[0]), every.alias(names[1]), F.lit(asks).alias("asks"))
+        return tiles.select("shard", "block", "asks", "cls", "vec", "perm")
+
+    most = reranked(n, k, rerank_factor)
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cls")
         asks = one_array(table["asks"])
         q, m = table.filter(asks), table.filter(pc.invert(asks))
-        names, out = [], []
+        member, found = m["cls"].to_numpy(), []
         if q.num_rows and m.num_rows:
-            member, ids = m["cls"].to_numpy(), one_array(m["ids"])
-            order = np.argsort(member, kind="stable")
-            member, ids = member[order], ids.take(pa.array(order))
-            x, perm = _numbers(m["vec"])[order], _numbers(m["perm"])[order]
-            most = max(rerank, best_n, math.ceil(rerank_share * len(member)))
-            place = np.full((len(member), n_pivots), prefix, np.int16)
-            np.put_along_axis(place, perm, np.arange(prefix, dtype=np.int16)[None, :], axis=1)
-            for at in range(0, q.num_rows, QUERY_ROWS):
-                part = q.slice(at, QUERY_ROWS)
-                y, own = _numbers(part["vec"]), _numbers(part["perm"])
-                footrule = np.zeros((len(y), len(member)), np.int32)
-                for j in range(prefix):
-                    footrule += np.abs(place[:, own[:, j]].T - np.int16(j))
-                for i, name in enumerate(part["cls"].to_pylist()):
-                    near = np.arange(len(member))
-                    if len(near) > most:
-                        near = np.sort(np.argsort(footrule[i], kind="stable")[:most])
-                    score = (x[near] * y[i]).sum(axis=1)
-                    top = np.lexsort((member[near], -score))[:best_n]
-                    names.append(name)
-                    out.append(
-                        [
-                            {"cls": int(member[near[t]]), "score": float(score[t]), "ids": ids[int(near[t])].as_py()}
-                            for t in top
-                        ]
-                    )
-        return pa.table({"query": pa.array(names, pa.int64()), "found": pa.array(out, found_type)})
-
-    lists = both.groupBy("pivot", "shard", "part").applyInArrow(compare, schema)
-    merged = lists.groupBy("query").agg(
-        F.array_distinct(F.flatten(F.collect_list("found"))).alias("found")
-    )
-    hits = merged.select(
-        "query",
-        F.explode(
-            F.slice(
-                F.sort_array(
-                    F.expr(
-                        "flatten(transform(found, f -> transform(f.ids, i -> struct(-f.score as lost, i as id, f.score as score))))"
-                    )
-                ),
-                1,
-                best_n,
-            )
-        ).alias("hit"),
-    )
-    top = hits.groupBy("query").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
+            x, y = (_matrix(t["vec"], np.float64, width) for t in (m, q))
+            perm, own = (_matrix(t["perm"], np.int16, prefix) for t in (m, q))
+            # the inverted files, one behind the other: classes and the place of the pivot in each
+            order = np.argsort(perm.ravel(), kind="stable")
+            listed, place = np.divmod(order.astype(np.int32), np.int32(prefix))
+            starts = np.concatenate([[0], np.cumsum(np.bincount(perm.ravel(), minlength=wanted))])
+            del order, perm
+            steps = np.arange(prefix, dtype=np.int32)
+            cut = max(k + 1, math.ceil(most * len(member) / n))
+            for i, name in enumerate(q["cls"].to_pylist()):
+                lengths = starts[own[i] + 1] - starts[own[i]]
+                ends = np.cumsum(lengths)
+                at = np.arange(ends[-1]) + np.repeat(starts[own[i]] - (ends - lengths), lengths)
+                # a pivot in both permutations spares twice what it lies before the end in both
+                spared = prefix - np.maximum(place[at], np.repeat(steps, lengths))
+                near = np.arange(len(member))
+                if len(near) > cut:
+                    gain = np.bincount(listed[at], weights=spared, minlength=len(member))
+                    near = np.sort(np.argpartition(-gain, cut - 1)[:cut])
+                score = (x[near] * y[i]).sum(axis=1)
+                top = np.lexsort((member[near], -score))[: k + 1]
+                found.append((np.full(len(top), name), member[near[top]], score[top]))
+        parts = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0), np.zeros(0), np.zeros(0)]
+        return pa.table({"query": parts[0].astype(np.int64), "cls": parts[1].astype(np.int64), "score": parts[2]})
+
+    both = dealt(queries, True).unionByName(dealt(indexed, False))
+    hits = both.groupBy("shard", "block").applyInArrow(compare, "query long, cls long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "cls")
+    hits = hits.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
+    # only classes of several ids have more to add
+    copies = members.filter("place > 1").groupBy("cls").agg(F.collect_list("id").alias("more"))
+    ids = F.explode(F.concat(F.array("cls"), F.coalesce("more", F.array().cast("array<long>"))))
+    hits = hits.join(copies, "cls", "left").select("query", ids.alias("id"), "score")
+    hit = F.struct((-F.col("score")).alias("lost"), "id", "score")
+    top = hits.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(hit)), 1, k + 1).alias("hits"))
     answered = asked.join(top, F.col("cls") == F.col("query")).select(
         "query_id", F.posexplode(F.expr(f"slice(filter(hits, h -> h.id != query_id), 1, {k})")).alias("place", "hit")
     )
