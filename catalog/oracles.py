@@ -584,6 +584,12 @@ def oracle_sql() -> dict[str, str]:
                FROM words SEMI JOIN vocab ON vocab.word = w ORDER BY place LIMIT 20000""",
             [("words", _SELECT_ALL)],
         ),
+        "lexicon_top_after_cut": _with(
+            ["dirty", "vocab"],
+            """SELECT row_number() OVER (ORDER BY place) - 1 AS word_id, w AS word, frequency
+               FROM words SEMI JOIN vocab ON vocab.word = w ORDER BY place LIMIT 5000""",
+            [("words", _SELECT_ALL)],
+        ),
         "lexicon_all": _with(
             ["dirty"],
             """SELECT row_number() OVER (ORDER BY place) - 1 AS word_id, w AS word, frequency

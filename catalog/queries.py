@@ -53,6 +53,7 @@ QUERIES: dict[str, Query] = {}
 
 TOP_BEFORE = 10_000  # words of the 10k pipelines
 TOP_AFTER = 20_000  # words of the whole-word pipeline
+TOP_CUT = 5_000  # fewer than the vocabulary matches of the smallest tables
 LABELING = ["algorithm", "k"]
 
 
@@ -87,6 +88,14 @@ def lexicon_top_after(spark, sf_dir):
     )
 
 
+@query
+def lexicon_top_after_cut(spark, sf_dir):
+    """The cut after the vocabulary match where it does cut."""
+    return lex.select_words(
+        fx.lexicon_dirty(spark, sf_dir), TOP_CUT, when="after", vocab=fx.vocab(spark, sf_dir)
+    )
+
+
 @query
 def lexicon_all(spark, sf_dir):
     return lex.select_words(fx.lexicon_dirty(spark, sf_dir))
@@ -119,12 +128,14 @@ def null_tokens(spark, sf_dir):
 
 @query
 def first_match(spark, sf_dir):
-    """The same file found by root and pattern."""
+    """A lexicon written in parts, its folder found by root and pattern."""
     path = scratch_path(spark, "roots")
     fx.lexicon(spark, sf_dir).select(
         F.col("word").alias("Word"), F.col("frequency").alias("Frequency")
-    ).coalesce(1).write.option("header", True).csv(f"{path}/deep/words")
-    return read_first_match(spark, [f"{path}-absent", path], ["*34k*.csv", "part-*.csv"])
+    ).write.option("header", True).csv(f"{path}/deep/words")
+    return read_first_match(
+        spark, [f"{path}-absent", path], ["*34k*.csv", "part-*.csv"], whole_folder=True
+    )
 
 
 @query
@@ -414,6 +425,12 @@ def spectral(spark, sf_dir):
     return spc.spectral(fx.points(spark, sf_dir), 10, seed=42).labels
 
 
+@query
+def spectral_power_iteration(spark, sf_dir):
+    """Labels by power iteration on the affinity graph, without eigenvectors."""
+    return spc.power_iteration(fx.points(spark, sf_dir), 10)
+
+
 @query
 def sweep(spark, sf_dir):
     """All five algorithms at two k, scored: the metric table."""

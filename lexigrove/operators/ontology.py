@@ -198,7 +198,7 @@ def cluster_coherence(
     types = dict(clusters.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys)
     tiles = unordered_tiles(
-        blocked, keys, _coherence_tile(keys),
+        blocked, keys, _coherence_tile(keys, use_path),
         f"{schema}, total double, scored double, zero double",
     )
     sums = tiles.groupBy(*keys).agg(
@@ -264,10 +264,21 @@ def _matches(a_names: pa.Array, b_names: pa.Array):
         start = stop
 
 
-def _word_similarity(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Best synset similarity of every word of ``a`` with every word of ``b``."""
+def _word_similarity(a: pa.Table, b: pa.Table, use_path: bool) -> np.ndarray:
+    """Best synset similarity of every word of ``a`` with every word of ``b``.
+
+    Synsets that share a direct hypernym have a path over it, so one of the two measures is enough.
+    """
     starts_a, n_a, up_a, direct_a = _unpack(a)
     starts_b, n_b, up_b, direct_b = _unpack(b)
+    if use_path:
+        sim = _path_similarity(up_a, up_b, n_a, n_b)
+    else:
+        sim = _direct_overlap(direct_a, direct_b, n_a, n_b)
+    return np.maximum.reduceat(np.maximum.reduceat(sim, starts_a, axis=0), starts_b, axis=1)
+
+
+def _direct_overlap(direct_a, direct_b, n_a: int, n_b: int) -> np.ndarray:
     shared = np.zeros(n_a * n_b)
     for at_a, at_b in _matches(direct_a[1], direct_b[1]):
         cell = direct_a[0][at_a] * n_b + direct_b[0][at_b]
@@ -276,23 +287,23 @@ def _word_similarity(a: pa.Table, b: pa.Table) -> np.ndarray:
     size_a = np.bincount(direct_a[0], minlength=n_a)
     size_b = np.bincount(direct_b[0], minlength=n_b)
     union = size_a[:, None] + size_b[None, :] - shared
-    sim = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+    return np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
+
+
+def _path_similarity(up_a, up_b, n_a: int, n_b: int) -> np.ndarray:
     length = np.full(n_a * n_b, np.inf)
     for at_a, at_b in _matches(up_a[1], up_b[1]):
         cell = up_a[0][at_a] * n_b + up_b[0][at_b]
         np.minimum.at(length, cell, (up_a[2][at_a] + up_b[2][at_b]).astype(np.float64))
-    length = length.reshape(n_a, n_b)
-    reachable = np.isfinite(length)
-    sim[reachable] = 1.0 / (1.0 + length[reachable])
-    return np.maximum.reduceat(np.maximum.reduceat(sim, starts_a, axis=0), starts_b, axis=1)
+    return 1.0 / (1.0 + length.reshape(n_a, n_b))
 
 
-def _coherence_tile(keys: list[str]):
+def _coherence_tile(keys: list[str], use_path: bool):
     def tile(a: pa.Table, b: pa.Table | None) -> pa.Table:
         names = a.slice(0, 1).select(keys) if a.num_rows else b.slice(0, 1).select(keys)
         total = scored = zero = 0.0
         if a.num_rows and (b is None or b.num_rows):
-            sim = _word_similarity(a, a if b is None else b)
+            sim = _word_similarity(a, a if b is None else b, use_path)
             n = a["copies"].to_numpy().astype(np.float64)
             if b is None:
                 # different signatures once, and pairs among words of one signature

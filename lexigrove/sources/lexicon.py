@@ -76,9 +76,18 @@ def find_first_match(spark: SparkSession, roots: Sequence[str], patterns: Sequen
 
 
 def read_first_match(
-    spark: SparkSession, roots: Sequence[str], patterns: Sequence[str], **options
+    spark: SparkSession,
+    roots: Sequence[str],
+    patterns: Sequence[str],
+    whole_folder: bool = False,
+    **options,
 ) -> DataFrame:
-    return read_lexicon(spark, find_first_match(spark, roots, patterns), **options)
+    """The lexicon in the first file that matches.
+
+    ``whole_folder`` reads the folder that holds it: a lexicon written in several parts.
+    """
+    path = find_first_match(spark, roots, patterns)
+    return read_lexicon(spark, path.rpartition("/")[0] if whole_folder else path, **options)
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:

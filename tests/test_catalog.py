@@ -13,7 +13,8 @@ def test_every_sql_belongs_to_a_query():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     # without SQL: random seeds, cells around sampled pivots, or rotations of equal eigenvalues
     assert set(entry_points.QUERIES) - set(entry_points.oracle_sql()) == {
-        "kmeans_best_of_n", "knn_approximate", "run_suite", "spectral", "subword_kmeans_metrics", "sweep",
+        "kmeans_best_of_n", "knn_approximate", "run_suite", "spectral", "spectral_power_iteration",
+        "subword_kmeans_metrics", "sweep",
     }
 
 

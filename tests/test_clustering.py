@@ -179,6 +179,16 @@ def test_spectral_tells_whether_its_rounds_met_the_tolerance(data):
     assert done.converged and 2 < done.iterations
 
 
+def test_power_iteration_labels_every_point_and_splits_two_groups(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(40, 4)), rng.normal(size=(40, 4)) + 30])
+    rows = spectral.power_iteration(points_df(spark, x), 2, max_iter=60).collect()
+    label = {r["word_id"]: r["cluster"] for r in rows}
+    assert len(rows) == 80 and set(label) == set(range(80))
+    assert len({label[i] for i in range(40)}) == len({label[i] for i in range(40, 80)}) == 1
+    assert label[0] != label[79]
+
+
 def test_registered_suite_runs_all_algorithms_with_defaults(monkeypatch):
     from catalog import queries
     from lexigrove.plans import suite

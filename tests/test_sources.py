@@ -43,6 +43,11 @@ def test_first_match_order(spark, tmp_path):
     assert src.read_first_match(spark, roots, ["*.csv"]).count() == 1
     with pytest.raises(FileNotFoundError):
         src.find_first_match(spark, roots, ["nothing"])
+    parts = str(tmp_path / "one/deep/parts")
+    words = spark.range(100).selectExpr("concat('w', id) AS Word", "id AS Frequency")
+    words.repartition(4).write.option("header", True).csv(parts)
+    whole = src.read_first_match(spark, roots, ["part-*.csv"], whole_folder=True)
+    assert sorted(r["frequency"] for r in whole.collect()) == [float(i) for i in range(100)]
 
 
 def test_vocab_line_numbers_over_many_splits(spark, tmp_path):
