@@ -15,12 +15,12 @@ from ..functions import dot, l2, sq_l2
 from ..runtime import materialize, uniform_hash
 from .distances import sq_distances
 from .ranking import with_rank
-from .tiles import block_rows_for, unordered_tiles, with_block, with_group_block
+from .tiles import block_rows_for, strips, unordered_tiles, with_block, with_group_block
 from .vector_sums import list_column, matrix, sum_vectors
 
 KEYS = ("algorithm", "k")
 # Memory for the distance sums that one task holds (rows of a block x clusters).
-SUMS_BYTES = 128 * 1024 * 1024
+SUMS_BYTES = 32 * 1024 * 1024
 NOISE = 1e-12
 
 
@@ -325,9 +325,9 @@ def _distance_sums(lo: int, hi: int):
         order = np.argsort(col[keep], kind="stable")
         return row[keep][order], col[keep][order] - lo
 
-    def add(d: np.ndarray, table: pa.Table) -> np.ndarray:
+    def across(d: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+        """Per row of ``d`` its sums over the columns of each cluster."""
         out = np.zeros((d.shape[0], hi - lo))
-        row, col = members(table)
         if len(row):
             present, starts = np.unique(col, return_index=True)
             for c, s, e in zip(present, starts, [*starts[1:], len(col)]):
@@ -335,16 +335,24 @@ def _distance_sums(lo: int, hi: int):
         return out
 
     def tile(a: pa.Table, b: pa.Table | None) -> pa.Table:
-        x = matrix(a["vec"])
-        if b is None:
-            ids, sums = a["id"], add(np.sqrt(sq_distances(x, x)), a)
-        elif a.num_rows == 0 or b.num_rows == 0:
+        if b is not None and not (a.num_rows and b.num_rows):
             return pa.table({"id": pa.array([], pa.int64()), "s": list_column(np.zeros((0, 1)))})
-        else:
-            d = np.sqrt(sq_distances(x, matrix(b["vec"])))
-            ids = pa.chunked_array([*a["id"].chunks, *b["id"].chunks])
-            sums = np.vstack([add(d, b), add(d.T, a)])
-        return pa.table({"id": ids, "s": list_column(sums)})
+        x, (row_a, col_a) = matrix(a["vec"]), members(a)
+        y, (row_b, col_b) = (x, (row_a, col_a)) if b is None else (matrix(b["vec"]), members(b))
+        to_b, to_a = np.zeros((len(x), hi - lo)), np.zeros((len(y) if b is not None else 0, hi - lo))
+        for s, e in strips(len(x), len(y)):
+            d = np.sqrt(sq_distances(x[s:e], y))
+            to_b[s:e] = across(d, row_b, col_b)
+            if b is not None:
+                here = (row_a >= s) & (row_a < e)
+                present, starts = np.unique(col_a[here], return_index=True)
+                ends = [*starts[1:], int(here.sum())]
+                for c, first, last in zip(present, starts, ends):
+                    to_a[:, c] += d[row_a[here][first:last] - s].sum(axis=0)
+        out = pa.table({"id": a["id"], "s": list_column(to_b)})
+        if b is None:
+            return out
+        return pa.concat_tables([out, pa.table({"id": b["id"], "s": list_column(to_a)})])
 
     return tile
 

@@ -21,6 +21,8 @@ from ..runtime import parallelism
 MIN_BLOCK_ROWS = 256
 MAX_BLOCK_ROWS = 16_384
 BLOCK_BYTES = 64 * 1024 * 1024
+# Values for pairs of rows that a task holds at once.
+STRIP_PAIRS = 1 << 21
 
 
 def block_rows_for(df: DataFrame, n_rows: int, row_bytes: int) -> int:
@@ -34,6 +36,13 @@ def block_rows_for(df: DataFrame, n_rows: int, row_bytes: int) -> int:
     return min(ceiling, max(MIN_BLOCK_ROWS, wanted))
 
 
+def strips(n_rows: int, n_columns: int):
+    """Ranges of rows whose pairs with all columns fit a task, whatever the size of the blocks."""
+    step = max(1, STRIP_PAIRS // max(1, n_columns))
+    for start in range(0, n_rows, step):
+        yield start, min(n_rows, start + step)
+
+
 def _block(key: Column, n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(key), n_blocks.cast("long")).cast("int")
 
