@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vector_norm
 from ..runtime import materialize
 from .kmeans import as_points, require_k
-from .tiles import block_rows_for, blocks_of, directed_tiles, unordered_tiles, with_block
+from .tiles import block_rows_for, blocks_of, directed_tiles, strips, unordered_tiles, with_block
 from .vector_sums import matrix
 
 # Heights are compared at this many decimals, so equal heights fall back to ids.
@@ -25,15 +25,44 @@ FOUND = "id long, height double, nn long"
 MERGES = "left long, right long, height double, size long"
 
 
-def _best(height: np.ndarray, ids: np.ndarray, partners: np.ndarray) -> pa.Table:
-    """Per row the lowest height, ties to the smallest partner."""
-    order = np.argsort(partners, kind="stable")
-    at = height[:, order].argmin(axis=1)
-    low = height[np.arange(len(ids)), order[at]]
-    found = np.isfinite(low)
-    return pa.table(
-        {"id": ids[found], "height": low[found], "nn": partners[order[at]][found]}
-    )
+def _by_id(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = table["id"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], matrix(table["vec"])[order]
+
+
+def _lowest(a: pa.Table, b: pa.Table | None, both: bool) -> pa.Table:
+    """Per row of ``a``, and with ``both`` of ``b``, the lowest height, ties to the smallest partner.
+
+    Without ``b`` the rows of ``a`` among themselves.
+    """
+    if not a.num_rows or (b is not None and not b.num_rows):
+        none = np.zeros(0, np.int64)
+        return _found(none, np.zeros(0), none)
+    ids_a, x = _by_id(a)
+    ids_b, y = (ids_a, x) if b is None else _by_id(b)
+    low_a, nn_a = np.zeros(len(x)), np.zeros(len(x), np.int64)
+    low_b, nn_b = np.full(len(y), np.inf), np.zeros(len(y), np.int64)
+    for s, e in strips(len(x), len(y)):
+        h = _heights(x[s:e], y)
+        if b is None:
+            h[np.arange(e - s), np.arange(s, e)] = np.inf
+        elif not both:
+            h[ids_a[s:e, None] == ids_b[None, :]] = np.inf
+        nn_a[s:e] = h.argmin(axis=1)
+        low_a[s:e] = h[np.arange(e - s), nn_a[s:e]]
+        if both:
+            at = h.argmin(axis=0)
+            low = h[at, np.arange(len(y))]
+            lower = low < low_b
+            low_b[lower], nn_b[lower] = low[lower], at[lower] + s
+    found = _found(ids_a, low_a, ids_b[nn_a])
+    return pa.concat_tables([found, _found(ids_b, low_b, ids_a[nn_b])]) if both else found
+
+
+def _found(ids: np.ndarray, low: np.ndarray, nn: np.ndarray) -> pa.Table:
+    known = np.isfinite(low)
+    return pa.table({"id": ids[known], "height": low[known], "nn": nn[known]})
 
 
 def _heights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -48,24 +77,10 @@ def _nearest_clusters(
     everyone = state.select("id", mean)
 
     def symmetric(a: pa.Table, b: pa.Table | None) -> pa.Table:
-        ids_a, x = a["id"].to_numpy(), matrix(a["vec"])
-        if b is None:
-            h = _heights(x, x)
-            np.fill_diagonal(h, np.inf)
-            return _best(h, ids_a, ids_a)
-        ids_b = b["id"].to_numpy()
-        if not len(ids_a) or not len(ids_b):
-            return _best(np.full((0, 1), np.inf), ids_a[:0], np.zeros(1, np.int64))
-        h = _heights(x, matrix(b["vec"]))
-        return pa.concat_tables([_best(h, ids_a, ids_b), _best(h.T, ids_b, ids_a)])
+        return _lowest(a, b, b is not None)
 
     def directed(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        if not len(ids_a) or not len(ids_b):
-            return _best(np.full((0, 1), np.inf), ids_a[:0], np.zeros(1, np.int64))
-        h = _heights(matrix(a["vec"]), matrix(b["vec"]))
-        h[ids_a[:, None] == ids_b[None, :]] = np.inf
-        return _best(h, ids_a, ids_b)
+        return _lowest(a, b, False)
 
     if n_open == n_all:
         found = unordered_tiles(with_block(everyone, "id", n_all, block_rows), [], symmetric, FOUND)
