@@ -8,9 +8,11 @@ members are between ``low`` and ``high`` away from b, no member is nearer to p t
 the last because members are nearer to b than to any other pivot. A point looks into its nearest
 cells first; the k-th distance found there then rules out most other cells, and it goes to the rest.
 
-Pivots are a sample of the points by a hash of their id. Large cells are cut by hash into blocks, and
-so are the points that look into a cell, so a task gets two blocks of bounded size whatever the sizes
-of cells. Equal vectors are merged before and given back after, so copies cost no pairs. Points without
+Pivots are a sample of the points by a hash of their id. Large cells are cut by hash into slots, and
+the points that look into a cell into parts, so a task gets two blocks of bounded size whatever the sizes
+of cells. Cells beyond the nearest lie many to a block: a point goes once to a block that has cells it
+wants, and meets only those there, so rows moved follow the number of blocks and not that of cells.
+Equal vectors are merged before and given back after, so copies cost no pairs. Points without
 structure (uniform directions in many dimensions) rule out little; then the work is that of all pairs.
 """
 
@@ -24,14 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import check_broadcast_size, materialize, uniform_hash
+from ..runtime import check_broadcast_size, materialize, parallelism, uniform_hash
 from .distances import nearest_columns, sq_distances
+from .tiles import strips
 from .vector_sums import list_column, matrix
 
 BLOCK_ROWS = 1024
+FAR_BYTES = 16 * 1024 * 1024  # vectors of one side of a task that looks into many cells
 MAX_CELLS = 8192
 PIECE = 1 << 21  # distances to pivots that a task holds at a time
 OUT_ROWS = 2048  # rows of a batch with vectors that goes back to Spark
+OUT_PAIRS = 1 << 21  # pairs found that a task holds before it keeps the nearest
 _FOUND = "src long, dst long, sq double"
 # bounds are widened by this share of the largest norm, far above the rounding of distances
 _SLACK = 1e-6
@@ -147,31 +152,154 @@ def _first(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def _others(cells: _Cells, found: DataFrame, k: int) -> DataFrame:
-    """(id, vec, wanted): the cells beyond the nearest that can hold one of the k nearest."""
+def _bounded(cells: _Cells, found: DataFrame, k: int) -> DataFrame:
+    """The points with ``bound``, the k-th distance found so far, infinite with fewer."""
     bounds = found.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"), F.max("sq").alias("sq"))
     bound = F.when(F.col("n") >= k, F.sqrt("sq")).otherwise(F.lit(float("inf")))
     rows = cells.points.join(bounds, "id", "left").select("id", "vec", "own", "near", bound.alias("bound"))
-    shared = rows.sparkSession.sparkContext.broadcast((cells.pivots, cells.sizes, cells.low, cells.high))
+    return materialize(rows, "bounds")
 
-    def task(batches):
-        pivots, sizes, low, high = shared.value
-        slack = _SLACK * max(1.0, float(np.sqrt((pivots**2).sum(axis=1).max(initial=0.0))))
-        for batch in _pieces(batches, PIECE // max(1, len(pivots))):
-            far = _roots(matrix(batch.column("vec")), pivots)
-            own, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "bound"))
-            least = np.maximum(np.maximum(far - high, low - far), (far - own[:, None]) / 2)
-            wanted = (least <= bound[:, None] + slack) & (sizes > 0)
-            np.put_along_axis(wanted, matrix(batch.column("near"), np.int64), False, axis=1)
-            row, cell = (pa.array(x.astype(np.int32)) for x in np.nonzero(wanted))
-            for at in range(0, len(row), OUT_ROWS):
-                some = row.slice(at, OUT_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(some), batch.column("vec").take(some), cell.slice(at, OUT_ROWS)],
-                    names=["id", "vec", "wanted"],
-                )
-
-    return rows.mapInArrow(task, "id long, vec array<double>, wanted int")
+
+def _wanted(batch: pa.RecordBatch, known, slack: float) -> np.ndarray:
+    """Points x cells: the cells beyond the nearest that can hold one of the k nearest."""
+    pivots, sizes, low, high = known
+    far = _roots(matrix(batch.column("vec")), pivots)
+    own, bound = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "bound"))
+    least = np.maximum(np.maximum(far - high, low - far), (far - own[:, None]) / 2)
+    wanted = (least <= bound[:, None] + slack) & (sizes > 0)
+    np.put_along_axis(wanted, matrix(batch.column("near"), np.int64), False, axis=1)
+    return wanted
+
+
+def _blocks(sizes: np.ndarray, block_rows: int, n: int, d: int, cores: int) -> tuple[np.ndarray, int, int]:
+    """Slots of each cell, slots to a block, and parts of the points: about four tasks a core or more."""
+    most = max(block_rows, min(FAR_BYTES // (8 * d), math.ceil(n / math.ceil(math.sqrt(4 * cores)))))
+    return -(-sizes // block_rows), max(1, most // block_rows), max(1, math.ceil(n / most))
+
+
+def _look_further(cells: _Cells, rows: DataFrame, n: int, d: int, k: int) -> tuple[DataFrame, int]:
+    """The k nearest members of each block of cells for the points of ``_bounded``, and the distances.
+
+    A cell has one slot for every ``block_rows`` members; a block is a run of slots. A task gets
+    the members of a block and a part of the points that want one of its cells.
+    """
+    sc = rows.sparkSession.sparkContext
+    slots, per_block, n_parts = _blocks(cells.sizes, cells.block_rows, n, d, parallelism(rows.sparkSession))
+    first = np.cumsum(slots) - slots
+    starts = first // per_block  # the blocks of a cell
+    ends = (first + slots - 1) // per_block
+    n_blocks = int(slots.sum()) // per_block + 1
+    known = sc.broadcast((cells.pivots, cells.sizes, cells.low, cells.high))
+    slack = _SLACK * max(1.0, float(np.sqrt((cells.pivots**2).sum(axis=1).max(initial=0.0))))
+    piece = PIECE // max(1, len(cells.pivots))
+
+    def count(batches):
+        total = sum(int((_wanted(b, known.value, slack) @ cells_sizes).sum()) for b in _pieces(batches, piece))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], names=["n"])
+
+    cells_sizes = cells.sizes.astype(np.int64)
+    counted = rows.select("vec", "own", "near", "bound").mapInArrow(count, "n long").agg(F.sum("n").alias("n")).first()
+    sent = "id long, vec array<double>, bound double, wanted array<int>, block int"
+
+    def send(batches):
+        for batch in _pieces(batches, piece):
+            wanted = _wanted(batch, known.value, slack)
+            for block in range(n_blocks):
+                inside = np.flatnonzero((starts <= block) & (ends >= block) & (cells_sizes > 0))
+                here = wanted[:, inside]
+                asks = np.flatnonzero(here.any(axis=1))
+                for at in range(0, len(asks), OUT_ROWS):
+                    some = asks[at : at + OUT_ROWS]
+                    row, col = np.nonzero(here[some])
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(inside[col].astype(np.int32)))
+                    take = pa.array(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("id").take(take), batch.column("vec").take(take),
+                            batch.column("bound").take(take), lists, pa.array(np.full(len(some), block, np.int32)),
+                        ],
+                        names=["id", "vec", "bound", "wanted", "block"],
+                    )
+
+    asking = rows.mapInArrow(send, sent).select(
+        "id", "vec", "bound", "wanted", "block",
+        F.pmod(F.xxhash64("id"), F.lit(n_parts)).cast("int").alias("part"), F.lit(-1).alias("cell"),
+    )
+    # a row per cell
+    places = F.broadcast(
+        rows.sparkSession.createDataFrame(
+            [(int(c), int(slots[c]), int(first[c])) for c in np.flatnonzero(slots)], "cell int, n_slots int, first int"
+        )
+    )
+    slot = F.col("first") + F.pmod(F.xxhash64("id"), F.col("n_slots").cast("long")).cast("int")
+    there = cells.points.join(places, "cell").select(
+        "id", "vec", F.lit(None).cast("double").alias("bound"), F.lit(None).cast("array<int>").alias("wanted"),
+        F.floor(slot / per_block).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "cell",
+    )
+
+    def tile(table: pa.Table) -> pa.Table:
+        cell = table["cell"].to_numpy()
+        asks, ids = cell < 0, table["id"].to_numpy()
+        out = [_no_pairs()]
+        if asks.any() and not asks.all():
+            x = matrix(table["vec"])
+            chosen = table.filter(pa.array(asks))
+            lists = chosen["wanted"].combine_chunks()
+            asker = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            target = lists.flatten().to_numpy(zero_copy_only=False)
+            order = np.argsort(target, kind="stable")
+            asker, target = asker[order], target[order]
+            src, xs, limit = ids[asks], x[asks], (chosen["bound"].to_numpy() + slack) ** 2
+            members = np.flatnonzero(~asks)
+            members = members[np.argsort(cell[members], kind="stable")]
+            of = cell[members]
+            held = 0
+            for c in np.unique(of):
+                rows_of = asker[np.searchsorted(target, c) : np.searchsorted(target, c, "right")]
+                there = members[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
+                for s, e in strips(len(rows_of), len(there)):
+                    own = rows_of[s:e]
+                    d2 = sq_distances(xs[own], x[there])
+                    # what is beyond the k-th distance so far is not among the k nearest
+                    near = d2 <= limit[own][:, None]
+                    many = near.sum(axis=1) > k
+                    row, col = np.nonzero(near & ~many[:, None])
+                    dst, sq = ids[there][col], d2[row, col]
+                    other = src[own][row] != dst
+                    out.append(pa.table({"src": src[own][row][other], "dst": dst[other], "sq": sq[other]}))
+                    if many.any():
+                        own, d2 = own[many], d2[many]
+                        d2[src[own][:, None] == ids[there][None, :]] = np.inf
+                        row, dst, sq = nearest_columns(d2, ids[there], k)
+                        out.append(pa.table({"src": src[own][row], "dst": dst, "sq": sq}))
+                        last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
+                        last = last[last - np.searchsorted(row, row[last]) == k - 1]
+                        limit[own[row[last]]] = np.minimum(limit[own[row[last]]], (np.sqrt(sq[last]) + slack) ** 2)
+                        held += len(row)
+                    held += int(other.sum())
+                    if held > OUT_PAIRS:
+                        out, held = [_best_of(out, k)], 0
+        return _best_of(out, k)
+
+    found = asking.unionByName(there).groupBy("block", "part").applyInArrow(tile, _FOUND)
+    return found, int(counted["n"] or 0)
+
+
+def _no_pairs() -> pa.Table:
+    none = np.zeros(0, np.int64)
+    return pa.table({"src": none, "dst": none, "sq": np.zeros(0)})
+
+
+def _best_of(tables: list[pa.Table], k: int) -> pa.Table:
+    """Per source the k nearest of several tables, ties to the smaller id."""
+    table = pa.concat_tables(tables)
+    src, dst, sq = (table[c].to_numpy() for c in ("src", "dst", "sq"))
+    order = np.lexsort((dst, sq, src))
+    ordered = src[order]
+    place = np.arange(len(ordered)) - np.searchsorted(ordered, ordered)
+    return table.take(pa.array(order[place < k]))
 
 
 def cell_neighbours(
@@ -197,11 +325,7 @@ def cell_neighbours(
     found, n_distances = _look(built, near, built.asked, k)
     if exact and len(built.pivots) > probe:
         found = materialize(_first(found, k).drop("rank"), "near-cells")
-        others = materialize(_others(built, found, k), "other-cells")
-        asked = np.zeros_like(built.asked)
-        for r in others.groupBy("wanted").agg(F.count("*").alias("n")).collect():  # one row per cell
-            asked[r["wanted"]] = r["n"]
-        more, n_more = _look(built, others, asked, k)
+        more, n_more = _look_further(built, _bounded(built, found, k), size["n"], size["d"] or 1, k)
         found, n_distances = found.unionByName(more), n_distances + n_more
     if (size["copies"] or 0) > 1:
         found = _with_copies(rows, merged, _first(found, k).drop("rank"), k)

@@ -65,3 +65,18 @@ def test_approximate_and_its_recall(spark):
 def test_few_and_no_points(spark):
     assert knn.knn_graph(points_df(spark, np.eye(1)), 3).count() == 0
     assert knn.knn_graph(points_df(spark, np.eye(3)).where("word_id < 0"), 3).count() == 0
+
+
+def test_far_cells_share_blocks():
+    n, cells = 614_400, 600
+    slots, per_block, parts = pruned._blocks(np.full(cells, 1024), 1024, n, 64, 12)
+    # rows sent: each point to every block at most, each member to every part; not to every cell
+    assert -(-slots.sum() // per_block) <= 20 and parts <= 20
+    assert per_block * 1024 * 64 * 8 <= pruned.FAR_BYTES
+
+
+def test_unstructured_points_with_many_cells_to_a_block(spark):
+    x = np.random.default_rng(5).normal(size=(400, 12))
+    out = pruned.cell_neighbours(points_df(spark, x), 5, cells=60, block_rows=8)
+    assert found(out.rows) == plain(x, 5)
+    assert out.distances > 0.8 * out.all_distances
