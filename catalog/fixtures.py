@@ -82,7 +82,7 @@ def ngram_table(spark, sf_dir, words: DataFrame) -> DataFrame:
     grams = words.select(F.explode(char_ngrams("word")).alias("ngram")).distinct()
     vectors = (
         grams.withColumn("vec_id", F.pmod(uniform_hash(F.col("ngram"), "bucket"), F.lit(n)))
-        .join(table(spark, sf_dir, "embeddings"), "vec_id")
+        .join(table(spark, sf_dir, "embeddings").hint("merge"), "vec_id")
         .select("ngram", F.col("embedding").alias("features"))
     )
     return materialize(vectors, "ngram-table")

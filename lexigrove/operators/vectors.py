@@ -68,7 +68,8 @@ def subword_vectors(
         # the n-grams of a word stay together, so a task adds them up before the shuffle
         hits = grams.join(F.broadcast(table), "ngram")
     else:
-        hits = grams.join(table, "ngram")
+        # named, as the size of exploded n-grams is estimated by that of the words
+        hits = grams.join(table.hint("merge"), "ngram")
     sums = sum_vectors(hits.select("word_id", "features"), ["word_id"], "features")
     zeros = F.array_repeat(F.lit(0.0), known["d"])
     return (

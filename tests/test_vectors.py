@@ -101,3 +101,17 @@ def test_encoder_must_cut_its_tokens(spark, words):
 
     with pytest.raises(Exception, match="encoder gave 3 tokens"):
         vectors.contextual_embeddings(words, factory, max_length=2).collect()
+
+
+def test_ngrams_of_words_are_never_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "NGRAM_BROADCAST_BYTES", 0)
+    spark.range(200).selectExpr("id word_id", "repeat(cast(id as string), 20) word").write.parquet(f"{tmp_path}/w")
+    words = spark.read.parquet(f"{tmp_path}/w")
+    grams = vectors.word_ngrams(words).select("ngram").distinct()
+    grams.selectExpr("ngram", "array_repeat(1f, 64) features").write.parquet(f"{tmp_path}/g")
+    table = spark.read.parquet(f"{tmp_path}/g")
+    out = vectors.subword_vectors(words, table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # the only broadcast that may remain is that of the sums, for the join with the words
+    assert "BuildLeft" not in plan and plan.count("SortMergeJoin [ngram") == 1
+    assert out.count() == 200
