@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,14 @@ ALGORITHMS = (
 )
 # The cluster counts of the published sweep.
 SWEEP_KS = (50, 100, 150, 200, 250, 300)
+# Algorithms that run side by side, and fits of each.
+PARALLEL_FITS = 5
+
+
+def _together(run: Callable, items: Sequence, points: DataFrame) -> list:
+    """``run`` of each item, in threads: most time of a fit is spent waiting for its many short jobs."""
+    with ThreadPool(max(1, min(len(items), PARALLEL_FITS))) as pool:
+        return pool.map(inheritable_thread_target(points.sparkSession)(run), items, chunksize=1)
 
 
 def sweep(
@@ -43,6 +53,7 @@ def sweep(
     about its own centres, the same in all its rows; null where the fit has no centres.
     ``iterations`` and ``converged`` tell how the fit ended; null for the agglomeration, which has none.
 
+    The fits do not depend on each other and run side by side.
     One merge tree serves every k of the agglomeration, and one set of spectral
     coordinates, at the largest k, serves every k of the spectral labels.
     """
@@ -61,15 +72,19 @@ def sweep(
             return agglomerative(points, ks, **cols, **extra)
         if name == "Spectral":
             rows = spectral_rows(points, max(ks), seed, **cols, **extra)
-            fits = {k: spectral_labels(rows, k, seed, n_init, id_col) for k in ks}
+
+            def one(k: int):
+                return spectral_labels(rows, k, seed, n_init, id_col)
         elif name == "MiniBatchKMeans":
-            fits = {
-                k: minibatch_kmeans(points, k, seed, n_init=n_init, **cols, **extra) for k in ks
-            }
+            def one(k: int):
+                return minibatch_kmeans(points, k, seed, n_init=n_init, **cols, **extra)
         elif name == "Voronoi_Partition":
-            fits = {k: kmeans(points, k, seed, n_init, **cols, **extra) for k in ks}
+            def one(k: int):
+                return kmeans(points, k, seed, n_init, **cols, **extra)
         else:
-            fits = {k: gmm_diag(points, k, seed, **cols, **extra) for k in ks}
+            def one(k: int):
+                return gmm_diag(points, k, seed, **cols, **extra)
+        fits = dict(zip(ks, _together(one, ks, points)))
         # only these fits have centres among the points, so that their cost is an inertia
         about = name in ("MiniBatchKMeans", "Voronoi_Partition")
         tables = [
@@ -83,8 +98,7 @@ def sweep(
 
     try:
         parts = []
-        for name in algorithms:
-            labels = fit(name)
+        for name, labels in zip(algorithms, _together(fit, algorithms, points)):
             ends = {"inertia": "double", "iterations": "int", "converged": "boolean"}
             ends = [(F.col(c) if c in labels.columns else F.lit(None)).cast(t).alias(c) for c, t in ends.items()]
             parts.append(

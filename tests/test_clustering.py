@@ -216,3 +216,22 @@ def test_suite_and_sweep(data):
     assert two.groupBy("k").count().count() == 2
     with pytest.raises(ValueError, match="unknown"):
         sweep(e, [2], ["Nothing"])
+
+
+def test_fits_of_a_sweep_run_side_by_side(data, monkeypatch):
+    from threading import Barrier
+    from lexigrove.plans import suite
+
+    e = data[2]
+    met = Barrier(4)
+
+    def fake(points, k, *a, **kw):
+        met.wait(timeout=20)  # broken unless both k of both algorithms are under way
+        labels = points.select("word_id", F.lit(k).alias("cluster"))
+        return kmeans.Clustering(labels, cost=float(k), iterations=k, converged=True)
+
+    monkeypatch.setattr(suite, "kmeans", fake)
+    monkeypatch.setattr(suite, "gmm_diag", fake)
+    rows = sweep(e, [5, 2], ["Gaussian_Mixture", "Voronoi_Partition"]).collect()
+    got = {(r["algorithm"], r["k"], r["cluster"], r["iterations"], r["inertia"]) for r in rows}
+    assert got == {(a, k, k, k, c) for k in (2, 5) for a, c in (("Gaussian_Mixture", None), ("Voronoi_Partition", float(k)))}
