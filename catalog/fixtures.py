@@ -132,19 +132,29 @@ def word_pairs(spark, sf_dir) -> DataFrame:
     )
 
 
-def synsets(spark, sf_dir) -> DataFrame:
-    """``word, synset_id``: one sense per language a word occurs in."""
+def senses(spark, sf_dir) -> DataFrame:
+    """``word, lang, synset_id``: one sense per language a word occurs in."""
     sense = F.concat_ws("@", "word", "lang").alias("synset_id")
-    return materialize(word_counts(spark, sf_dir, "lang").select("word", sense), "synsets")
+    return materialize(word_counts(spark, sf_dir, "lang").select("word", "lang", sense), "synsets")
+
+
+def synsets(spark, sf_dir) -> DataFrame:
+    return senses(spark, sf_dir).drop("lang")
+
+
+def ontology(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """``word, synset_id`` and ``synset_id, hypernym_id``, from one count of the words."""
+    named = senses(spark, sf_dir)
+    return named.drop("lang"), hypernyms(named)
 
 
-def hypernyms(spark, sf_dir) -> DataFrame:
+def hypernyms(named: DataFrame) -> DataFrame:
     """``synset_id, hypernym_id``: beginnings and endings of words as broader terms.
 
     word@lang -> first three letters -> first letter -> language, and
     word@lang -> last two letters -> last letter.
     """
-    w = word_counts(spark, sf_dir, "lang").withColumn("sid", F.concat_ws("@", "word", "lang"))
+    w = named.withColumnRenamed("synset_id", "sid")
 
     def name(kind: str, part: Column) -> Column:
         return F.concat(F.lit(kind + ":"), part, F.lit("@"), F.col("lang"))

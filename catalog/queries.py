@@ -461,14 +461,15 @@ def synset_pairs(spark, sf_dir):
     return ont.synset_pairs(pairs, fx.synsets(spark, sf_dir))
 
 
-def _sense_pairs(spark, sf_dir):
+def _sense_pairs(spark, sf_dir, synsets):
     pairs = ont.canonical_pairs(fx.word_pairs(spark, sf_dir))
-    return ont.synset_pairs(pairs, fx.synsets(spark, sf_dir))
+    return ont.synset_pairs(pairs, synsets, listed=False)
 
 
 @query
 def hypernym_jaccard(spark, sf_dir):
-    out = ont.hypernym_jaccard(_sense_pairs(spark, sf_dir), fx.hypernyms(spark, sf_dir))
+    synsets, hypernyms = fx.ontology(spark, sf_dir)
+    out = ont.hypernym_jaccard(_sense_pairs(spark, sf_dir, synsets), hypernyms)
     return out.withColumn("jaccard", r6("jaccard"))
 
 
@@ -486,7 +487,8 @@ def jaccard_arrays(spark, sf_dir):
 
 @query
 def path_similarity(spark, sf_dir):
-    out = ont.path_similarity(_sense_pairs(spark, sf_dir), fx.hypernyms(spark, sf_dir))
+    synsets, hypernyms = fx.ontology(spark, sf_dir)
+    out = ont.path_similarity(_sense_pairs(spark, sf_dir, synsets), hypernyms)
     return out.withColumn("path_sim", r6("path_sim"))
 
 
@@ -505,17 +507,12 @@ def path_similarity_deep(spark, sf_dir):
 
 @query
 def pair_similarity(spark, sf_dir):
-    out = ont.pair_similarity(
-        fx.word_pairs(spark, sf_dir), fx.synsets(spark, sf_dir), fx.hypernyms(spark, sf_dir)
-    )
+    out = ont.pair_similarity(fx.word_pairs(spark, sf_dir), *fx.ontology(spark, sf_dir))
     return out.withColumn("sim", r6("sim"))
 
 
 def _coherence(fn, spark, sf_dir, **options):
-    return fn(
-        fx.word_clusters(spark, sf_dir), fx.synsets(spark, sf_dir), fx.hypernyms(spark, sf_dir),
-        **options,
-    )
+    return fn(fx.word_clusters(spark, sf_dir), *fx.ontology(spark, sf_dir), **options)
 
 
 @query

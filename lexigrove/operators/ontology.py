@@ -9,6 +9,8 @@ of 0 counts as no value.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize
 from .tiles import unordered_tiles, with_group_block
+from .word_pairs import distinct_pairs, scored_senses
 
 CLUSTER_KEYS = ("algorithm", "cluster")
 
@@ -24,25 +27,37 @@ LIFTS = 3  # doublings of the edges that a round of ancestors moves up
 
 def canonical_pairs(pairs: DataFrame, a: str = "w1", b: str = "w2") -> DataFrame:
     """Distinct word pairs with w1 <= w2, so a pair is scored once however often it occurs."""
-    return pairs.select(F.least(a, b).alias("w1"), F.greatest(a, b).alias("w2")).distinct()
+    return distinct_pairs(pairs.select(F.least(a, b).alias("w1"), F.greatest(a, b).alias("w2")))
+
+
+@dataclass
+class SensePairs:
+    """All senses of one word with all senses of the other, listed only in the tasks that score them."""
 
+    words: DataFrame
+    synsets: DataFrame
 
-def synset_pairs(pairs: DataFrame, synsets: DataFrame) -> DataFrame:
+
+def synset_pairs(pairs: DataFrame, synsets: DataFrame, listed: bool = True) -> DataFrame | SensePairs:
     """``w1, w2, s1, s2``: all senses of one word with all senses of the other.
 
-    Words without a synset drop out.
+    Words without a synset drop out. Unless ``listed``, the pairs are for the measures below.
     """
+    if not listed:
+        return SensePairs(pairs, synsets)
     senses = synsets.select("word", "synset_id").distinct()
     first = senses.select(F.col("word").alias("w1"), F.col("synset_id").alias("s1"))
     second = senses.select(F.col("word").alias("w2"), F.col("synset_id").alias("s2"))
     return pairs.join(first, "w1").join(second, "w2").select("w1", "w2", "s1", "s2")
 
 
-def hypernym_jaccard(pairs: DataFrame, hypernyms: DataFrame) -> DataFrame:
+def hypernym_jaccard(pairs: DataFrame | SensePairs, hypernyms: DataFrame) -> DataFrame:
     """``s1, s2, jaccard`` for given synset pairs; 0 where either has no hypernym.
 
-    Overlaps are counted by joins on the hypernym, never as collected sets.
+    Overlaps of listed pairs are counted by joins on the hypernym, never as collected sets.
     """
+    if isinstance(pairs, SensePairs):
+        return scored_senses(pairs.words, pairs.synsets, hypernyms, None, False, "jaccard")
     edges = hypernyms.select("synset_id", "hypernym_id").distinct()
     size = edges.groupBy(F.col("synset_id").alias("s2")).agg(F.count("*").alias("n2"))
     first = edges.select(F.col("synset_id").alias("s1"), "hypernym_id")
@@ -102,10 +117,19 @@ def ancestors(synsets: DataFrame, hypernyms: DataFrame, direct_only: bool = Fals
             return reached
 
 
+def _above(hypernyms: DataFrame) -> DataFrame:
+    """What lies above each hypernym; edges of synsets that are none are not needed for it."""
+    inner = hypernyms.where("hypernym_id is not null").select(F.col("hypernym_id").alias("synset_id")).distinct()
+    return ancestors(inner, hypernyms.join(inner, "synset_id", "left_semi"))
+
+
 def path_similarity(
-    pairs: DataFrame, hypernyms: DataFrame, up: DataFrame | None = None
+    pairs: DataFrame | SensePairs, hypernyms: DataFrame, up: DataFrame | None = None
 ) -> DataFrame:
     """``s1, s2, path_sim``: 1 / (1 + shortest path over a common ancestor), null if none."""
+    if isinstance(pairs, SensePairs):
+        above = _above(hypernyms)
+        return scored_senses(pairs.words, pairs.synsets, hypernyms, above, False, "path_sim")
     wanted = pairs.select("s1", "s2").distinct()
     if up is None:
         wanted = materialize(wanted, "synset-pairs")
@@ -131,16 +155,8 @@ def pair_similarity(
 
     Synsets that share a direct hypernym have a path, so paths need no second measure.
     """
-    words = materialize(canonical_pairs(pairs), "word-pairs")
-    senses = materialize(synset_pairs(words, synsets), "synset-pairs")
-    if use_path:
-        sims = path_similarity(senses, hypernyms).withColumnRenamed("path_sim", "sim")
-    else:
-        sims = hypernym_jaccard(senses, hypernyms).withColumnRenamed("jaccard", "sim")
-    best = senses.join(sims, ["s1", "s2"]).groupBy("w1", "w2").agg(F.max("sim").alias("sim"))
-    return words.join(best, ["w1", "w2"], "left").select(
-        "w1", "w2", F.when(F.col("sim") > 0, F.col("sim")).alias("sim")
-    )
+    above = _above(hypernyms) if use_path else None
+    return scored_senses(canonical_pairs(pairs), synsets, hypernyms, above, True, "sim")
 
 
 def _require_ontology(synsets: DataFrame, allow_empty: bool) -> None:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lexigrove.operators import ontology as ont
+from lexigrove.operators import word_pairs
 from lexigrove.plans import coherence_chart_data
 
 SYNSETS = [("a", "a1"), ("a", "a2"), ("b", "b1"), ("c", "c1"), ("d", "d1"), ("e", "e1"), ("f", "a1"), ("f", "a2")]
@@ -156,3 +157,43 @@ def test_hot_cluster(spark):
         elif a % 2 == b % 2:
             sims.append(1 / 3)
     assert got["n_pairs"] == len(sims) and np.isclose(got["coherence"], np.mean(sims))
+
+
+SHARED = [("a", "s1"), ("b", "s1"), ("b", "s2"), ("c", "s2"), ("c", "s3"), ("d", None), (None, "s3"), ("e", "s4")]
+OVER = [("s1", "x"), ("s1", "x"), ("s2", "x"), ("s2", None), ("s3", "y"), ("x", "top"), ("y", "top"), ("top", "x"), (None, "y")]
+
+
+@pytest.mark.parametrize("measure", ["hypernym_jaccard", "path_similarity"])
+def test_unlisted_sense_pairs_equal_listed_ones(spark, measure, monkeypatch):
+    """Synsets of several words, nulls, a cycle, repeated rows; with strips of a few pairs."""
+    monkeypatch.setattr(word_pairs, "STRIP_PAIRS", 3)
+    synsets = spark.createDataFrame(SHARED, "word string, synset_id string")
+    hypernyms = spark.createDataFrame(OVER, "synset_id string, hypernym_id string")
+    words = [*"abcdef", None]
+    pairs = spark.createDataFrame([(v, w) for v in words for w in words] * 2, "w1 string, w2 string")
+    score = getattr(ont, measure)
+    listed = score(ont.synset_pairs(pairs.distinct(), synsets), hypernyms).collect()
+    got = score(ont.synset_pairs(pairs, synsets, listed=False), hypernyms).collect()
+    key = lambda r: tuple((x is None, x or "") for x in r[:2])
+    assert sorted(map(tuple, got), key=key) == sorted(map(tuple, listed), key=key)
+    assert len(got) > 10
+
+
+def test_canonical_pairs_once_with_nulls(spark):
+    rows = [("b", "a"), ("a", "b"), ("a", "a"), (None, "c"), (None, None), ("é", "z"), ("z", "é"), ("", "a")]
+    df = spark.createDataFrame(rows * 3, "w1 string, w2 string").repartition(3)
+    got = [tuple(r) for r in ont.canonical_pairs(df).collect()]
+    assert len(got) == 6
+    assert set(got) == {("a", "b"), ("a", "a"), ("c", "c"), (None, None), ("z", "é"), ("", "a")}
+
+
+def test_sense_pairs_are_not_shuffled(spark):
+    """A word with many senses: its pairs of senses would be 40,000 rows of the shuffle."""
+    synsets = spark.createDataFrame([(w, f"{w}{i}") for w in "ab" for i in range(200)], "word string, synset_id string")
+    hypernyms = spark.createDataFrame([(f"{w}{i}", f"h{i % 7}") for w in "ab" for i in range(200)], "synset_id string, hypernym_id string")
+    words = spark.createDataFrame([("a", "b")], "w1 string, w2 string")
+    got = ont.hypernym_jaccard(ont.synset_pairs(words, synsets, listed=False), hypernyms)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Exchange" not in top and "Join" not in top
+    assert got.count() == 40_000 and got.where("jaccard = 1").count() == sum((200 // 7 + (i < 200 % 7)) ** 2 for i in range(7))
