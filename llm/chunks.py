@@ -127,11 +127,12 @@ def build(
     make: Callable[[pa.Table], Iterable[tuple[int, bytes]]],
     name: str,
     chunk_bytes: int = CHUNK_BYTES,
+    path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Write the chunk table of ``docs``, bucketed by chunk; return its bodies and its blocks.
 
     ``make(table)`` gives the rows of a chunk: one (BODY, bytes) and any (part, bytes).
-    Chunks number the rows of a partition in order.
+    Chunks number the rows of a partition in order. ``path``: a new folder, for ``drop_blocks``.
     """
     spark = docs.sparkSession
 
@@ -149,7 +150,7 @@ def build(
             )
 
     rows = docs.mapInArrow(task, ROWS).withColumn("is_body", F.col("part") == BODY)
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     table = f"chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.write.partitionBy("is_body").bucketBy(buckets, "chunk")
@@ -160,6 +161,11 @@ def build(
     return stored.filter("is_body").select(*columns), blocks.filter("not is_body").select(*columns)
 
 
+def drop_blocks(spark: SparkSession, path: str) -> None:
+    """Empty the blocks of the chunk table at ``path``, once all replies are stored; its bodies stay."""
+    spark.createDataFrame([], ROWS).write.mode("overwrite").parquet(f"{path}/is_body=false")
+
+
 def exchange(
     blocks: DataFrame, reply: Callable[[list[bytes]], list[bytes | None]]
 ) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrove.runtime import materialize
+from lexigrove.runtime import materialize, scratch_path
 
 from . import chunks
 from .components import components
@@ -178,9 +178,11 @@ def _sketches(
         f"`{id_col}` {kind}, n_shingles long, digest binary, keys array<long>, "
         "fold array<long>, chunk long, place long"
     )
-    bodies, blocks = chunks.build(docs.select(id_col, text_col), text_col, make, "ngram-chunks")
-    rows = chunks.meet(bodies, chunks.exchange(blocks, reply), finish, schema)
-    return materialize(rows, "ngram-sketches"), bodies
+    path = scratch_path(docs.sparkSession, "ngram-chunks")
+    bodies, blocks = chunks.build(docs.select(id_col, text_col), text_col, make, "ngram-chunks", path=path)
+    rows = materialize(chunks.meet(bodies, chunks.exchange(blocks, reply), finish, schema), "ngram-sketches")
+    chunks.drop_blocks(docs.sparkSession, path)
+    return rows, bodies
 
 
 def _sets(bodies: DataFrame, wanted: DataFrame, n: int) -> DataFrame:

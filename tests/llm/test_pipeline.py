@@ -71,3 +71,18 @@ def test_clashing_columns_and_empty_table(spark, corpus):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, path).count() == 0
+
+
+def test_answered_blocks_leave_the_disk(spark, tmp_path):
+    """Of the chunk table of the n-gram join only the bodies stay, as later stages hold the disk too."""
+    from pathlib import Path
+
+    texts = [" ".join(f"w{(i * 7 + j) % 97}" for j in range(60)) for i in range(40)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("ngram-chunks-*"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    (made,) = set(folder.glob("ngram-chunks-*")) - before
+    assert spark.read.parquet(str(made)).filter("is_body = 'false'").count() == 0
+    assert spark.read.parquet(str(made)).filter("is_body = 'true'").count() > 0
+    assert kept.groupBy("text").count().filter("count > 1").isEmpty() and kept.count() >= 1
