@@ -159,6 +159,36 @@ def pair_similarity(
     return scored_senses(canonical_pairs(pairs), synsets, hypernyms, above, True, "sim")
 
 
+def _with_lineage(senses: DataFrame, hypernyms: DataFrame, use_path: bool) -> DataFrame:
+    """``senses`` with ``lineage``, what lies above each with distances, or ``direct``, its direct hypernyms.
+
+    Only what lies above hypernyms is followed up, as most synsets are none. An ancestor may come
+    once for each direct hypernym that it lies above.
+    """
+    kind = dict(hypernyms.dtypes)["hypernym_id"]
+    none = F.array().cast(f"array<struct<ancestor:{kind},up:int>>")
+    edges = hypernyms.select("synset_id", "hypernym_id").where("synset_id != hypernym_id")
+    if not use_path:
+        direct = edges.groupBy("synset_id").agg(F.collect_set("hypernym_id").alias("direct"))
+        return senses.join(direct, "synset_id", "left").select(
+            "word", "synset_id", none.alias("lineage"), F.coalesce("direct", F.array().cast(f"array<{kind}>")).alias("direct")
+        )
+    own = edges.join(senses.select("synset_id").distinct(), "synset_id", "left_semi").distinct()
+    inner = own.select(F.col("hypernym_id").alias("synset_id")).distinct()
+    tops = edges.select(F.col("hypernym_id").alias("synset_id")).distinct()
+    above = ancestors(inner, edges.join(tops, "synset_id", "left_semi")).groupBy(
+        F.col("synset_id").alias("hypernym_id")
+    ).agg(F.collect_list(F.struct("ancestor", (F.col("up") + 1).alias("up"))).alias("above"))
+    over = own.join(above, "hypernym_id").groupBy("synset_id").agg(F.flatten(F.collect_list("above")).alias("over"))
+    itself = F.array(F.struct(F.col("synset_id").alias("ancestor"), F.lit(0).alias("up")))
+    return senses.join(over, "synset_id", "left").select(
+        "word",
+        "synset_id",
+        F.concat(itself, F.coalesce("over", none)).alias("lineage"),
+        F.array().cast(f"array<{kind}>").alias("direct"),
+    )
+
+
 def _require_ontology(synsets: DataFrame, allow_empty: bool) -> None:
     if not allow_empty and not synsets.limit(1).count():
         raise ValueError("the ontology has no synsets; pass allow_empty=True to go on")
@@ -187,17 +217,10 @@ def cluster_coherence(
     )
     words = members.where(F.col("word").isNotNull())
     senses = synsets.select("word", "synset_id").distinct()
-    used = senses.join(words.select("word").distinct(), "word", "left_semi")
-    up = ancestors(used, hypernyms, direct_only=not use_path)
-    direct = F.col("up") == 1
-    # per synset: its ancestors with distances, as long as the ontology is deep
-    lineage = up.groupBy("synset_id").agg(
-        F.collect_list(F.when(F.lit(use_path), F.struct("ancestor", "up"))).alias("lineage"),
-        F.collect_list(F.when(direct, F.col("ancestor"))).alias("direct"),
-    )
+    used = senses.join(words.select("word").distinct(), "word", "left_semi").where("synset_id is not null")
     # per word: its senses, as many as the dictionary lists for it
     profile = (
-        used.join(lineage, "synset_id")
+        _with_lineage(used, hypernyms, use_path)
         .groupBy("word")
         .agg(F.sort_array(F.collect_list(F.struct("synset_id", "lineage", "direct"))).alias("sense"))
         .withColumn("signature", F.col("sense.synset_id"))

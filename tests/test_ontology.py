@@ -197,3 +197,22 @@ def test_sense_pairs_are_not_shuffled(spark):
     top = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Exchange" not in top and "Join" not in top
     assert got.count() == 40_000 and got.where("jaccard = 1").count() == sum((200 // 7 + (i < 200 % 7)) ** 2 for i in range(7))
+
+
+def test_only_hypernyms_are_followed_up(spark, monkeypatch):
+    """Coherence looks for what lies above 2 hypernyms, not above 30 synsets."""
+    senses = [(f"w{i}", f"s{i}") for i in range(30)]
+    edges = [(f"s{i}", f"h{i % 2}") for i in range(30)] + [("h0", "top"), ("h1", "top"), ("top", "h0")]
+    asked = []
+    found = ont.ancestors
+    monkeypatch.setattr(ont, "ancestors", lambda s, h, **o: asked.append((s.count(), h.count())) or found(s, h, **o))
+    df = spark.createDataFrame([("x", 0, w) for w, _ in senses], "algorithm string, cluster int, word string")
+    got = ont.cluster_coherence(
+        df,
+        spark.createDataFrame(senses, "word string, synset_id string"),
+        spark.createDataFrame(edges, "synset_id string, hypernym_id string"),
+    ).first()
+    # s - h - s, or s - h0 - top - h1 - s; over the cycle top is as near to h0 as h0 to top
+    same, other = 2 * 15 * 14 / 2, 15 * 15
+    assert asked == [(2, 3)]
+    assert np.isclose(got["coherence"], (same / 3 + other / 5) / (same + other))
