@@ -314,7 +314,18 @@ def _word_similarity(a: pa.Table, b: pa.Table, use_path: bool) -> np.ndarray:
         sim = _path_similarity(up_a, up_b, n_a, n_b)
     else:
         sim = _direct_overlap(direct_a, direct_b, n_a, n_b)
-    return np.maximum.reduceat(np.maximum.reduceat(sim, starts_a, axis=0), starts_b, axis=1)
+    return _best_sense(_best_sense(sim, starts_a).T, starts_b).T
+
+
+def _best_sense(sim: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Largest of the rows of each word; few words have several."""
+    best, counts = sim[starts], np.diff(starts, append=len(sim))
+    several, step = np.flatnonzero(counts > 1), 1
+    while len(several):
+        best[several] = np.maximum(best[several], sim[starts[several] + step])
+        step += 1
+        several = several[counts[several] > step]
+    return best
 
 
 def _direct_overlap(direct_a, direct_b, n_a: int, n_b: int) -> np.ndarray:
@@ -344,14 +355,16 @@ def _coherence_tile(keys: list[str], use_path: bool):
         if a.num_rows and (b is None or b.num_rows):
             sim = _word_similarity(a, a if b is None else b, use_path)
             n = a["copies"].to_numpy().astype(np.float64)
+            m = n if b is None else b["copies"].to_numpy().astype(np.float64)
+            hit = (sim > 0).astype(np.float64)
+            total, scored = float(n @ (sim @ m)), float(n @ (hit @ m))
+            pairs = float(n.sum() * m.sum())
             if b is None:
                 # different signatures once, and pairs among words of one signature
-                weight = np.triu(np.outer(n, n), 1) + np.diag(n * (n - 1) / 2)
-            else:
-                weight = np.outer(n, b["copies"].to_numpy())
-            total = float((sim * weight).sum())
-            scored = float(weight[sim > 0].sum())
-            zero = float(weight[sim <= 0].sum())
+                total = (total - float(n @ np.diag(sim))) / 2
+                scored = (scored - float(n @ np.diag(hit))) / 2
+                pairs = (pairs - float(n.sum())) / 2
+            zero = pairs - scored
         for name, value in (("total", total), ("scored", scored), ("zero", zero)):
             names = names.append_column(name, pa.array([value]))
         return names

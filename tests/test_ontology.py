@@ -216,3 +216,9 @@ def test_only_hypernyms_are_followed_up(spark, monkeypatch):
     same, other = 2 * 15 * 14 / 2, 15 * 15
     assert asked == [(2, 3)]
     assert np.isclose(got["coherence"], (same / 3 + other / 5) / (same + other))
+
+
+def test_best_sense_of_each_word():
+    rng = np.random.default_rng(3)
+    sim, starts = rng.random((12, 5)), np.array([0, 1, 5, 6, 8])
+    assert (ont._best_sense(sim, starts) == np.maximum.reduceat(sim, starts, axis=0)).all()
