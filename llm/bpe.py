@@ -15,6 +15,7 @@ repeated ids included; other columns are ignored.
 from __future__ import annotations
 
 import json
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,11 @@ from . import chunks
 from .words import hash_words, one_array, rank_words, split_words
 
 ENCODE_SLICE = 5_000  # words that the library encodes in one call
+JOINED = 64  # words that it may get as one text
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# words that this splitter makes one and two pieces of: letters that stay letters in lower case, and marks behind them
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_PIECES = (f"{_LETTERS}$", _LETTERS + r"[!-&(-/:-@\[-`{-~]+$")
 DECODE_ROWS = 512  # rows whose pieces are joined at once
 
 
@@ -53,14 +59,69 @@ def _library(text: str):
     return library
 
 
-def encode_words(library, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words one after another, and the number of ids of each word."""
+def joins_words(text: str) -> bool:
+    """Whether the splitter and normaliser are those for which ``_PIECES`` counts the pieces."""
+    spec = json.loads(text)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    patterns = [s.get("pattern") for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
+    return patterns == [{"Regex": SPLITTER}] and {s["type"] for s in steps} <= {"NFC", "Replace", "Lowercase"} and all(
+        s["pattern"] == {"Regex": "\\s+"} for s in steps if s["type"] == "Replace"
+    )
+
+
+def _encode(library, texts: list[str]) -> list:
+    return library.encode_batch_fast(texts, add_special_tokens=False)
+
+
+def _flat(lists) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int32)
+
+
+def _encode_joined(library, words: pa.Array, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode_words``, for words that are ``pieces`` pieces each: many as one text, cut behind their pieces.
+
+    The last id of a piece has the suffix; where a piece lacks it, the words are encoded one by one.
+    """
+    vocabulary, suffix = library.get_vocab(), library.model.end_of_word_suffix
+    last = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+    last[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
+    lengths, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), ENCODE_SLICE):
+        part, n = words.slice(at, ENCODE_SLICE), pieces[at : at + ENCODE_SLICE]
+        offsets = np.append(np.arange(0, len(part), JOINED), len(part)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pa.concat_arrays([part])), " ")
+        found = _flat(e.ids for e in _encode(library, texts.to_pylist()))
+        ends = np.flatnonzero(last[found]) + 1
+        if len(ends) == n.sum():
+            sizes = np.diff(ends[np.cumsum(n) - 1], prepend=0)
+        else:
+            found, sizes = encode_words(library, part)
+        ids.append(found)
+        lengths.append(sizes.astype(np.int32))
+    return np.concatenate(ids), np.concatenate(lengths)
+
+
+def encode_words(library, words: pa.Array, joined: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after another, and the number of ids of each word.
+
+    ``joined``: simple words go to the library many at a time, see ``joins_words``.
+    """
+    if joined and len(words):
+        one, two = (pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False) for p in _PIECES)
+        simple = one | two
+        order = np.argsort(~simple, kind="stable")
+        n = int(simple.sum())
+        moved = words.take(pa.array(order))
+        parts = _encode_joined(library, moved.slice(0, n), (1 + two)[order[:n]]), encode_words(library, moved.slice(n))
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        lengths, starts = np.empty(len(words), np.int32), np.empty(len(words), np.int64)
+        lengths[order], starts[order] = sizes, np.cumsum(sizes) - sizes
+        return take_runs(ids, starts, lengths), lengths
     lengths, ids = np.zeros(len(words), np.int32), [np.zeros(0, np.int32)]
     for at in range(0, len(words), ENCODE_SLICE):
-        part = words.slice(at, ENCODE_SLICE).to_pylist()
-        found = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
-        lengths[at : at + len(part)] = [len(x) for x in found]
-        ids.append(np.fromiter((i for x in found for i in x), np.int32))
+        found = [e.ids for e in _encode(library, words.slice(at, ENCODE_SLICE).to_pylist())]
+        lengths[at : at + len(found)] = [len(x) for x in found]
+        ids.append(_flat(found))
     return np.concatenate(ids), lengths
 
 
@@ -81,7 +142,8 @@ def encode_chunks(docs: DataFrame, path: str, finish, schema: str, id_col: str,
     """
     spark = docs.sparkSession
     parts = chunks.n_parts(spark)
-    tokenizer = spark.sparkContext.broadcast(read_tokenizer(path))  # as large as the vocabulary
+    text = read_tokenizer(path)
+    tokenizer, joined = spark.sparkContext.broadcast(text), joins_words(text)  # as large as the vocabulary
 
     def make(table: pa.Table):
         words, counts = split_words(table[text_col])
@@ -106,7 +168,7 @@ def encode_chunks(docs: DataFrame, path: str, finish, schema: str, id_col: str,
             loaded.append(_library(tokenizer.value))
         blocks = [chunks.load_words(p) for p in payloads]
         coded = pa.concat_arrays(blocks).dictionary_encode()
-        ids, lengths = encode_words(loaded[0], coded.dictionary)
+        ids, lengths = encode_words(loaded[0], coded.dictionary, joined)
         small = np.uint16 if len(ids) == 0 or ids.max() < 2**16 else np.int32
         ids, starts = ids.astype(small), np.cumsum(lengths) - lengths
         codes, at, out = coded.indices.to_numpy(), 0, []

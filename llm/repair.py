@@ -52,11 +52,12 @@ def compress(
         pairs = seq[:-1] << np.uint32(16)
         pairs |= seq[1:]
         ordered = np.sort(pairs)
-        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(edge, len(ordered)))
-        frequent = count >= least
-        values, count = ordered[edge[frequent]], count[frequent]
-        del ordered, edge
+        # a pair that occurs often enough is met again ``least - 1`` places further on
+        again = ordered[: max(0, len(ordered) - least + 1)]
+        again = again[again == ordered[least - 1 :]]
+        del ordered
+        edge = np.flatnonzero(np.append(True, again[1:] != again[:-1])[: len(again)])
+        values, count = again[edge], np.diff(np.append(edge, len(again))) + least - 1
         if not len(values):
             break
         if len(values) > room:
@@ -66,26 +67,33 @@ def compress(
         values, count = values[order], count[order]
         rank = np.empty(len(values), np.int32)
         rank[np.lexsort((values, -count))] = np.arange(len(values))
-        # of overlapping pairs the more frequent one goes first
-        lot = np.zeros(1 << 22, bool)  # by a hash of the pair: most others are left out before the search
-        lot[values * _SPREAD >> np.uint32(10)] = True
-        maybe = np.flatnonzero(lot[pairs * _SPREAD >> np.uint32(10)])
-        wanted = pairs[maybe]
-        del pairs
-        at = np.searchsorted(values, wanted)
-        at[at == len(values)] = 0
+        # places of the pairs, by a hash; of values that share one, those left out are searched for
+        slot = np.zeros(1 << 21, np.uint16)
+        slot[values * _SPREAD >> np.uint32(11)] = np.arange(1, len(values) + 1)
+        found = slot[pairs * _SPREAD >> np.uint32(11)]
+        maybe = np.flatnonzero(found > 0)
+        at, wanted = found[maybe].astype(np.int64) - 1, pairs[maybe]
+        del pairs, found
         hit = values[at] == wanted
-        place = np.full(len(seq) + 2, len(values), np.int32)
-        place[maybe[hit] + 1] = rank[at[hit]]
-        del maybe, wanted, at, hit
-        own = place[1:-1]
-        chosen = np.flatnonzero((own < len(values)) & (own < place[:-2]) & (own <= place[2:]))
-        used, which = np.unique(own[chosen], return_inverse=True)
+        missed = np.flatnonzero(~hit)
+        at[missed] = np.minimum(np.searchsorted(values, wanted[missed]), len(values) - 1)
+        hit[missed] = values[at[missed]] == wanted[missed]
+        maybe, own = maybe[hit], rank[at[hit]]
+        del at, wanted, hit, missed
+        # of overlapping pairs the more frequent one goes first
+        touch = maybe[1:] == maybe[:-1] + 1
+        first = np.ones(len(own), bool)
+        first[1:] = ~touch | (own[1:] < own[:-1])
+        first[:-1] &= ~touch | (own[:-1] <= own[1:])
+        chosen, own = maybe[first], own[first]
+        used = np.flatnonzero(np.bincount(own, minlength=len(values)))
+        symbol = np.zeros(len(values), np.uint32)
+        symbol[used] = np.arange(top, top + len(used))
         by_rank = np.empty(len(values), np.int64)
         by_rank[rank] = values
         made = by_rank[used]
         rules.append(np.stack([made >> 16, made & 0xFFFF], axis=1))
-        seq[chosen] = top + which
+        seq[chosen] = symbol[own]
         keep = np.ones(len(seq), bool)
         keep[chosen + 1] = False
         seq = seq[keep]
