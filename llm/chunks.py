@@ -127,18 +127,21 @@ def build(
     make: Callable[[pa.Table], Iterable[tuple[int, bytes]]],
     name: str,
     chunk_bytes: int = CHUNK_BYTES,
+    *,
+    divide: int = 1,
     path: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Write the chunk table of ``docs``, bucketed by chunk; return its bodies and its blocks.
 
     ``make(table)`` gives the rows of a chunk: one (BODY, bytes) and any (part, bytes).
-    Chunks number the rows of a partition in order. ``path``: a new folder, for ``drop_blocks``.
+    Chunks number the rows of a partition in order. ``divide``: so many times smaller chunks, where
+    tasks hold more for each byte. ``path``: a new folder, for ``drop_blocks``.
     """
     spark = docs.sparkSession
 
     def task(batches):
         first = TaskContext.get().partitionId() << 32
-        for i, table in enumerate(_slices(batches, text_col, chunk_bytes)):
+        for i, table in enumerate(_slices(batches, text_col, max(1, chunk_bytes // divide))):
             rows = list(make(table))
             yield pa.RecordBatch.from_arrays(
                 [

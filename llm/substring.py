@@ -21,9 +21,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import chunks
-from .words import ends_of, hash_words, one_array, rank_words, split_words, window_hash
+from .words import hash_words, one_array, rank_words, split_words, window_hash
 
 NULL_ID = np.iinfo(np.int64).max
+DIVIDE = 2  # of the size of chunks, as a task holds about 13 bytes for each byte of text
 
 
 def difference_cover(period: int) -> list[int]:
@@ -45,9 +46,10 @@ class _Words:
 
     def __init__(self, distinct, codes, counts, ids):
         self.distinct, self.codes, self.counts, self.ids = distinct, codes, counts, ids
-        self.ends = ends_of(counts)
-        self.at = np.arange(len(codes), dtype=np.int64)
-        self.pos = self.at - np.repeat(np.cumsum(counts) - counts, counts)
+        ends = np.cumsum(counts)
+        self.ends = np.repeat(ends.astype(np.int32), counts)
+        self.at = np.arange(len(codes), dtype=np.int32)
+        self.pos = self.at - np.repeat((ends - counts).astype(np.int32), counts)
 
     def hashes(self, width: int, lane: int = 0) -> np.ndarray:
         """For each word the hash of the window that starts there; 0 where it doesn't fit."""
@@ -129,7 +131,7 @@ def remove_repeats(
         near = _mark(len(w.codes), places, period - 1, 1) & w.fits(window)
         at = np.flatnonzero(near)
         a, b = w.hashes(window)[at], w.hashes(window, 1)[at]
-        doc, pos = w.doc()[at], w.pos[at].astype(np.int32)
+        doc, pos = w.doc()[at], w.pos[at]
         order = np.lexsort((pos, doc, b, a))
         a, b, doc, pos = a[order], b[order], doc[order], pos[order]
         first = np.ones(len(a), bool)
@@ -185,7 +187,7 @@ def remove_repeats(
         made = {"n_words": w.counts, "n_removed": n_removed, "kept": kept}
         return pa.table([*rows.columns, *(pa.array(v) for v in made.values())], names=[*rest, *made])
 
-    bodies, blocks = chunks.build(docs, text_col, make, "substring-chunks")
+    bodies, blocks = chunks.build(docs, text_col, make, "substring-chunks", divide=DIVIDE)
     windows = chunks.meet(bodies, chunks.exchange(blocks, chunks.shared_hashes), extend, chunks.ROWS)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     columns = [f"`{c}` {kinds[c]}" for c in rest]

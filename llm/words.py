@@ -82,8 +82,3 @@ def window_hash(hashes: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
             block = block[:-step] * np.uint64(base) + block[step:]
             base, step = base * base & _ALL, step * 2
     return mix(out)
-
-
-def ends_of(counts: np.ndarray) -> np.ndarray:
-    """For each word, the place behind the last word of its text."""
-    return np.repeat(np.cumsum(counts), counts)
