@@ -9,14 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import BROADCAST_BYTES
+from ..runtime import BROADCAST_BYTES, parallelism
 from .distances import sq_distances
 from .vector_sums import grouped_sum, list_column, matrix, sum_vectors
 
+PART_BYTES = (1 << 20, 32 << 20)  # of packed vectors in a task: at least, where others are free, and at most
+PARTIAL_BYTES = 16 << 20  # of partial sums that the driver adds up
+WAVE_BYTES = 16 << 20  # of centres that move in one pass
+
 
 @dataclass
 class Clustering:
@@ -185,28 +189,114 @@ def kmeans(
     id_col: str = "word_id",
     vec_col: str = "features",
 ) -> Clustering:
-    """K-means on the JVM; of ``n_init`` seeds the one with the least cost wins."""
+    """K-means of ``n_init`` seeds; the one with the least cost wins.
+
+    The starting centres come from the JVM. All restarts move in one pass over packed vectors; those
+    that have converged leave it. The cost is that of the last pass, about the centres before its move.
+    """
     rows = points.select(
         F.col(id_col).alias("id"), array_to_vector(F.col(vec_col)).alias("vec")
     ).persist()
     try:
-        require_k(rows.count(), k)
+        n_points = rows.count()
+        require_k(n_points, k)
 
-        def fit(restart: int):
+        def start(restart: int) -> np.ndarray:
             model = KMeans(
                 featuresCol="vec", predictionCol="cluster", k=k, seed=seed + restart,
-                initMode=init, maxIter=max_iter, tol=tol,
+                initMode=init, maxIter=0, tol=tol,
             ).fit(rows)
-            return model.summary.trainingCost, restart, model
+            return np.array(model.clusterCenters())
 
         if n_init == 1:
-            fits = [fit(0)]
+            starts = [start(0)]
         else:
             with ThreadPool(min(n_init, parallel_restarts)) as pool:
-                fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(n_init))
-        cost, _, model = min(fits, key=lambda f: f[:2])
-        centers = np.array(model.clusterCenters())
-        steps = model.summary.numIter
+                starts = pool.map(inheritable_thread_target(rows.sparkSession)(start), range(n_init))
+        fits = _restarts(rows, n_points, starts, max_iter, tol)
     finally:
         rows.unpersist()
+    cost, _, centers, steps = min(fits, key=lambda f: f[:2])
     return Clustering(label(points, centers, id_col, vec_col), centers, cost, steps, steps < max_iter)
+
+
+def _pack(rows: DataFrame, n_points: int, width: int) -> tuple[DataFrame, int]:
+    """``block``, the vectors of some rows as bytes, dealt evenly however few files they come from; number of parts."""
+    size = 8 * width * n_points
+    parts = max(1, min(parallelism(rows.sparkSession), -(-size // PART_BYTES[0])), -(-size // PART_BYTES[1]))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([matrix(batch.column("vec")).tobytes()])], ["block"])
+
+    vectors = rows.select(vector_to_array("vec").alias("vec"))
+    return vectors.repartition(parts).mapInArrow(run, "block binary"), parts
+
+
+def _stacked_sums(packed: DataFrame, parts: int, stacks: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of centres k x (2 + d) totals, as ``center_sums``; all sets in one pass over ``parts`` tasks."""
+    width, cuts = stacks[0].shape[1], np.cumsum([0, *map(len, stacks)]).tolist()
+    shared = packed.sparkSession.sparkContext.broadcast(np.concatenate(stacks))
+
+    def run(batches):
+        centers = shared.value
+        held = np.zeros((len(centers), width + 2))
+        step = max(1, 2_000_000 // len(centers))
+        for batch in batches:
+            for block in batch.column("block"):
+                vectors = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, width)
+                for at in range(0, len(vectors), step):
+                    x = vectors[at : at + step]
+                    d2, each = sq_distances(x, centers), np.arange(len(x))
+                    member = np.zeros(d2.shape)
+                    for lo, hi in zip(cuts, cuts[1:]):
+                        best = lo + d2[:, lo:hi].argmin(axis=1)
+                        member[each, best] = 1
+                        held[:, 1] += np.bincount(best, d2[each, best], len(centers))
+                    held[:, 0] += member.sum(axis=0)
+                    held[:, 2:] += member.T @ x
+        used = np.flatnonzero(held[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), list_column(held[used])], ["cluster", "s"])
+
+    partial = packed.mapInArrow(run, "cluster int, s array<double>")
+    if parts * 8 * cuts[-1] * (width + 2) > PARTIAL_BYTES:
+        partial = sum_vectors(partial, ["cluster"], "s", combine=False)
+    out = np.zeros((cuts[-1], width + 2))
+    for row in partial.collect():
+        out[row["cluster"]] += row["s"]
+    shared.unpersist()
+    return [out[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+
+
+def _restarts(
+    rows: DataFrame, n_points: int, starts: list[np.ndarray], max_iter: int, tol: float
+) -> list[tuple[float, int, np.ndarray, int]]:
+    """(cost, restart, centres, steps) of full-batch k-means from each start; an emptied cluster keeps its centre."""
+    fits = [(0.0, r, centers, 0) for r, centers in enumerate(starts)]
+    if starts[0].nbytes > BROADCAST_BYTES:  # centres go in slices
+        packed, parts, wave = rows.select("id", vector_to_array("vec").alias("vec")), 0, 1
+    else:
+        packed, parts = _pack(rows, n_points, starts[0].shape[1])
+        wave = max(1, WAVE_BYTES // starts[0].nbytes)
+    packed = packed.persist()
+    try:
+        for first in range(0, len(starts), wave):
+            moving = list(range(first, min(first + wave, len(starts))))
+            for step in range(1, max_iter + 1):
+                sets = [fits[r][2] for r in moving]
+                sums = _stacked_sums(packed, parts, sets) if parts else [center_sums(packed, sets[0])]
+                still = []
+                for r, old, s in zip(moving, sets, sums):
+                    filled = s[:, 0] > 0
+                    moved = old.copy()
+                    moved[filled] = s[filled, 2:] / s[filled, :1]
+                    fits[r] = float(s[:, 1].sum()), r, moved, step
+                    if ((moved - old) ** 2).sum(axis=1).max() > tol * tol:
+                        still.append(r)
+                moving = still
+                if not moving:
+                    break
+        return fits
+    finally:
+        packed.unpersist()

@@ -235,3 +235,52 @@ def test_fits_of_a_sweep_run_side_by_side(data, monkeypatch):
     rows = sweep(e, [5, 2], ["Gaussian_Mixture", "Voronoi_Partition"]).collect()
     got = {(r["algorithm"], r["k"], r["cluster"], r["iterations"], r["inertia"]) for r in rows}
     assert got == {(a, k, k, k, c) for k in (2, 5) for a, c in (("Gaussian_Mixture", None), ("Voronoi_Partition", float(k)))}
+
+
+def test_restarts_move_in_one_pass(spark, monkeypatch):
+    """All restarts share the passes over the points, and end where each of them would alone."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "word_id long, features array<double>")
+    alone = [kmeans.kmeans(e, 6, seed=42 + r, n_init=1) for r in range(5)]
+    sc = spark.sparkContext
+    jobs = []
+    for steps in (1, 300):
+        sc.setJobGroup(f"restarts-{steps}", "restarts")
+        many = kmeans.kmeans(e, 6, seed=42, n_init=5, max_iter=steps)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"restarts-{steps}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    best = min(alone, key=lambda f: f.cost)
+    assert many.cost == pytest.approx(best.cost) and many.iterations == best.iterations
+    assert np.allclose(many.centers, best.centers)
+    # a pass for each restart would be a job each
+    passes = [f.iterations - 1 for f in alone]
+    assert jobs[1] - jobs[0] <= max(passes) < sum(passes)
+    # centres too large for one broadcast, and restarts that do not fit one pass, give the same
+    monkeypatch.setattr(kmeans, "WAVE_BYTES", 2 * best.centers.nbytes)
+    monkeypatch.setattr(kmeans, "PARTIAL_BYTES", 1)
+    waves = kmeans.kmeans(e, 6, seed=42, n_init=5)
+    monkeypatch.setattr(kmeans, "BROADCAST_BYTES", best.centers.nbytes - 1)
+    slices = kmeans.kmeans(e, 6, seed=best_seed(alone), n_init=1, max_iter=2)
+    assert waves.cost == pytest.approx(best.cost) and np.allclose(waves.centers, best.centers)
+    monkeypatch.undo()
+    again = kmeans.kmeans(e, 6, seed=best_seed(alone), n_init=1, max_iter=2)
+    assert slices.cost == pytest.approx(again.cost) and np.allclose(slices.centers, again.centers)
+
+
+def best_seed(fits):
+    return 42 + min(range(len(fits)), key=lambda r: fits[r].cost)
+
+
+def test_restarts_equal_those_of_the_jvm(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(5).normal(size=(300, 4))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "word_id long, features array<double>")
+    rows = e.select(array_to_vector("features").alias("vec"))
+    for steps in (1, 3, 100):
+        model = KMeans(featuresCol="vec", k=5, seed=7, maxIter=steps, tol=1e-4).fit(rows)
+        fit = kmeans.kmeans(e, 5, seed=7, n_init=1, max_iter=steps)
+        assert fit.cost == pytest.approx(model.summary.trainingCost) and fit.iterations == model.summary.numIter
+        assert np.allclose(fit.centers, model.clusterCenters())
