@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexigrove.operators import agglomerative as agg
 from lexigrove.operators import gmm, kmeans, knn, minibatch, spectral
 from lexigrove.plans import run_suite, sweep
+from lexigrove.runtime import materialize
 
 
 @pytest.fixture(scope="module")
@@ -284,3 +285,35 @@ def test_restarts_equal_those_of_the_jvm(spark):
         fit = kmeans.kmeans(e, 5, seed=7, n_init=1, max_iter=steps)
         assert fit.cost == pytest.approx(model.summary.trainingCost) and fit.iterations == model.summary.numIter
         assert np.allclose(fit.centers, model.clusterCenters())
+
+
+def _same_tree(rows, expected):
+    mine, expected = sorted((r["left"], r["right"], r["height"]) for r in rows), sorted(expected)
+    return [m[:2] for m in mine] == [e[:2] for e in expected] and np.allclose([m[2] for m in mine], [e[2] for e in expected], atol=1e-9)
+
+
+def test_dendrogram_in_phases_equals_naive_average_linkage(spark, monkeypatch):
+    """Components that fit a task, parts of larger ones, and pairs of the largest merge in phases."""
+    x, _ = blobs(n=90, d=6, k=5)
+    near = np.random.default_rng(1).normal(size=(20, 6)) * 1e-3
+    x = np.concatenate([x, x[:1] + near])  # a dense group
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    expected = average_linkage(x)
+    monkeypatch.setattr(agg, "HELD_PAIRS", 50)
+    monkeypatch.setattr(agg, "CHUNK_PAIRS", 100)
+    for task_clusters, bin_clusters, finish_at in ((2, 4, 85), (12, 16, 20)):
+        monkeypatch.setattr(agg, "TASK_CLUSTERS", task_clusters)
+        monkeypatch.setattr(agg, "BIN_CLUSTERS", bin_clusters)
+        assert _same_tree(agg.dendrogram(points_df(spark, x), finish_at, block_rows=23).collect(), expected)
+
+
+def test_chains_and_copies_take_no_phase_for_each_merge(spark, monkeypatch):
+    """A round for each merge of a chain, or of a group of copies, was a job each."""
+    written = []
+    monkeypatch.setattr(agg, "materialize", lambda df, name, *a: written.append(name) or materialize(df, name, *a))
+    angle = np.concatenate([np.cumsum(np.geomspace(1e-4, 0.05, 40)), np.full(40, 2.5), 2.5 + np.arange(1, 21) / 50])
+    x = np.column_stack([np.cos(angle), np.sin(angle)])
+    rows = agg.dendrogram(points_df(spark, x), finish_at=8, block_rows=40).collect()
+    assert len(rows) == 99 and len(written) < 30
+    assert sum(r["height"] == 0 and r["left"] == 40 for r in rows) == 39
+    assert _same_tree(rows, average_linkage(x))
