@@ -35,6 +35,7 @@ BLOCK_ROWS = 1024
 FAR_BYTES = 16 * 1024 * 1024  # vectors of one side of a task that looks into many cells
 MAX_CELLS = 8192
 PIECE = 1 << 21  # distances to pivots that a task holds at a time
+SCREEN_PAIRS = 1 << 18  # products in single precision at a time, which stay in a core's cache
 OUT_ROWS = 2048  # rows of a batch with vectors that goes back to Spark
 OUT_PAIRS = 1 << 21  # pairs found that a task holds before it keeps the nearest
 _FOUND = "src long, dst long, sq double"
@@ -255,30 +256,28 @@ def _look_further(cells: _Cells, rows: DataFrame, n: int, d: int, k: int) -> tup
             members = np.flatnonzero(~asks)
             members = members[np.argsort(cell[members], kind="stable")]
             of = cell[members]
-            held = 0
+            held, screen = 0, _Screen(x)
             for c in np.unique(of):
                 rows_of = asker[np.searchsorted(target, c) : np.searchsorted(target, c, "right")]
                 there = members[np.searchsorted(of, c) : np.searchsorted(of, c, "right")]
+                members_here = screen.columns(x[there])
                 for s, e in strips(len(rows_of), len(there)):
                     own = rows_of[s:e]
-                    d2 = sq_distances(xs[own], x[there])
                     # what is beyond the k-th distance so far is not among the k nearest
-                    near = d2 <= limit[own][:, None]
-                    many = near.sum(axis=1) > k
-                    row, col = np.nonzero(near & ~many[:, None])
-                    dst, sq = ids[there][col], d2[row, col]
-                    other = src[own][row] != dst
-                    out.append(pa.table({"src": src[own][row][other], "dst": dst[other], "sq": sq[other]}))
-                    if many.any():
-                        own, d2 = own[many], d2[many]
-                        d2[src[own][:, None] == ids[there][None, :]] = np.inf
-                        row, dst, sq = nearest_columns(d2, ids[there], k)
-                        out.append(pa.table({"src": src[own][row], "dst": dst, "sq": sq}))
-                        last = np.flatnonzero(np.append(row[1:] != row[:-1], True))
-                        last = last[last - np.searchsorted(row, row[last]) == k - 1]
-                        limit[own[row[last]]] = np.minimum(limit[own[row[last]]], (np.sqrt(sq[last]) + slack) ** 2)
-                        held += len(row)
-                    held += int(other.sum())
+                    row, col, sq = screen.within(xs, own, x[there], members_here, limit)
+                    other = src[own][row] != ids[there][col]
+                    row, col, sq = row[other], col[other], sq[other]
+                    if not len(row):
+                        continue
+                    dst = ids[there][col]
+                    order = np.lexsort((dst, sq, row))
+                    row, dst, sq = row[order], dst[order], sq[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    last = np.flatnonzero(place == k - 1)
+                    limit[own[row[last]]] = np.minimum(limit[own[row[last]]], (np.sqrt(sq[last]) + slack) ** 2)
+                    near = place < k
+                    out.append(pa.table({"src": src[own][row[near]], "dst": dst[near], "sq": sq[near]}))
+                    held += int(near.sum())
                     if held > OUT_PAIRS:
                         out, held = [_best_of(out, k)], 0
         return _best_of(out, k)
@@ -287,6 +286,43 @@ def _look_further(cells: _Cells, rows: DataFrame, n: int, d: int, k: int) -> tup
     return found, int(counted["n"] or 0)
 
 
+class _Screen:
+    """Rules pairs out by products in single precision; distances of those left are computed in doubles."""
+
+    def __init__(self, x: np.ndarray):
+        self.most = float(np.einsum("ij,ij->i", x, x).max(initial=0.0))
+        # twice what |x|^2 / 2 - x.y is off by, for vectors no longer than these
+        self.slack = 2 * (x.shape[1] + 8) * 2.0**-23 * max(self.most, np.finfo(np.float32).tiny)
+
+    def columns(self, y: np.ndarray) -> np.ndarray:
+        """Vectors as columns, with a last row that takes off half of the squared norm."""
+        return np.column_stack([y, np.einsum("ij,ij->i", y, y) / -2]).astype(np.float32).T
+
+    def within(self, xs: np.ndarray, own: np.ndarray, y: np.ndarray, columns: np.ndarray, limit: np.ndarray):
+        """Row, column and squared distance of the pairs of ``xs[own]`` with ``y`` within the ``limit`` of the row."""
+        x = xs[own]
+        least = (np.einsum("ij,ij->i", x, x) - limit[own]) / 2 - self.slack
+        rows = np.column_stack([x, np.ones(len(x))]).astype(np.float32)
+        step = max(1, SCREEN_PAIRS // columns.shape[1])
+        pairs = []
+        for s in range(0, len(x), step):
+            part = slice(s, s + step)
+            # rounded down, so that a bound in single precision rules out no more
+            floor = np.nextafter(least[part].astype(np.float32), np.float32(-np.inf))
+            at = np.flatnonzero(rows[part] @ columns >= floor[:, None])
+            row, col = np.divmod(at, columns.shape[1])
+            if len(at) > SCREEN_PAIRS // 16:  # too many to take one by one
+                sq = sq_distances(x[part], y)[row, col]
+            else:
+                a, b = x[part][row], y[col]
+                scale = np.einsum("ij,ij->i", a, a) + np.einsum("ij,ij->i", b, b)
+                sq = scale - 2.0 * np.einsum("ij,ij->i", a, b)
+                sq[sq <= 1e-14 * scale] = 0.0
+            close = sq <= limit[own[part]][row]
+            pairs.append((row[close] + s, col[close], sq[close]))
+        return tuple(np.concatenate(part) for part in zip(*pairs))
+
+
 def _no_pairs() -> pa.Table:
     none = np.zeros(0, np.int64)
     return pa.table({"src": none, "dst": none, "sq": np.zeros(0)})

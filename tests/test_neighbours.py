@@ -3,6 +3,7 @@ import pytest
 from helpers import distances, points_df
 
 from lexigrove.operators import knn, pruned
+from lexigrove.operators.distances import sq_distances
 
 
 def clustered(n, groups=12, d=6, spread=0.02, seed=0):
@@ -80,3 +81,22 @@ def test_unstructured_points_with_many_cells_to_a_block(spark):
     out = pruned.cell_neighbours(points_df(spark, x), 5, cells=60, block_rows=8)
     assert found(out.rows) == plain(x, 5)
     assert out.distances > 0.8 * out.all_distances
+
+
+def test_screen_finds_the_pairs_within_the_limit_and_computes_no_others_in_doubles(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 16))
+    x[100:110] = x[0] * (1 + 1e-9 * np.arange(10))[:, None]
+    xs, y, limit = x[:150], x[100:], np.full(150, 9.0)
+    limit[7] = np.inf
+    dense = []
+    monkeypatch.setattr(pruned, "sq_distances", lambda a, b: dense.append(len(a)) or sq_distances(a, b))
+    screen = pruned._Screen(x)
+    own = np.arange(5, 150)
+    row, col, sq = screen.within(xs, own, y, screen.columns(y), limit)
+    d2 = sq_distances(xs[own], y)
+    expected = np.argwhere(d2 <= limit[own][:, None])
+    assert np.array_equal(np.column_stack([row, col]), expected) and not dense
+    assert np.allclose(sq, d2[row, col], atol=1e-12)
+    row, _, _ = screen.within(xs, own, y, screen.columns(y), np.full(150, np.inf))
+    assert len(row) == 145 * 200 and dense == [145]
