@@ -317,3 +317,21 @@ def test_chains_and_copies_take_no_phase_for_each_merge(spark, monkeypatch):
     assert len(rows) == 99 and len(written) < 30
     assert sum(r["height"] == 0 and r["left"] == 40 for r in rows) == 39
     assert _same_tree(rows, average_linkage(x))
+
+
+def test_spectral_graph_in_a_task_equals_the_joins(spark, data, monkeypatch):
+    """Blocks of the graph are multiplied in a task; a graph that does not fit one is joined term by term."""
+    affinity = knn.normalized_affinity(knn.knn_graph(data[2], 9)).persist()
+    fits, written = {}, []
+    monkeypatch.setattr(spectral, "GRAPH_ROWS", 17)
+    monkeypatch.setattr(spectral, "materialize", lambda df, name, *a: written.append(name) or materialize(df, name, *a))
+    for size in (spectral.EDGE_BYTES, 0):
+        monkeypatch.setattr(spectral, "EDGE_BYTES", size)
+        written.clear()
+        fit = spectral.fit_embedding(affinity, 4, rounds=3)
+        rows = {r["id"]: r["features"] for r in fit.rows.collect()}
+        fits[size] = fit, np.abs([rows[i] for i in range(80)]), len(written)
+    (packed, x, few), (joined, y, many) = fits.values()
+    assert packed.rounds == joined.rounds and np.allclose(packed.values, joined.values, atol=1e-9)
+    assert np.allclose(x, y, atol=1e-6)
+    assert few < many  # a write for each polynomial, not for each of its terms
