@@ -532,12 +532,13 @@ def cut(
         .limit(max(1, max(ks) - 1))
         .select("right", F.row_number().over(top).alias("place"))
     )
-    parents = merges.select("left", "right").join(highest, "right", "left")
+    # rows that share an id merge with each other, and are one node here
+    parents = merges.where(F.col("left") != F.col("right")).select("left", "right").join(highest, "right", "left")
     each_k = F.explode(F.array(*[F.lit(k) for k in ks])).alias("k")
     ids = points.select(F.col(id_col).alias("id"))
     keep = F.col("left").isNotNull() & (F.col("place").isNull() | (F.col("place") >= F.col("k")))
     state = materialize(
-        ids.join(parents.withColumnRenamed("right", "id"), "id", "left")
+        ids.distinct().join(parents.withColumnRenamed("right", "id"), "id", "left")
         .select("id", "left", "place", each_k)
         .select("k", "id", F.when(keep, F.col("left")).otherwise(F.col("id")).alias("ptr")),
         "pointers",
@@ -560,7 +561,7 @@ def cut(
         "ptr",
         (F.row_number().over(Window.partitionBy("k").orderBy("ptr")) - 1).alias("cluster"),
     )
-    return state.join(roots, ["k", "ptr"]).select("k", F.col("id").alias(id_col), "cluster")
+    return state.join(roots, ["k", "ptr"]).join(ids, "id").select("k", F.col("id").alias(id_col), "cluster")
 
 
 def agglomerative(

@@ -335,3 +335,15 @@ def test_spectral_graph_in_a_task_equals_the_joins(spark, data, monkeypatch):
     assert packed.rounds == joined.rounds and np.allclose(packed.values, joined.values, atol=1e-9)
     assert np.allclose(x, y, atol=1e-6)
     assert few < many  # a write for each polynomial, not for each of its terms
+
+
+def test_rows_that_share_an_id_are_cut_once_each(spark):
+    """Each pointer step multiplied them."""
+    x, _ = blobs(n=30)
+    e = points_df(spark, x)
+    twice = e.unionByName(e.where("word_id < 4"))
+    rows = agg.dendrogram(twice).collect()
+    assert len(rows) == 33 and sum(r["left"] == r["right"] for r in rows) == 4
+    got = agg.agglomerative(twice, [1, 3]).collect()
+    alone = {(r["k"], r["word_id"]): r["cluster"] for r in agg.agglomerative(e, [1, 3]).collect()}
+    assert len(got) == 2 * 34 and {(r["k"], r["word_id"]) for r in got} == set(alone)
